@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from passageworks.functions.text import terms
+from passageworks.functions.text import let, terms
 from passageworks.operators.topk import LocalBest, rank_topk
 
 INDEX_ROWS = 4096          # queries held by a task at once
@@ -34,7 +34,7 @@ def fits(queries: DataFrame, col: str = "text") -> bool:
 
 
 def _arrow(dt: T.DataType) -> pa.DataType:
-    return pa.string() if isinstance(dt, T.StringType) else pa.int64()
+    return {"string": pa.string(), "int": pa.int32()}.get(dt.simpleString(), pa.int64())
 
 
 def _query_index(queries: DataFrame, toks: Column) -> tuple[list, list[str], np.ndarray]:
@@ -110,21 +110,27 @@ def lexical_topk_join(queries: DataFrame, frags: DataFrame, k: int = 5, by: str
     return rank_topk(counts, ["query_id"], [F.desc("score"), F.asc(by)], k, by)
 
 
-# Scripts indexed as overlapping pairs, and the stop words of the analyzer.
-_CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
+# Code-point ranges indexed as overlapping pairs, and the analyzer's stop words.
+_CJK = r"\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uAC00-\uD7AF"
 STOP_WORDS = ("a an and are as at be but by for if in into is it no not of on or such that the their then there these "
               "they this to was will with").split()
 
 
 def analyze(col: Column) -> Column:
     """Search tokens with repeats: lower-case words without stop words, CJK runs as pairs."""
-    t = F.lower(col)
-    toks = F.concat(
-        F.regexp_extract_all(t, F.lit(rf"([\p{{L}}\p{{Nd}}&&[^{_CJK}]]+)"), F.lit(1)),
-        F.regexp_extract_all(t, F.lit(rf"(?=([{_CJK}]{{2}}))"), F.lit(1)),
-        F.regexp_extract_all(t, F.lit(rf"(?<![{_CJK}])([{_CJK}])(?![{_CJK}])"), F.lit(1)),
-    )
-    return F.filter(toks, lambda x: ~x.isin(STOP_WORDS))
+
+    def words(t: Column, pattern: str) -> Column:
+        return F.filter(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), lambda x: ~x.isin(STOP_WORDS))
+
+    def tokens(t: Column) -> Column:
+        # The class intersection is several times slower, so only texts with CJK pay for it.
+        return F.when(~t.rlike(f"[{_CJK}]"), words(t, r"([\p{L}\p{Nd}]+)")).otherwise(F.concat(
+            words(t, rf"([\p{{L}}\p{{Nd}}&&[^{_CJK}]]+)"),
+            F.regexp_extract_all(t, F.lit(rf"(?=([{_CJK}]{{2}}))"), F.lit(1)),
+            F.regexp_extract_all(t, F.lit(rf"(?<![{_CJK}])([{_CJK}])(?![{_CJK}])"), F.lit(1)),
+        ))
+
+    return let(F.lower(col), tokens)
 
 
 # Searched fields and their boosts; the best field decides.
@@ -146,6 +152,36 @@ def corpus_statistics(frags: DataFrame, vocabulary: DataFrame) -> tuple[DataFram
     return lengths, df
 
 
+def _vocabulary_counts(frags: DataFrame, vocab: list[str]) -> DataFrame:
+    """Document frequency per (field, query term) and total length per field (term -1), counted
+    inside each task so that a task sends at most one row per field and query term."""
+    shared = frags.sparkSession.sparkContext.broadcast(vocab)
+    fields = list(FIELDS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(shared.value, pa.string())
+        df = np.zeros((len(fields), len(names)), dtype=np.int64)
+        rows, size = 0, np.zeros(len(fields), dtype=np.int64)
+        for b in batches:
+            rows += b.num_rows
+            for i in range(len(fields)):
+                row, term = _hits(b.column(i), names)
+                size[i] += int(b.column(i).offsets[-1].as_py() - b.column(i).offsets[0].as_py())
+                df[i] += np.bincount(np.unique(row * len(names) + term) % max(1, len(names)), minlength=len(names))
+        if not rows:
+            return
+        at_field, at_term = np.nonzero(df)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([fields[i] for i in at_field] + fields, pa.string()),
+             pa.array(at_term.tolist() + [-1] * len(fields), pa.int64()),
+             pa.array(df[at_field, at_term].tolist() + [rows] * len(fields), pa.int64()),
+             pa.array([0] * len(at_field) + size.tolist(), pa.int64())], names=["field", "term", "n", "size"])
+
+    part = frags.select(*[analyze(F.col(f)).alias(f) for f in FIELDS]).mapInArrow(
+        count, "field string, term bigint, n bigint, size bigint")
+    return part.groupBy("field", "term").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+
+
 def bm25_topk(
     queries: DataFrame, frags: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75,
     eligible: DataFrame | None = None, by: str = "fragment_id",
@@ -157,14 +193,17 @@ def bm25_topk(
         return bm25_topk_join(queries, frags, pool, k, k1, b, by)
     spark = queries.sparkSession
     ids, vocab, m = _query_index(queries, analyze(F.col("text")))
-    words = spark.createDataFrame([(w,) for w in vocab], "term string")
-    lengths, dfs = corpus_statistics(frags, F.broadcast(words))
-    at = {w: i for i, w in enumerate(vocab)}
-    stats = {r["field"]: (r["n"], r["avg_len"]) for r in lengths.collect()}
+    stats = {f: (0, 0.0) for f in FIELDS}
     idf = {f: np.zeros(len(vocab)) for f in FIELDS}
-    for r in dfs.collect():  # at most four rows per word of a checked-size vocabulary
-        n = stats[r["field"]][0]
-        idf[r["field"]][at[r["term"]]] = np.log(1 + (n - r["df"] + 0.5) / (r["df"] + 0.5))
+    # At most four rows per word of a checked-size vocabulary; the row of word -1 has the lengths.
+    counted = _vocabulary_counts(frags, vocab).collect()
+    for r in counted:
+        if r["term"] < 0:
+            stats[r["field"]] = (r["n"], r["size"] / r["n"] or 1.0)
+    for r in counted:
+        if r["term"] >= 0:
+            n = stats[r["field"]][0]
+            idf[r["field"]][r["term"]] = np.log(1 + (n - r["n"] + 0.5) / (r["n"] + 0.5))
     shared = spark.sparkContext.broadcast((ids, vocab, m, idf, stats))
     qt, ft = queries.schema["query_id"].dataType, frags.schema[by].dataType
     types = (_arrow(qt), _arrow(ft), pa.float64())

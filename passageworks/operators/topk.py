@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-SALTED_FROM = 1000  # input partitions from which a salted stage precedes the final ranking
+SALTED_FROM = 1000  # shuffle partitions from which a salted stage precedes the final ranking
 SALTS = 64
 
 
@@ -21,7 +21,7 @@ def rank_topk(df: DataFrame, keys: list[str], order: list[Column], k: int, salt_
     Spark already limits each map task's output per key; when very many tasks feed few keys, a
     salted stage first cuts the rows per key to ``SALTS * k``, so no single task sees them all.
     """
-    if df.rdd.getNumPartitions() > SALTED_FROM:
+    if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) >= SALTED_FROM:
         df = df.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(SALTS)))
         df = df.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_salt").orderBy(*order))).where(F.col("_r") <= k)
         df = df.drop("_salt", "_r")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("text", "retrieval")
+AREAS = ("text", "retrieval", "evaluation")
 
 
 def load_all() -> None:
