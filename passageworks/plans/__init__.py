@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("text", "retrieval", "evaluation")
+AREAS = ("text", "retrieval", "evaluation", "knowledge", "observations")
 
 
 def load_all() -> None:
