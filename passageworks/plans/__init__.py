@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("text", "retrieval", "evaluation", "knowledge", "observations")
+AREAS = ("text", "retrieval", "evaluation", "knowledge", "observations", "answers", "conversations")
 
 
 def load_all() -> None:
