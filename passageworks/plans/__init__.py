@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("text", "retrieval", "evaluation", "knowledge", "observations", "answers", "conversations")
+AREAS = ("text", "enrichment", "sources", "retrieval", "evaluation", "knowledge", "observations", "answers", "conversations", "streams")
 
 
 def load_all() -> None:
