@@ -73,8 +73,8 @@ def t11(spark, sf):
 
 @query("t12_split_tables", """WITH r AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n, [l_shipdate::DATE::VARCHAR, 'p' || l_partkey, l_returnflag] AS c FROM lineitem),
 x AS (SELECT doc_id, n, n + 1 AS line, 'f' || (n + 1) // 5 AS f, strlen(array_to_string(c, '')) + 6 + 2 + 2 + 2 AS b FROM r),
-fo AS (SELECT doc_id, list_reduce(list({'n': n, 'g': f, 'b': b} ORDER BY n), lambda a, x: CASE WHEN a.c = 0 OR a.g <> x.g OR a.c >= 3 OR a.b + x.b > 80 THEN {'c': 1::BIGINT, 'b': x.b, 'g': x.g, 'p': a.p + 1, 'o': list_append(a.o, a.p + 1)}
-   ELSE {'c': a.c + 1, 'b': a.b + x.b, 'g': x.g, 'p': a.p, 'o': list_append(a.o, a.p)} END, {'c': 0::BIGINT, 'b': 0::BIGINT, 'g': '', 'p': 0::BIGINT, 'o': []::BIGINT[]}).o AS o FROM x GROUP BY 1)
+fo AS (SELECT doc_id, list_reduce(list({'n': n, 'g': f, 'z': b} ORDER BY n), lambda a, x: CASE WHEN a.c = 0 OR a.g <> x.g OR a.c >= 3 OR a.z + x.z > 80 THEN {'c': 1::BIGINT, 'z': x.z, 'g': x.g, 'p': a.p + 1, 'o': list_append(a.o, a.p + 1)}
+   ELSE {'c': a.c + 1, 'z': a.z + x.z, 'g': x.g, 'p': a.p, 'o': list_append(a.o, a.p)} END, {'c': 0::BIGINT, 'z': 0::BIGINT, 'g': '', 'p': 0::BIGINT, 'o': []::BIGINT[]}).o AS o FROM x GROUP BY 1)
 SELECT x.doc_id, 1::BIGINT AS table_line, o[n] AS part, min(f) AS fragment_id, min(line) AS start_line, max(line) AS end_line, count(*) AS rows FROM x JOIN fo USING (doc_id) GROUP BY ALL""")
 def t12(spark, sf):
     li = table(spark, sf, "lineitem").withColumn("row", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).cast("bigint"))

@@ -12,7 +12,7 @@ from passageworks.streaming import state as X
 from passageworks.streaming.run import drain, event_stream
 
 DRAFT = [
-    "user_id || '-' || day(ts) div 6 AS response_id", "event_id AS seq",
+    "user_id || '-' || day(ts) div 6 AS response_id", "event_id + 1 AS seq",
     "CASE event_type WHEN 'click' THEN 'draft_started' WHEN 'view' THEN 'answer_delta' WHEN 'purchase' THEN 'answer_delta' WHEN 'error' THEN 'draft_retracted' ELSE CASE WHEN event_id % 4 = 0 THEN 'answer' ELSE 'progress' END END AS type",
     "CASE WHEN event_type = 'signup' THEN 0 ELSE 1 + event_id % 3 END AS draft_version", "'d' || event_id || ';' AS delta"]
 
@@ -20,7 +20,7 @@ DRAFT = [
 @query("x01_response_events", f"""WITH {PC.DE}, o AS (SELECT r, seq, row_number() OVER (PARTITION BY r ORDER BY seq) AS n FROM ev),
 fs AS (SELECT o.r, o.seq, list_reduce(list({{'t': e.type, 'v': e.v}} ORDER BY e.seq), lambda a, x: CASE WHEN x.t = 'draft_started' THEN x.v WHEN x.t = 'draft_retracted' THEN CASE WHEN x.v = a THEN 0 ELSE a END WHEN x.t = 'answer' THEN 0 ELSE a END, 0::BIGINT) AS active
   FROM o JOIN ev e ON e.r = o.r AND e.seq <= o.seq GROUP BY ALL)
-SELECT fs.r AS response_id, fs.seq, ev.type, active AS active_version FROM fs JOIN ev ON ev.r = fs.r AND ev.seq = fs.seq""")
+SELECT fs.r AS response_id, fs.seq + 1 AS seq, ev.type, active AS active_version FROM fs JOIN ev ON ev.r = fs.r AND ev.seq = fs.seq""")
 def x01(spark, sf):
     ev = event_stream(spark, sf, "events").selectExpr(*DRAFT)
     return drain(X.response_events_stream(ev)).select("response_id", "seq", "type", "active_version")
@@ -77,7 +77,7 @@ def x05(spark, sf):
 
 
 @query("x06_first_latency", """WITH a AS (SELECT user_id AS r, ts FROM events WHERE event_type = 'signup'), d AS (SELECT user_id AS r, ts FROM events WHERE event_type IN ('view', 'purchase'))
-SELECT a.r AS response_id, epoch_us(a.ts) AS accepted_us, min(epoch_us(d.ts)) - epoch_us(a.ts) AS first_delta_us FROM a JOIN d ON d.r = a.r AND d.ts BETWEEN a.ts AND a.ts + INTERVAL 6 HOUR GROUP BY ALL""")
+SELECT a.r AS response_id, epoch_us(a.ts) AS accepted_us, min(epoch_us(d.ts)) - epoch_us(a.ts) AS first_delta_us FROM a JOIN d ON d.r = a.r AND d.ts BETWEEN a.ts AND a.ts + INTERVAL 6 HOUR GROUP BY a.r, a.ts""")
 def x06(spark, sf):
     e = event_stream(spark, sf, "events").selectExpr("user_id AS response_id", "event_type", "CAST(ts AS TIMESTAMP) AS ts")
     return X.first_latency(drain(X.latency_pairs_stream(e.where("event_type = 'signup'"), e.where("event_type IN ('view', 'purchase')"), "6 hours"), "append"))

@@ -29,7 +29,7 @@ def drain(stream: DataFrame, mode: str = "update", latest_by: list[str] | None =
     base = f"{shared_folder(spark)}/stream-{uuid4().hex}"
 
     def sink(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{base}/out/_b={batch}".replace("_b=", "batch="))
+        df.write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
 
     try:
         q = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(sink).start())

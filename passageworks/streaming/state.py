@@ -2,7 +2,9 @@
 
 Rows of one key and micro-batch are put in order before they meet the state; a micro-batch is
 bounded by the source's own options (files or offsets per trigger). Late-data rules are this
-library's own and are stated with each function.
+library's own and are stated with each function. A stream that runs for ever passes ``ttl_ms`` (a
+week, say), after which a silent key is forgotten; that needs processing time, with which a run to
+the end of the input never ends, so it is off by default.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from passageworks.operators.conversations import TERMINAL_EVENTS
 from passageworks.operators.observations import compare
 
-TTL_MS = 7 * 24 * 3600 * 1000  # a closed or silent key is forgotten after a week
 
 
 def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
@@ -26,16 +27,28 @@ def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return (pd.concat(parts) if len(parts) > 1 else parts[0]).sort_values(by, kind="stable")
 
 
-def _run(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+class _Keyed(StatefulProcessor):
+    """A processor with one value state, optionally with a time to live."""
+
+    columns = ""
+
+    def __init__(self, ttl_ms: int | None = None) -> None:
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", self.columns, self.ttl_ms)
+
+
+def _run(df: DataFrame, keys: list[str], processor: _Keyed, schema: str) -> DataFrame:
     return df.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=T.StructType.fromDDL(schema), outputMode="Update", timeMode="ProcessingTime")
+        statefulProcessor=processor, outputStructType=T.StructType.fromDDL(schema), outputMode="Update",
+        timeMode="ProcessingTime" if processor.ttl_ms else "None")
 
 
-class _Lifecycle(StatefulProcessor):
+class _Lifecycle(_Keyed):
     """Last sequence, active draft and whether the response has ended."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("lifecycle", "last long, active long, bytes long, closed boolean", TTL_MS)
+    columns = "last long, active long, bytes long, closed boolean"
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
         last, active, size, closed = self.state.get() if self.state.exists() else (0, 0, 0, False)
@@ -58,18 +71,17 @@ class _Lifecycle(StatefulProcessor):
             yield pd.DataFrame(out, columns=["response_id", "seq", "type", "active_version", "bytes", "closed"])
 
 
-def response_events_stream(events: DataFrame) -> DataFrame:
+def response_events_stream(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """X1. Every event once, in order, with the active draft and its size after it.
 
     Sequences of a response may have holes, so an event is late when a higher one has passed; late
     and repeated events are dropped."""
-    return _run(events.select("response_id", "seq", "type", "draft_version", "delta"), ["response_id"], _Lifecycle(),
+    return _run(events.select("response_id", "seq", "type", "draft_version", "delta"), ["response_id"], _Lifecycle(ttl_ms),
                 "response_id string, seq long, type string, active_version long, bytes long, closed boolean")
 
 
-class _Newest(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("newest", "observed_at long")
+class _Newest(_Keyed):
+    columns = "observed_at long"
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
         d = _ordered(rows, ["arrival"])
@@ -96,12 +108,12 @@ def _windows(ts, span: int, count: int, until: int) -> tuple[list[int], int, int
     return out, count, until
 
 
-class _Attempts(StatefulProcessor):
-    def __init__(self, span: int) -> None:
-        self.span = span
+class _Attempts(_Keyed):
+    columns = "count long, until long"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "count long, until long", TTL_MS)
+    def __init__(self, span: int, ttl_ms: int | None = None) -> None:
+        super().__init__(ttl_ms)
+        self.span = span
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
         d = _ordered(rows, ["at", "attempt_id"])
@@ -111,10 +123,10 @@ class _Attempts(StatefulProcessor):
         yield pd.DataFrame({"key": key[0], "attempt_id": d["attempt_id"].to_numpy(), "at": d["at"].to_numpy(), "attempt": n})
 
 
-def attempt_windows_stream(attempts: DataFrame, span_us: int = 900_000_000) -> DataFrame:
+def attempt_windows_stream(attempts: DataFrame, span_us: int = 900_000_000, ttl_ms: int | None = None) -> DataFrame:
     """X3. ``attempts(key, attempt_id, at in microseconds)`` with their number in a window that the first
     attempt opens for 15 minutes and nothing extends. Limits compare ``attempt`` with 30 or 5."""
-    return _run(attempts.select("key", "attempt_id", "at"), ["key"], _Attempts(span_us), "key string, attempt_id long, at long, attempt long")
+    return _run(attempts.select("key", "attempt_id", "at"), ["key"], _Attempts(span_us, ttl_ms), "key string, attempt_id long, at long, attempt long")
 
 
 def attempt_windows(attempts: DataFrame, span_us: int = 900_000_000, chunk_us: int = 86_400_000_000) -> DataFrame:
@@ -153,15 +165,16 @@ def observation_windows(values: DataFrame, size: str = "1 hour", slide: str | No
     return g.select(F.col("window.start").alias("start"), "device_id", "field", "n", "low", "high", "last")
 
 
-class _Alerts(StatefulProcessor):
+class _Alerts(_Keyed):
     """Newest sample per condition, and what was last reported."""
 
-    def __init__(self, conditions: dict[str, int]) -> None:
+    def __init__(self, conditions: dict[str, int], ttl_ms: int | None = None) -> None:
+        super().__init__(ttl_ms)
         self.conditions = conditions
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getMapState("newest", "cond long", "at long, ok boolean")
-        self.said = handle.getValueState("said", "holds boolean")
+        self.newest = handle.getMapState("newest", "cond long", "at long, ok boolean", self.ttl_ms)
+        self.said = handle.getValueState("said", "holds boolean", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
         d = pd.concat(list(rows))
@@ -181,7 +194,7 @@ class _Alerts(StatefulProcessor):
             yield pd.DataFrame({"device_id": [key[0]], "rule_id": [key[1]], "holds": [holds], "at": [max(int(s[0]) for s in state)]})
 
 
-def rule_alerts_stream(values: DataFrame, conditions: DataFrame) -> DataFrame:
+def rule_alerts_stream(values: DataFrame, conditions: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """X5. A row whenever a rule starts or stops holding on the newest samples of a device.
 
     ``conditions(rule_id, cond_no, field, operator, value, unit)`` are a few hundred published rows at
@@ -194,7 +207,7 @@ def rule_alerts_stream(values: DataFrame, conditions: DataFrame) -> DataFrame:
     j = values.join(c, "field").select(
         "device_id", "rule_id", F.col("cond_no").cast("long").alias("cond_no"), F.unix_micros(F.col("observed_at").cast("timestamp")).alias("at"),
         ((F.col("unit") == F.col("want_unit")) & compare(F.col("value"), F.col("operator"), F.col("want"))).alias("ok"))
-    return _run(j, ["device_id", "rule_id"], _Alerts(need), "device_id long, rule_id string, holds boolean, at long")
+    return _run(j, ["device_id", "rule_id"], _Alerts(need, ttl_ms), "device_id long, rule_id string, holds boolean, at long")
 
 
 def latency_pairs_stream(accepted: DataFrame, deltas: DataFrame, bound: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -213,9 +226,8 @@ def first_latency(pairs: DataFrame) -> DataFrame:
         "response_id", us("accepted_at").alias("accepted_us"), "first_delta_us")
 
 
-class _Intake(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("first", "id long, hash string", TTL_MS)
+class _Intake(_Keyed):
+    columns = "id long, hash string"
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
         d = _ordered(rows, ["ordinal"])
@@ -231,11 +243,11 @@ class _Intake(StatefulProcessor):
         yield pd.DataFrame(out, columns=["request_id", "outcome", "first_id"])
 
 
-def idempotent_stream(requests: DataFrame) -> DataFrame:
+def idempotent_stream(requests: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """X7. Keyed requests as accepted, replayed or conflict. Requests without a key need no state and
     are accepted as they come."""
     keyed = requests.where(F.coalesce("key", F.lit("")) != "").select("conversation_id", "key", "request_id", "hash", "ordinal")
-    out = _run(keyed, ["conversation_id", "key"], _Intake(), "request_id long, outcome string, first_id long")
+    out = _run(keyed, ["conversation_id", "key"], _Intake(ttl_ms), "request_id long, outcome string, first_id long")
     free = requests.where(F.coalesce("key", F.lit("")) == "").select("request_id", F.lit("accepted").alias("outcome"), F.col("request_id").alias("first_id"))
     return out.unionByName(free)
 
