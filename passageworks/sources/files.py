@@ -13,7 +13,7 @@ USAGE = "struct<calls:bigint,prompt_tokens:bigint,completion_tokens:bigint,total
 ROW = f"struct<id:string,answerable:boolean,latency_ms:double,result:struct<status:string,data_mode:string,model_usage:{USAGE}>>"
 EXPERIMENT = f"name string, status string, expected bigint, config struct<split:string,dataset_sha256:string,mode:string>, rows array<{ROW}>"
 ATTEMPT = f"case_id string, rubric_sha256 string, response struct<id:string,usage:{USAGE}>"
-OBSERVATION = T.StructType.fromDDL(
+OBSERVATION = (
     "evidence_id string, device_id string, snapshot_id string, capability string, component string, fields array<string>, parameters map<string,string>, "
     "window_start timestamp, window_end timestamp, max_age_seconds bigint, values array<struct<field:string,value:string,unit:string,observed_at:timestamp>>, "
     "missing array<string>, status string, source string, raw_ref string")
