@@ -222,11 +222,13 @@ def find_mentions(texts: DataFrame, registry: DataFrame) -> DataFrame:
     esc = F.regexp_replace("name", r"([\\^$.|?*+()\[\]{}\-])", r"\\$1")
     edge = lambda first, look: F.when(F.regexp_like(first, F.lit(f"[{TOKEN}]")), look).otherwise("")
     pattern = F.concat(edge(F.left("name", F.lit(1)), f"(?<![{TOKEN}])"), esc, edge(F.right("name", F.lit(1)), f"(?![{TOKEN}])"))
-    named = n.where("tok <> ''").select("device_id", "tok", pattern.alias("pattern"))
+    named = n.where("tok <> ''").select("device_id", "name", "tok", pattern.alias("pattern"))
     keys = t.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"([{TOKEN}]+)"), F.lit(1)))).alias("tok"))
     keys = keys.join(named.select("tok").distinct(), "tok", "left_semi")
-    cand = keys.join(named, "tok").join(t, "text_id")
-    out = cand.where(F.regexp_like("text", F.col("pattern"))).select("text_id", "device_id")
+    # A name that is one token is found by the join itself; only longer names look at the text again.
+    out = keys.join(named.where("name = tok").select("tok", "device_id"), "tok").select("text_id", "device_id")
+    cand = keys.join(named.where("name <> tok"), "tok").join(t, "text_id").where(F.contains("text", F.col("name")))
+    out = out.unionByName(cand.where(F.regexp_like("text", F.col("pattern"))).select("text_id", "device_id"))
     plain = n.where("tok = ''")
     if not plain.isEmpty():
         p = plain.select("device_id", "name", F.left("name", F.lit(2)).alias("tok"))
