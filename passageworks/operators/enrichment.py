@@ -203,16 +203,16 @@ def validate_table_enrichment(tables: DataFrame, produced: DataFrame) -> DataFra
     return j.select("id", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
-# Words that say nothing about one image.
-IGNORED = ("cce", "pod", "node", "service", "configmap", "deployment", "页面", "界面", "按钮", "截图", "配置", "操作", "步骤")
+# Words that say nothing about one image; a corpus adds its own product names.
+IGNORED = ("pod", "node", "service", "configmap", "deployment", "页面", "界面", "按钮", "截图", "配置", "操作", "步骤")
 
 
-def discriminators(df: DataFrame, keep: int = 30) -> DataFrame:
+def discriminators(df: DataFrame, keep: int = 30, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
     """T28. Words and quoted phrases of ``description`` that neither title nor section has, first-seen order."""
     scope = F.concat(F.lower("title"), F.lit(" "), F.lower("section"))
     xs = F.concat(F.regexp_extract_all("description", F.lit(r"([A-Za-z][A-Za-z0-9_.:/-]{3,})"), F.lit(1)),
                   F.regexp_extract_all("description", F.lit(r"[“\"]([^”\"]{2,40})[”\"]"), F.lit(1)))
-    ok = let(scope, lambda s: F.filter(F.array_distinct(F.transform(xs, strip)), lambda x: ~F.contains(s, F.lower(x)) & ~F.lower(x).isin(*IGNORED)))
+    ok = let(scope, lambda s: F.filter(F.array_distinct(F.transform(xs, strip)), lambda x: ~F.contains(s, F.lower(x)) & ~F.lower(x).isin(*ignored)))
     return df.withColumn("discriminators", F.slice(ok, 1, keep))
 
 

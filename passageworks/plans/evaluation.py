@@ -50,10 +50,10 @@ def m02(spark, sf):
 
 
 @query("m03_split_global", """WITH g AS (SELECT DISTINCT o_custkey AS "group" FROM orders),
-r AS (SELECT "group", row_number() OVER (ORDER BY sha256('cce-v1:' || "group")) AS rk, count(*) OVER () AS n FROM g)
+r AS (SELECT "group", row_number() OVER (ORDER BY sha256('split-v1:' || "group")) AS rk, count(*) OVER () AS n FROM g)
 SELECT "group", CASE WHEN rk <= n * 2 // 5 THEN 'development' ELSE 'heldout' END AS split FROM r""")
 def m03(spark, sf):
-    return M.split_global(table(spark, sf, "orders").select(F.col("o_custkey").alias("group")), "cce-v1")
+    return M.split_global(table(spark, sf, "orders").select(F.col("o_custkey").alias("group")), "split-v1")
 
 
 @query("m04_split_by_category", """WITH g AS (SELECT c_custkey AS "group", arg_min(o_orderpriority, o_orderkey) AS category FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1),
