@@ -1,9 +1,11 @@
 """Toxic passages by maximum-scoring segment search.
 
-Tokens score their log-odds between toxic and clean training texts under an informative Dirichlet
-prior (the prior is the corpus itself), kept where the odds stand out of their own error, plus a
-small loss for every other token. A linear scan finds all maximal segments of a text. With
-Karlin-Altschul parameters (lambda from the clean token scores, K from the highest segments of
+A token's features are the word and its beginnings of three to six letters, for insults are inflected.
+Features score their log-odds between toxic and clean training texts under an informative Dirichlet
+prior (the prior is the corpus itself), kept where the odds stand out of their own error; a token
+scores its best feature, less a small loss for every token. Copies among the training texts count
+once: a text whose least shingle hash was met before is left out. A linear scan finds all maximal
+segments of a text. With Karlin-Altschul parameters (lambda from the clean token scores, K from the highest segments of
 clean texts) a segment's score becomes an extreme-value excess, and a text's excesses become
 a probability by a logistic curve fitted on the training sample."""
 
@@ -16,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +26,10 @@ from passageworks.llm.base import stored
 
 SAMPLE = 40_000  # labelled training rows, at most
 VOCABULARY = 50_000  # scored tokens, at most
-PRIOR = 1000.0
-Z = 3.0
+PRIOR = 0.03  # the prior weighs as much as this share of the training texts
+Z, ODDS = 2.5, 3.0  # a feature is kept beyond this many errors and this log-odds
+STEMS = (3, 4, 5, 6)
+CACHE = 1_000_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -35,6 +40,7 @@ class Model:
     lam: float = 1.0
     k: float = 1.0
     weights: tuple[float, ...] = (-4.0, 1.0, 0.0)
+    known: dict[str, float] = field(default_factory=dict)  # words a task has met
 
 
 def tokens(text: str | None) -> list[str]:
@@ -67,9 +73,25 @@ def segments(x: np.ndarray) -> list[tuple[int, int, float]]:
     return [(b, e, right - left) for b, e, left, right in found]
 
 
+def parts(word: str) -> list[str]:
+    return [word, *[f"{word[:n]}-" for n in STEMS if len(word) > n]]
+
+
 def scores(words: list[str], m: Model) -> np.ndarray:
-    get = m.score.get
-    return np.array([get(w, 0.0) for w in words]) - m.drift
+    known = m.known
+    if len(known) > CACHE:
+        known.clear()
+    for w in set(words).difference(known):
+        got = [m.score[p] for p in parts(w) if p in m.score]
+        high = max(got, default=0.0)
+        known[w] = high if high > 0 else min(got, default=0.0)
+    return np.fromiter(map(known.__getitem__, words), float, len(words)) - m.drift
+
+
+def least_hashes(words: list[str]) -> tuple[int, int]:
+    """Two least hashes of the text's runs of five words; near copies mostly share them."""
+    runs = {" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+    return tuple(min(xxhash.xxh64_intdigest(r, seed) >> 1 for r in runs) for seed in (1, 2))
 
 
 def features(words: list[str], m: Model) -> tuple[float, float, list[tuple[int, int, float]]]:
@@ -99,46 +121,75 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, vocabulary: i
     """A model of ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``, all of which are training rows.
     Without labelled rows of both kinds every text scores the same."""
     sc = docs.sparkSession.sparkContext
-    known = docs.select("doc_id", "text").join(F.broadcast(sample_of(labels, bound)), "doc_id")  # at most ``bound`` rows
+    picked = F.broadcast(sample_of(labels, bound))  # at most ``bound`` rows
+    texts = docs.select("doc_id", "text").join(picked, "doc_id")
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = [least_hashes(tokens(t)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *[pa.array([x[k] for x in h], pa.int64()) for k in (0, 1)]], ["doc_id", "toxic", "h0", "h1"])
+
+    hashes = stored(texts.mapInArrow(least, f"doc_id long, toxic {labels.schema['toxic'].dataType.simpleString()}, h0 long, h1 long"), "least")
+    first = [hashes.groupBy(h).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct() for h in ("h0", "h1")]
+    single = hashes.join(first[0], "doc_id", "left_semi").join(first[1], "doc_id", "left_semi").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = docs.select("doc_id", "text").join(F.broadcast(single), "doc_id")  # again at most ``bound`` rows
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(4))  # three parts for the odds, one for the calibration
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = (Counter(), Counter())
+        seen, docs_seen = (Counter(), Counter()), [0, 0]
         for b in batches:
             for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-                seen[1 if y else 0].update(tokens(t))
+                seen[1 if y else 0].update({p for w in set(tokens(t)) for p in parts(w)})
+                docs_seen[1 if y else 0] += 1
         words = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([c[w] for w in words], pa.int64()) for c in seen]], ["word", "clean", "toxic"])
+        cols = [[c[w] for w in words] + [n] for c, n in zip(seen, docs_seen)]
+        yield pa.RecordBatch.from_arrays([pa.array([*words, ""], pa.string()), *[pa.array(c, pa.int64()) for c in cols]], ["word", "clean", "toxic"])
 
-    n = known.mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    n = stored(n, "words")
-    total = n.agg(F.coalesce(F.sum("clean"), F.lit(0)).alias("c"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
+    n = known.where(fold != 0).mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    n = stored(n, "words")  # the empty word counts the texts
+    total = n.where("word = ''").agg(F.coalesce(F.sum("clean"), F.lit(0)).alias("c"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     m = Model()
     if not total["c"] or not total["t"]:
         return m
     c, t = float(total["c"]), float(total["t"])
-    prior = F.lit(PRIOR) * (F.col("clean") + F.col("toxic")) / (c + t)
-    odds = lambda y, n: F.log((F.col(y) + prior) / (n + PRIOR - F.col(y) - prior))
+    n = n.where("word <> '' AND clean + toxic > 2")
+    weight = PRIOR * (c + t)
+    prior = PRIOR * (F.col("clean") + F.col("toxic"))
+    odds = lambda y, n: F.log((F.col(y) + prior) / (n + weight - F.col(y) - prior))
     d = n.withColumn("delta", odds("toxic", t) - odds("clean", c)).withColumn(
         "z", F.col("delta") / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)))
-    top = d.where(F.abs("z") > Z).orderBy(F.desc(F.abs("z")), "word").limit(vocabulary).select("word", "delta", "clean").toPandas()
+    top = d.where((F.abs("z") > Z) & (F.abs("delta") > ODDS)).orderBy(F.desc(F.abs("z")), "word").limit(vocabulary).select("word", "delta").toPandas()
     m.score = dict(zip(top["word"], top["delta"]))
-    weight = np.append(top["clean"].to_numpy(float), max(c - top["clean"].sum(), 1.0))
-    x = np.append(top["delta"].to_numpy(float), 0.0)
-    m.drift = max(0.1, 2 * float((weight * x).sum() / weight.sum()))
-    m.lam = _lambda(x - m.drift, weight / weight.sum())
+    held = known.where(fold == 0)
     bc = sc.broadcast(m)
 
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: Counter = Counter()
+            for t in b.column("text").to_pylist():
+                seen.update((scores(tokens(t), bc.value) + bc.value.drift).round(6).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.float64()), pa.array(seen.values(), pa.int64())], ["x", "n"])
+
+    # values are as many as kept features, at most
+    v = held.where("toxic = 0").mapInArrow(values, "x double, n long").groupBy("x").agg(F.sum("n").alias("n")).toPandas()
+    x, weight = np.append(v["x"].to_numpy(float), max(m.score.values(), default=1.0)), np.append(v["n"].to_numpy(float), 1.0)
+    m.drift = max(0.3, 2 * float((weight * x).sum() / weight.sum()))
+    m.lam = _lambda(x - m.drift, weight / weight.sum())
+    bc2 = sc.broadcast(m)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for text in b.column("text").to_pylist():
                 w = tokens(text)
-                found = [x[2] for x in segments(scores(w, bc.value))]
+                found = [x[2] for x in segments(scores(w, bc2.value))]
                 rows.append((len(w), max(found, default=0.0), found))
             yield pa.RecordBatch.from_arrays([b.column("toxic").cast(pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()),
                                               pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["toxic", "n", "best", "all"])
 
-    rows = known.mapInArrow(score, "toxic long, n long, best double, all array<double>").where("n > 0").limit(4 * bound).toPandas()
+    rows = held.mapInArrow(score, "toxic long, n long, best double, all array<double>").where("n > 0").limit(4 * bound).toPandas()
+    if not len(rows):
+        return m
     clean = rows[rows["toxic"] == 0]
     m.k = max(len(clean), 1) / max(float((clean["n"] * np.exp(-m.lam * clean["best"])).sum()), 1e-9)
     limit = np.log(m.k * rows["n"].to_numpy(float))
@@ -162,9 +213,9 @@ def _lambda(x: np.ndarray, p: np.ndarray) -> float:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
-    """Newton steps; both classes weigh the same."""
+    """Newton steps with a small ridge."""
     w = np.zeros(x.shape[1])
-    each = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
+    each = np.ones(len(y))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (each * (p - y)) + ridge * w
