@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from passageworks.llm import chat, langid, piece_bpe, sharding, simhash, token_count, topk_search, toxicity
+from passageworks.llm import chat, decontaminate, langid, piece_bpe, sharding, simhash, token_count, topk_search, toxicity
 from passageworks.llm.base import crc, documents, query
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -87,3 +87,21 @@ def op8(spark, sf):
 def op9(spark, sf):
     d = documents(spark, sf).select("doc_id", "text")
     return token_count.count_tokens(d, PIECES).select("doc_id", "n_tokens")
+
+
+_ITEM_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query("op10_decontaminate", rf"""WITH b AS (SELECT item_id, row_number() OVER () AS item, {_ITEM_WORDS} AS w FROM benchmark),
+win AS (SELECT item_id, item, least(13, len(w)) AS k, w[s : s + least(13, len(w)) - 1] AS g FROM b, range(1, 100000) r(s) WHERE len(w) > 0 AND s <= greatest(len(w) - 12, 1)),
+d AS (SELECT doc_id, row_number() OVER () AS row, coalesce({_ITEM_WORDS}, []) AS w FROM documents),
+sizes AS (SELECT DISTINCT k FROM win), wins AS (SELECT DISTINCT item_id, k, g FROM win),
+g AS (SELECT row, k, s, w[s : s + k - 1] AS g FROM (SELECT row, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, sizes WHERE len(w) >= k)),
+h AS (SELECT g.row, g.s, g.k, wins.item_id FROM g JOIN wins ON wins.k = g.k AND wins.g = g.g),
+n AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(s, s + k)) AS p FROM h) GROUP BY row),
+i AS (SELECT row, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS xs FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(xs, '')) AS items_sha256,
+coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN n USING (row) LEFT JOIN i USING (row)""")
+def op10(spark, sf):
+    c = decontaminate.contamination(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+    return c.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
