@@ -5,13 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from passageworks.llm import chat, decontaminate, langid, piece_bpe, sharding, simhash, token_count, topk_search, toxicity
+from passageworks.llm import chat, decontaminate, langid, piece_bpe, sharding, simhash, suffix_dedup, token_count, topk_search, toxicity
 from passageworks.llm.base import crc, documents, query
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 SHARD_BYTES = 32 << 20
 
 
+@query("op1_suffix_dedup")
+def op1(spark, sf):
+    return suffix_dedup.dedup(documents(spark, sf), keep_text=False).drop("row")
+
+
 @query("op2_simhash")
 def op2(spark, sf):
     g = simhash.near_groups(documents(spark, sf))
