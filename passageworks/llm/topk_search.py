@@ -32,17 +32,18 @@ def _levels(width: int) -> list[int]:
     return out
 
 
-def best_of_block(q: np.ndarray, c: np.ndarray, c_id: np.ndarray, c_row: np.ndarray, q_row: np.ndarray, k: int, step: int = 4096):
+def best_of_block(q: np.ndarray, c: np.ndarray, c_id: np.ndarray, c_row: np.ndarray, q_row: np.ndarray, k: int, step: int = 2048):
     """For each query row the best k of ``c``: arrays of query index, candidate index, score.
 
     Candidates are taken ``step`` at a time, those of the largest coarse bound first, so that the
     k-th best score so far rises early; ties are kept, for the smaller id may come later."""
     big = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
-    exact = np.float64 if big < SAFE else np.int64
-    qf, cf = q.astype(np.float64), c.astype(np.float64)
-    stats = [(_statistics(qf, s), _statistics(cf, s)) for s in _levels(q.shape[1])]
+    exact = np.float32 if big < 1 << 24 else np.float64 if big < SAFE else np.int64
+    kind = np.float32 if exact is np.float32 else np.float64
+    stats = [(_statistics(q.astype(kind), s), _statistics(c.astype(kind), s)) for s in _levels(q.shape[1])]
     order = np.argsort(-(stats[0][1][1][:, 0] + np.abs(stats[0][1][0][:, 0])), kind="stable") if stats else np.arange(len(c))
-    slack = big * 1e-9 + 1e-6
+    slack = big * 1e-5 + 1e-3  # above any rounding of the bounds
+    qe, ce = q.astype(exact), c.astype(exact)
     floor = np.full(len(q), -np.inf)
     kept_q, kept_c, kept_s = (np.empty(0, np.int64) for _ in range(3))
     for at in range(0, len(order), step):
@@ -52,26 +53,26 @@ def best_of_block(q: np.ndarray, c: np.ndarray, c_id: np.ndarray, c_row: np.ndar
             rows = np.flatnonzero(alive.any(axis=1))
             if not len(rows):
                 break
-            bound = m * (mq[rows] @ mc[own].T + dq[rows] @ dc[own].T)
-            alive[rows] &= bound + slack >= floor[rows, None]
+            alive[rows] &= m * (mq[rows] @ mc[own].T + dq[rows] @ dc[own].T) + slack >= floor[rows, None]
         rows, cols = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
         if not len(rows):
             continue
-        score = (q[rows].astype(exact) @ c[own[cols]].astype(exact).T).astype(np.int64)
+        score = qe[rows] @ ce[own[cols]].T
         use = alive[np.ix_(rows, cols)] & (q_row[rows, None] != c_row[own[cols]][None, :])
-        a, b = np.nonzero(use)
-        s = score[a, b]
-        ok = s >= floor[rows[a]]
-        kept_q = np.concatenate([kept_q, rows[a[ok]]])
-        kept_c = np.concatenate([kept_c, own[cols[b[ok]]]])
-        kept_s = np.concatenate([kept_s, s[ok]])
+        least = floor[rows]
+        if score.shape[1] > k:  # no score below this block's own k-th can matter
+            lowest = np.iinfo(np.int64).min if exact is np.int64 else -np.inf
+            least = np.maximum(least, np.partition(np.where(use, score, lowest), -k, axis=1)[:, -k])
+        a, b = np.nonzero(use & (score >= least[:, None]))
+        kept_q = np.concatenate([kept_q, rows[a]])
+        kept_c = np.concatenate([kept_c, own[cols[b]]])
+        kept_s = np.concatenate([kept_s, score[a, b].astype(np.int64)])
         o = np.lexsort((c_row[kept_c], c_id[kept_c], -kept_s, kept_q))
         kept_q, kept_c, kept_s = kept_q[o], kept_c[o], kept_s[o]
-        start = np.searchsorted(kept_q, kept_q)
-        keep = np.arange(len(kept_q)) - start < k
+        place = np.arange(len(kept_q)) - np.searchsorted(kept_q, kept_q)
+        keep = place < k
+        floor[kept_q[place == k - 1]] = kept_s[place == k - 1]
         kept_q, kept_c, kept_s = kept_q[keep], kept_c[keep], kept_s[keep]
-        last = np.flatnonzero(np.arange(len(kept_q)) - np.searchsorted(kept_q, kept_q) == k - 1)
-        floor[kept_q[last]] = kept_s[last]
     return kept_q, kept_c, kept_s
 
 
@@ -87,7 +88,7 @@ def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
 
 
 def top_k(vectors: DataFrame, k: int, query_every: int, id_col: str = "vec_id", vector: str = "embedding",
-          query_block: int = 4096, candidate_block: int = 16384) -> DataFrame:
+          query_block: int = 1024, candidate_block: int = 16384) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k largest integer inner products of every query
     (rows whose id is divisible by ``query_every``) over all other rows, ties to the smaller id.
 
