@@ -23,7 +23,7 @@ from passageworks.llm.base import stored
 ORDER = 4
 MAX_GRAMS = 300_000
 CALIBRATION = 4_000  # rows of the calibration sample, at most
-CHUNK = 1 << 22  # characters handled at once
+CHUNK = 1 << 20  # characters handled at once
 SPACE = 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
 U = np.uint64
