@@ -62,19 +62,20 @@ def assign(docs: DataFrame, limit: int, key: str = "doc_id", size: str = "n_byte
     ``oversize``. Input columns of those names give way. Null sizes count as zero; an empty table
     gives no rows.
 
-    A row meets its shard by equality on (depth, prefix) for the depths that occur, at most 61."""
-    docs = docs.drop("shard", "shard_bytes", "oversize", "_h", "_d")
+    The directory is expanded to the next multiple of ``step`` bits, at most 2**step slots a shard, and a row meets its
+    slot by equality, once for each multiple that occurs: one, unless sizes are very uneven."""
+    docs = docs.drop("shard", "shard_bytes", "oversize", "_h")
     dirs = stored(directory(docs.withColumn(size, F.coalesce(F.col(size), F.lit(0))), limit, key, size, step), "shards")
-    depths = sorted(r[0] for r in dirs.select("depth").distinct().collect())  # at most 61 numbers
-    if not depths:
-        return docs.select("*", F.lit("").alias("shard"), F.lit(0).cast("bigint").alias("shard_bytes"), F.lit(False).alias("oversize"))
-    keyed = docs.select("*", hash60(F.col(key)).alias("_h"))
-    # the directory in the classic sense: a cell of the deepest prefix points to its shard
-    deep = depths[-1]
-    slots = dirs.select(
-        F.explode(F.expr(f"sequence(shiftleft(prefix, {deep} - depth), shiftleft(prefix + 1, {deep} - depth) - 1)")).alias("_d"), "depth", "shard_bytes", "oversize")
-    out = keyed.withColumn("_d", F.shiftright("_h", BITS - deep)).join(slots, "_d")
-    return out.select(*docs.columns, prefix(F.col("_h"), F.col("depth")).alias("shard"), "shard_bytes", "oversize")
+    top = F.least(F.ceil(F.col("depth") / step) * step, F.lit(BITS)).cast("int")
+    tops = sorted(r[0] for r in dirs.select(top.alias("t")).distinct().collect())  # at most 61 numbers
+    out = docs.withColumn("_h", hash60(F.col(key)))
+    told = F.struct("depth", "shard_bytes", "oversize")
+    for t in tops:
+        slots = dirs.where(top == t).select(
+            F.explode(F.expr(f"sequence(shiftleft(prefix, {t} - depth), shiftleft(prefix + 1, {t} - depth) - 1)")).alias(f"_c{t}"), told.alias(f"_s{t}"))
+        out = out.withColumn(f"_c{t}", F.shiftright("_h", BITS - t)).join(slots, f"_c{t}", "left")
+    found = F.coalesce(*[F.col(f"_s{t}") for t in tops]) if tops else F.struct(F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("shard_bytes"), F.lit(False).alias("oversize"))
+    return out.select(*docs.columns, prefix(F.col("_h"), found["depth"]).alias("shard"), found["shard_bytes"].alias("shard_bytes"), found["oversize"].alias("oversize"))
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:
