@@ -280,7 +280,7 @@ def public_attributes(df: DataFrame, col: str) -> DataFrame:
 
 def scan_literals(df: DataFrame, col: str, source: str, literals: list[str]) -> DataFrame:
     """T33. How many texts of each source hold one of a few known literals; the literals are not output."""
-    if not literals or len(literals) > 1000 or any(not x for x in literals):
-        raise ValueError("1..1000 nonempty literals")
+    if not literals or any(not x for x in literals):
+        raise ValueError("literals must not be empty")
     n = F.size(F.filter(F.array(*[F.lit(x) for x in literals]), lambda x: F.contains(F.col(col), x)))
     return df.select(source, n.alias("hits")).where("hits > 0").groupBy(source).agg(F.count("*").alias("texts"), F.sum("hits").alias("hits"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from passageworks.functions.text import canonical_json, sha, strip
+from passageworks.functions.text import SPACE_CLASS, canonical_json, sha, strip
 from passageworks.operators.knowledge import first_reason
 
 # Capabilities, comparison operators and observation states.
@@ -69,8 +69,12 @@ def freshness(evidence: DataFrame, values: DataFrame, now: Column) -> DataFrame:
     return j.withColumn("status", F.when(~F.col("fresh") & F.col("status").isin("OK", "PARTIAL", "NO_RECORD"), "STALE").otherwise(F.col("status"))).drop("oldest")
 
 
+#: A whole decimal number; a cast alone would also take surrounding blanks and type suffixes.
+DECIMAL = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def _number(c: Column) -> Column:
-    n = c.try_cast("double")
+    n = F.when(c.rlike(DECIMAL), c).try_cast("double")
     return F.when(~F.isnan(n) & (F.abs(n) != float("inf")), n)
 
 
@@ -193,7 +197,7 @@ def check_steps(steps: DataFrame, executions: DataFrame | None = None, cap: int
 
 def fingerprint(kind: Column, target: Column, query: Column, observation: Column) -> Column:
     """V11. Identity of what a step asks: kind, target, query without case and spacing, observation."""
-    q = F.lower(strip(F.regexp_replace(query, r"\s+", " ")))
+    q = F.lower(strip(F.regexp_replace(query, f"[{SPACE_CLASS}]+", " ")))
     return sha(F.to_json(F.struct(kind.alias("kind"), target.alias("target"), q.alias("query"), observation.alias("observation")), {"ignoreNullFields": "false"}))
 
 

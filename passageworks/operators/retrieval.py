@@ -399,8 +399,10 @@ def pack_budget(hits: DataFrame, max_bytes: int = 49152, k: int = 5, by: str = "
 
 
 def expand_neighbours(hits: DataFrame, links: DataFrame, roots: int = 8, max_extra: int = 8) -> DataFrame:
-    """R11. Fragments related to the first hits, in (hit rank, link) order, new ones only."""
-    top = hits.where(F.col("rank") <= roots).select("query_id", F.col("fragment_id"), "rank")
+    """R11. Fragments related to the first hits, in (hit rank, link) order, new ones only. The first
+    hits are those of the first positions: ranks may have holes where hits were refused."""
+    place = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))  # hits of a query are at most k
+    top = hits.withColumn("_place", place).where(F.col("_place") <= roots).select("query_id", F.col("fragment_id"), "rank")
     cand = top.join(links, "fragment_id").select(
         "query_id", F.col("related").alias("fragment_id"), F.struct("rank", "ordinal").alias("o"))
     new = cand.join(hits.select("query_id", "fragment_id"), ["query_id", "fragment_id"], "left_anti")

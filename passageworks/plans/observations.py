@@ -68,13 +68,13 @@ def v03(spark, sf):
     return V.freshness(headers(spark, sf), values(spark, sf), now()).select("evidence_id", "fresh", "status")
 
 
-@query("v04_compare", """WITH e AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'abc' WHEN 1 THEN 'NaN' WHEN 2 THEN 'Infinity' WHEN 3 THEN '5' ELSE value::VARCHAR END AS v, ['EQ', 'GT', 'GE', 'LT', 'LE', 'XX'][(event_id % 6)::INT + 1] AS op,
+@query("v04_compare", """WITH e AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'abc' WHEN 1 THEN 'NaN' WHEN 2 THEN 'Infinity' WHEN 3 THEN '5' WHEN 4 THEN ' 81' WHEN 5 THEN '81d' ELSE value::VARCHAR END AS v, ['EQ', 'GT', 'GE', 'LT', 'LE', 'XX'][(event_id % 6)::INT + 1] AS op,
   CASE WHEN event_id % 4 = 0 THEN '5.0' ELSE (user_id % 100)::VARCHAR END AS w FROM events),
-n AS (SELECT *, CASE WHEN event_id % 9 IN (0, 1, 2) THEN NULL ELSE v::DOUBLE END AS a, w::DOUBLE AS b FROM e)
+n AS (SELECT *, CASE WHEN event_id % 9 IN (0, 1, 2, 4, 5) THEN NULL ELSE v::DOUBLE END AS a, w::DOUBLE AS b FROM e)
 SELECT event_id, CASE op WHEN 'EQ' THEN v = w WHEN 'GT' THEN coalesce(a > b, false) WHEN 'GE' THEN coalesce(a >= b, false) WHEN 'LT' THEN coalesce(a < b, false) WHEN 'LE' THEN coalesce(a <= b, false) ELSE false END AS holds FROM n""")
 def v04(spark, sf):
     e = table(spark, sf, "events").selectExpr(
-        "event_id", "CASE event_id % 9 WHEN 0 THEN 'abc' WHEN 1 THEN 'NaN' WHEN 2 THEN 'Infinity' WHEN 3 THEN '5' ELSE CAST(value AS STRING) END AS v",
+        "event_id", "CASE event_id % 9 WHEN 0 THEN 'abc' WHEN 1 THEN 'NaN' WHEN 2 THEN 'Infinity' WHEN 3 THEN '5' WHEN 4 THEN ' 81' WHEN 5 THEN '81d' ELSE CAST(value AS STRING) END AS v",
         "element_at(array('EQ', 'GT', 'GE', 'LT', 'LE', 'XX'), CAST(event_id % 6 AS INT) + 1) AS op", "CASE WHEN event_id % 4 = 0 THEN '5.0' ELSE CAST(user_id % 100 AS STRING) END AS w")
     return e.select("event_id", V.compare(F.col("v"), F.col("op"), F.col("w")).alias("holds"))
 
@@ -182,7 +182,7 @@ SELECT DISTINCT a.run_id, a.step_id::BIGINT AS step_id FROM s a JOIN s b ON a.ru
 def v11(spark, sf):
     s = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("step_id")).agg(
         (F.min("l_partkey") % 3).cast("string").alias("target"), (F.min("l_suppkey") % 2).alias("q"), F.min("l_returnflag").alias("flag"), F.min("l_quantity").alias("qt"))
-    s = s.selectExpr("run_id", "step_id", "'OBSERVE' AS kind", "target", "CASE WHEN step_id % 2 = 0 THEN '  Read  VALUE ' || q ELSE 'read value ' || q END AS query", "CAST(NULL AS STRING) AS observation",
+    s = s.selectExpr("run_id", "step_id", "'OBSERVE' AS kind", "target", "CASE WHEN step_id % 2 = 0 THEN '  Read　 VALUE ' || q ELSE 'read value ' || q END AS query", "CAST(NULL AS STRING) AS observation",
                      "CASE WHEN qt < 10 THEN 'new data' ELSE '' END AS retry_reason", "flag")
     return V.repeated_steps(s.where("flag = 'N'"), s.where("flag <> 'N'"))
 

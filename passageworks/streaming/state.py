@@ -168,10 +168,6 @@ def observation_windows(values: DataFrame, size: str = "1 hour", slide: str | No
 class _Alerts(_Keyed):
     """Newest sample per condition, and what was last reported."""
 
-    def __init__(self, conditions: dict[str, int], ttl_ms: int | None = None) -> None:
-        super().__init__(ttl_ms)
-        self.conditions = conditions
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.newest = handle.getMapState("newest", "cond long", "at long, ok boolean", self.ttl_ms)
         self.said = handle.getValueState("said", "holds boolean", self.ttl_ms)
@@ -188,7 +184,7 @@ class _Alerts(_Keyed):
                 ok = ok and bool(old_ok) if old_at == at else ok
             self.newest.updateValue((int(cond),), (at, ok))
         state = [v for _, v in self.newest.iterator()]
-        holds = len(state) == self.conditions[key[1]] and all(bool(s[1]) for s in state)
+        holds = len(state) == int(d["need"].iat[0]) and all(bool(s[1]) for s in state)
         if not self.said.exists() or self.said.get()[0] != holds:
             self.said.update((holds,))
             yield pd.DataFrame({"device_id": [key[0]], "rule_id": [key[1]], "holds": [holds], "at": [max(int(s[0]) for s in state)]})
@@ -197,17 +193,14 @@ class _Alerts(_Keyed):
 def rule_alerts_stream(values: DataFrame, conditions: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """X5. A row whenever a rule starts or stops holding on the newest samples of a device.
 
-    ``conditions(rule_id, cond_no, field, operator, value, unit)`` are a few hundred published rows at
-    most; that is checked before they are broadcast. All samples at the newest time must agree."""
-    rows = conditions.groupBy("rule_id").count().limit(10001).collect()
-    if len(rows) > 10000:
-        raise ValueError("more than 10000 rules")
-    need = {r["rule_id"]: int(r["count"]) for r in rows}
-    c = F.broadcast(conditions.select("rule_id", "cond_no", "field", "operator", F.col("value").alias("want"), F.col("unit").alias("want_unit")))
+    ``conditions(rule_id, cond_no, field, operator, value, unit)`` may be any number of rows; each carries
+    its rule's number of conditions. All samples at the newest time must agree."""
+    need = conditions.groupBy("rule_id").agg(F.count("*").alias("need"))
+    c = conditions.join(need, "rule_id").select("rule_id", "cond_no", "field", "operator", F.col("value").alias("want"), F.col("unit").alias("want_unit"), "need")
     j = values.join(c, "field").select(
         "device_id", "rule_id", F.col("cond_no").cast("long").alias("cond_no"), F.unix_micros(F.col("observed_at").cast("timestamp")).alias("at"),
-        ((F.col("unit") == F.col("want_unit")) & compare(F.col("value"), F.col("operator"), F.col("want"))).alias("ok"))
-    return _run(j, ["device_id", "rule_id"], _Alerts(need, ttl_ms), "device_id long, rule_id string, holds boolean, at long")
+        ((F.col("unit") == F.col("want_unit")) & compare(F.col("value"), F.col("operator"), F.col("want"))).alias("ok"), "need")
+    return _run(j, ["device_id", "rule_id"], _Alerts(ttl_ms), "device_id long, rule_id string, holds boolean, at long")
 
 
 def latency_pairs_stream(accepted: DataFrame, deltas: DataFrame, bound: str = "1 hour", late: str = "10 minutes") -> DataFrame:

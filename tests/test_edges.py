@@ -178,3 +178,27 @@ def test_a_generation_is_published_only_if_complete(spark, tmp_path):
     assert not FI.publish_generation(f, r, m(2), str(tmp_path), "g1")
     assert FI.publish_generation(f, r, m(1), str(tmp_path), "g2")
     assert FI.read_current(spark, str(tmp_path), "fragments").count() == 2
+
+
+def test_numbers_are_whole_decimals(spark):
+    from passageworks.operators.observations import compare
+
+    rows = [(v, v in ("81", "+81", "8.1e1", "81.")) for v in ("81", "+81", "8.1e1", "81.", " 81", "81 ", "81d", "81f", "NaN", "Infinity", "", None)]
+    d = spark.createDataFrame(rows, "v string, want boolean")
+    assert all(r.got == r.want for r in d.select("want", compare(F.col("v"), F.lit("GT"), F.lit("80")).alias("got")).collect())
+
+
+def test_neighbours_start_from_positions(spark):
+    from passageworks.operators.retrieval import expand_neighbours
+
+    hits = spark.createDataFrame([(1, 10, 3), (1, 11, 12)], "query_id int, fragment_id int, rank int")
+    links = spark.createDataFrame([(10, 0, 20), (11, 0, 21)], "fragment_id int, ordinal int, related int")
+    assert [tuple(r) for r in expand_neighbours(hits, links, roots=2).orderBy("extra").collect()] == [(1, 20, 1, 3), (1, 21, 2, 12)]
+
+
+def test_many_literals(spark):
+    from passageworks.operators.enrichment import scan_literals
+
+    d = spark.createDataFrame([("a", "x k1004 y"), ("b", "none")], "source string, text string")
+    out = scan_literals(d, "text", "source", [f"k{n}" for n in range(1000, 2005)]).collect()
+    assert [(r.source, r.texts) for r in out] == [("a", 1)]
