@@ -140,7 +140,7 @@ class Model:
     scale: float = 1.0
     centre: np.ndarray | None = None
     spread: np.ndarray | None = None  # (languages, 2): variance of the mean and per character
-    z: float = 8.0
+    z: float = 14.0  # wide: a text in two of the languages is no junk
 
     def entropy(self, code: np.ndarray) -> np.ndarray:
         """Minus log probability, (codes, languages)."""
