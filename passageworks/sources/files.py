@@ -93,18 +93,18 @@ def generation_gaps(counts: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def publish_generation(frags: DataFrame, reps: DataFrame, manifest: DataFrame, root: str, generation: str) -> bool:
     """S14. Write a generation beside the others, compare what was written with the manifest, and only
-    then let ``current`` name it. Readers take the generation that ``current`` names."""
+    then add it to ``current``. Readers take the newest generation there, so a failed write loses nothing."""
     spark = frags.sparkSession
     frags.write.mode("overwrite").parquet(f"{root}/fragments/generation={generation}")
     reps.write.mode("overwrite").parquet(f"{root}/representations/generation={generation}")
     back = [spark.read.parquet(f"{root}/{t}/generation={generation}") for t in ("fragments", "representations")]
     if not generation_gaps(generation_counts(*back), manifest).isEmpty():
         return False
-    spark.createDataFrame([(generation,)], "generation string").write.mode("overwrite").parquet(f"{root}/current")
+    spark.createDataFrame([(generation,)], "generation string").withColumn("published_at", F.current_timestamp()).write.mode("append").parquet(f"{root}/current")
     return True
 
 
 def read_current(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """S14. A table of the published generation."""
-    g = spark.read.parquet(f"{root}/current").first()["generation"]
+    """S14. A table of the generation published last."""
+    g = spark.read.parquet(f"{root}/current").agg(F.max_by("generation", "published_at")).first()[0]
     return spark.read.parquet(f"{root}/{table}").where(F.col("generation") == g)

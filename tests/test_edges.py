@@ -178,6 +178,8 @@ def test_a_generation_is_published_only_if_complete(spark, tmp_path):
     assert not FI.publish_generation(f, r, m(2), str(tmp_path), "g1")
     assert FI.publish_generation(f, r, m(1), str(tmp_path), "g2")
     assert FI.read_current(spark, str(tmp_path), "fragments").count() == 2
+    assert FI.publish_generation(f.limit(1), r, m(1).withColumn("fragments", F.lit(1).cast("long")), str(tmp_path), "g3")
+    assert FI.read_current(spark, str(tmp_path), "fragments").count() == 1 and spark.read.parquet(f"{tmp_path}/current").count() == 2
 
 
 def test_numbers_are_whole_decimals(spark):
@@ -202,3 +204,21 @@ def test_many_literals(spark):
     d = spark.createDataFrame([("a", "x k1004 y"), ("b", "none")], "source string, text string")
     out = scan_literals(d, "text", "source", [f"k{n}" for n in range(1000, 2005)]).collect()
     assert [(r.source, r.texts) for r in out] == [("a", 1)]
+
+
+def test_spans_fill_rows(spark):
+    from passageworks.sources import pages as PG
+
+    c = lambda t, r=1, k=1: (t, r, k)
+    tables = [
+        (1, [[c("h"), c("i"), c("j")], [c("a", 3), c("b", 1, 2)], [c("x"), c("y", 2)], [c("z")], [c("p"), c("q"), c("r")]]),
+        (2, [[c("h"), c("h"), c("j")], [c("a"), c("b", 2), c("d")], [c("w", 1, 2)], [c("o", None, None), c("n", 1, 0), c("m", 1, 2)]]),
+        (3, [[c("h")], None, [], [c(None)]]), (4, []), (5, None), (6, [None])]
+    t = spark.createDataFrame(tables, "table_id long, rows array<array<struct<text string, rowspan int, colspan int>>>")
+    good, ragged = PG.expand_spans(t)
+    got = {(r["table_id"], r["row"]): (r["cells"], r["text"]) for r in good.collect()}
+    assert got == {
+        (1, 1): (["a", "b", "b"], "h：a\ni：b\nj：b"), (1, 2): (["a", "x", "y"], "h：a\ni：x\nj：y"), (1, 3): (["a", "z", "y"], "h：a\ni：z\nj：y"),
+        (1, 4): (["p", "q", "r"], "h：p\ni：q\nj：r"), (2, 1): (["a", "b", "d"], "h：b\nj：d"),
+        (2, 3): (["o", "m", "m"], "h：m\nj：m"), (3, 3): ([None], "")}
+    assert sorted(map(tuple, ragged.collect())) == [(2, 2), (3, 1), (3, 2)]
