@@ -186,31 +186,44 @@ def _grams(ws: Column, n: int) -> Column:
 def containment(needles: DataFrame, corpus: DataFrame, n: int = 3) -> DataFrame:
     """M12. Every (needle, document) where the document contains the needle, letter by letter.
 
-    A candidate must share one run of n inner words with the needle: of those runs the rarest in the
-    corpus is chosen, so the join on it stays small; ``contains`` then decides. The needle's first and
-    last word may be cut words in the document and are left out. Needles with fewer than n inner words
-    are compared with a broadcast of just those texts when they are few, and refused otherwise."""
+    A candidate must share a key with the needle: of the needle's keys the rarest in the corpus is
+    chosen, so the join on it stays small; ``contains`` then decides. Keys are runs of n inner words,
+    or single inner words where a needle has fewer, or runs of up to three letters where it has none.
+    The needle's first and last word may be cut words in the document and are no keys. The empty
+    needle is in every document, a null one in none."""
     ws = words(F.col("text"))
-    nd = needles.select("needle_id", "text", F.slice(ws, 2, F.greatest(F.size(ws) - 2, F.lit(0))).alias("inner"))
-    long = nd.where(F.size("inner") >= n).withColumn("gs", _grams(F.col("inner"), n))
-    grams = long.select("needle_id", F.explode("gs").alias("g"))
-    # The word runs of the corpus, cut down to those of the needles before anything is exchanged.
-    vocabulary = grams.select("g").distinct()
-    posting = corpus.select("doc_id", F.explode(let(words(F.col("text")), lambda x: _grams(x, n))).alias("g")).join(vocabulary, "g", "left_semi")
+    nd = needles.where("text IS NOT NULL").select("needle_id", "text", F.slice(ws, 2, F.greatest(F.size(ws) - 2, F.lit(0))).alias("inner"))
+    keys = F.when(F.size("inner") >= n, _grams(F.col("inner"), n)).otherwise(F.array_distinct("inner"))
+    grams = nd.where(F.size("inner") > 0).select("needle_id", F.explode(keys).alias("g"))
+    out = _holding(nd, grams, corpus, let(words(F.col("text")), lambda x: F.array_union(_grams(x, n), x)))
+    bare = nd.where((F.size("inner") == 0) & (F.col("text") != ""))
+    if not bare.isEmpty():
+        letters = F.least(F.char_length("text"), F.lit(3))
+        grams = bare.select("needle_id", F.explode(F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.char_length("text") - letters + 1), lambda i: F.substring("text", i, letters)))).alias("g"))
+        out = out.unionByName(_holding(bare, grams, corpus, let(F.split("text", ""), lambda x: F.array_union(_runs(x, 3), F.array_union(_runs(x, 2), x)))))
+    empty = nd.where(F.col("text") == "").select("needle_id")
+    if not empty.isEmpty():  # its result is every document
+        everywhere = corpus.where("text IS NOT NULL").select(F.lit("").alias("g"), "doc_id")
+        out = out.unionByName(empty.select("needle_id", F.lit("").alias("g")).join(everywhere, "g").select("needle_id", "doc_id"))
+    return out
+
+
+def _runs(letters: Column, k: int) -> Column:
+    """Distinct runs of k letters."""
+    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(letters) - k, F.lit(0))), lambda i: i + k <= F.size(letters))
+    return F.array_distinct(F.transform(at, lambda i: F.concat(*[letters[i + d] for d in range(k)])))
+
+
+def _holding(needles: DataFrame, grams: DataFrame, corpus: DataFrame, keys: Column) -> DataFrame:
+    """The needles of ``grams(needle_id, g)`` with the documents that hold their rarest key and contain them."""
+    # The keys of the corpus, cut down to those of the needles before anything is exchanged.
+    posting = corpus.select("doc_id", F.explode(keys).alias("g")).join(grams.select("g").distinct(), "g", "left_semi")
     freq = posting.groupBy("g").agg(F.count("*").alias("df"))
     rare = grams.join(freq, "g", "left").groupBy("needle_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")).alias("x"))
     cand = rare.select("needle_id", F.col("x.g").alias("g")).join(posting, "g").select("needle_id", "doc_id")
-    found = cand.join(long.select("needle_id", F.col("text").alias("needle")), "needle_id").join(corpus.select("doc_id", "text"), "doc_id")
-    out = found.where(F.contains("text", F.col("needle"))).select("needle_id", "doc_id")
-    short = nd.where(F.size("inner") < n).select("needle_id", F.col("text").alias("needle"))
-    few = short.limit(1001).collect()
-    if len(few) > 1000:
-        raise ValueError("more than 1000 needles have too few words to be indexed; lower n")
-    if few:
-        lit = F.array(*[F.struct(F.lit(r["needle_id"]).alias("needle_id"), F.lit(r["needle"]).alias("needle")) for r in few])
-        scan = corpus.select("doc_id", F.explode(F.filter(lit, lambda x: F.contains(F.col("text"), x["needle"]))).alias("x"))
-        out = out.unionByName(scan.select("x.needle_id", "doc_id"))
-    return out
+    found = cand.join(needles.select("needle_id", F.col("text").alias("needle")), "needle_id").join(corpus.select("doc_id", "text"), "doc_id")
+    return found.where(F.contains("text", F.col("needle"))).select("needle_id", "doc_id")
 
 
 def absent(needles: DataFrame, corpus: DataFrame, n: int = 3) -> DataFrame:

@@ -222,3 +222,13 @@ def test_spans_fill_rows(spark):
         (1, 4): (["p", "q", "r"], "h：p\ni：q\nj：r"), (2, 1): (["a", "b", "d"], "h：b\nj：d"),
         (2, 3): (["o", "m", "m"], "h：m\nj：m"), (3, 3): ([None], "")}
     assert sorted(map(tuple, ragged.collect())) == [(2, 2), (3, 1), (3, 2)]
+
+
+def test_containment_has_no_limit_on_short_needles(spark):
+    texts = [f"alpha w{i} beta 汉字{i} tail" for i in range(1300)] + ["", "x", "Äé\U0001D4B3 end", None]
+    d = docs(spark, *texts)
+    needles = [f"w{i} beta" for i in range(1200)] + [f"a w{i} b" for i in range(50)] + ["", None, "x", "\U0001D4B3", "é\U0001D4B3 e", "字7 t", "no such", "a", "w1 beta 汉字1 t"]
+    n = spark.createDataFrame(list(enumerate(needles)), "needle_id long, text string")
+    want = sorted((i, j) for i, x in enumerate(needles) if x is not None for j, t in enumerate(texts) if t is not None and x in t)
+    assert sorted(map(tuple, M.containment(n, d).collect())) == want
+    assert sorted(r[0] for r in M.absent(n, d).collect()) == [i for i in range(len(needles)) if i not in {w[0] for w in want}]
