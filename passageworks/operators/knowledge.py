@@ -175,14 +175,9 @@ def two_level_digest(df: DataFrame, order: str, value: str, digits: int = 4) ->
         "items", sha(F.array_join(F.transform("xs", lambda x: x["d"]), "\n")).alias("digest"))
 
 
-def corpus_generation(published_ids: DataFrame, limit: int = 1_000_000) -> DataFrame:
-    """K6. sha256 of the sorted ids, the value of a single corpus; ``two_level_digest`` is for more
-    than ``limit`` ids, which this refuses."""
-    n = published_ids.count()
-    if n > limit:
-        raise ValueError(f"{n} ids exceed {limit}; use two_level_digest")
-    ids = F.array_sort(F.collect_list(F.col("revision_id").cast("string")))
-    return published_ids.agg(sha(F.array_join(ids, "\n")).alias("generation"))
+def corpus_generation(published_ids: DataFrame) -> DataFrame:
+    """K6. The generation of a corpus: ``two_level_digest`` of its ids, for any number of them."""
+    return two_level_digest(published_ids, "revision_id", "revision_id").select(F.col("digest").alias("generation"))
 
 
 def newest_snapshots(arrivals: DataFrame, chunk: str) -> tuple[DataFrame, DataFrame]:

@@ -258,13 +258,14 @@ def m15b(spark, sf):
 def gate(spark, sf):
     c = table(spark, sf, "customer")
     k = F.col("c_custkey")
+    block = F.expr("c_custkey div 40")  # forty experiments share a dataset
     ex = c.select(
         k.alias("experiment"), F.when(k % 2 == 0, "development").otherwise("heldout").alias("split"), F.when(k % 7 == 0, "running").otherwise("complete").alias("status"),
         F.lit(10).alias("expected"), F.when(k % 5 == 0, 9).otherwise(10).alias("completed"), (k % 9 == 0).cast("int").alias("errors"), (k % 3 == 0).alias("answers"),
         F.when(k % 4 > 0, F.col("c_acctbal") / 10000).alias("answer_accuracy"), (F.col("c_acctbal") / 9000).alias("evidence_recall"),
-        F.when(k % 11 > 0, F.lit(0.97)).alias("all_evidence"), F.lit(0.5).alias("target"), (k % 40).alias("dataset"), F.concat(F.lit("cfg"), (k % 3).cast("string")).alias("config"))
-    sel = c.where("c_custkey < 30").select(k.alias("heldout_dataset"), F.concat(F.lit("cfg"), (k % 3).cast("string")).alias("config"), k.alias("selection"))
-    uses = c.where("c_custkey < 15").select(k.alias("selection"), k.alias("experiment"))
+        F.when(k % 11 > 0, F.lit(0.97)).alias("all_evidence"), F.lit(0.5).alias("target"), block.alias("dataset"), F.concat(F.lit("cfg"), (k % 3).cast("string")).alias("config"))
+    sel = c.where((k % 40 == 1) & (block % 4 < 3)).select(block.alias("heldout_dataset"), F.concat(F.lit("cfg"), (block % 3).cast("string")).alias("config"), block.alias("selection"))
+    uses = c.where((k % 40 == 7) & (block % 4 < 2)).select(block.alias("selection"), k.alias("experiment"))
     return M.freeze_gate(ex, sel, uses)
 
 
@@ -275,8 +276,9 @@ def m16(spark, sf):
     return gate(spark, sf)[0]
 
 
-@query("m16_heldout_check", """SELECT c_custkey AS experiment, CASE WHEN c_custkey % 40 >= 30 THEN 'NOT_FROZEN' WHEN (c_custkey % 40) % 3 <> c_custkey % 3 THEN 'CONFIG_DIFFERS'
- WHEN c_custkey % 40 < 15 AND c_custkey >= 40 THEN 'ALREADY_USED' ELSE 'ALLOWED' END AS heldout_check FROM customer WHERE c_custkey % 2 = 1""")
+@query("m16_heldout_check", """WITH c AS (SELECT c_custkey AS k, c_custkey // 40 AS d FROM customer)
+SELECT k AS experiment, CASE WHEN d % 4 = 3 OR d NOT IN (SELECT d FROM c WHERE k % 40 = 1) THEN 'NOT_FROZEN' WHEN d % 3 <> k % 3 THEN 'CONFIG_DIFFERS'
+ WHEN d % 4 < 2 AND k % 40 <> 7 AND d IN (SELECT d FROM c WHERE k % 40 = 7) THEN 'ALREADY_USED' ELSE 'ALLOWED' END AS heldout_check FROM c WHERE k % 2 = 1""")
 def m16b(spark, sf):
     return gate(spark, sf)[1]
 

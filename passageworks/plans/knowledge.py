@@ -148,7 +148,9 @@ def k05(spark, sf):
     return K.gap_reasons(o, a, li.where("l_tax < 0.02 AND l_quantity < 30").select(F.col("l_orderkey").alias("query_id")), o.where("query_id % 13 = 0"))
 
 
-@query("k06_corpus_generation", "SELECT sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)) AS generation FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+@query("k06_corpus_generation", """WITH h AS (SELECT sha256(doc_id::VARCHAR) AS k, doc_id::VARCHAR AS v FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+g AS (SELECT left(k, 4) AS p, sha256(string_agg(v, chr(10) ORDER BY k)) AS d FROM h GROUP BY 1)
+SELECT sha256(string_agg(d, chr(10) ORDER BY p)) AS generation FROM g""")
 def k06(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels").where("toxic = 1"), "doc_id", "left_anti")
     return K.corpus_generation(d.select(F.col("doc_id").alias("revision_id")))
