@@ -1,51 +1,96 @@
 """Many queries against a corpus: lexical, BM25 and vector search, fusion and packing.
 
-The corpus is never shuffled for scoring while the query set fits a checked size: each task
-scores its own fragments against the query index and keeps its own best k; only those rows
-are exchanged. Larger query sets take a join on terms, or several query blocks.
+The corpus is never shuffled for scoring. Queries of any number are cut into blocks bounded by rows,
+bytes and matrix cells; each task scores its own fragments against one block and keeps its own
+best k. These rows are written to the shared folder, so that what follows knows their size, reads them
+as often as it likes and never scores twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from passageworks.functions.scale import shared_folder
 from passageworks.functions.text import let, terms
 from passageworks.operators.topk import LocalBest, rank_topk
 
-INDEX_ROWS = 4096          # queries held by a task at once
-INDEX_BYTES = 32 << 20     # bytes of query text held by a task at once
+BLOCK_ROWS = 4096          # queries of a block, about
+BLOCK_BYTES = 32 << 20     # bytes of query text of a block, about
+BLOCK_CELLS = 16 << 20     # cells of a block's (vocabulary x queries) matrix, unless it is one query
 GATHER_CELLS = 4 << 20     # cells of one numpy gather
-JOIN_SALTS = 32            # fragment buckets a term's postings are spread over in the join path
 SCORE_DIGITS = 6           # scores are rounded before ranking, so that equal scores tie by id
 
 
-def fits(queries: DataFrame, col: str = "text") -> bool:
-    """Whether the query set may be held by every task."""
-    r = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(col)), F.lit(0)).alias("b")).first()
-    return r["n"] <= INDEX_ROWS and r["b"] <= INDEX_BYTES
+def _blocks(queries: DataFrame, size: Column, rows: int, limit: int) -> Iterator[DataFrame]:
+    """The query set by hash of the id, in as many parts as its rows and sizes ask for."""
+    r = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
+    n = max(1, -(-r["n"] // rows), -(-r["b"] // limit))
+    for i in range(n):
+        yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
+
+
+class _Best:
+    """The table that gathers the best rows of all blocks; a block's broadcast ends with its job."""
+
+    def __init__(self, spark: SparkSession, schema: T.StructType) -> None:
+        self.spark, self.schema, self.n = spark, schema, 0
+        self.path = f"{shared_folder(spark)}/best-{uuid4().hex}"
+
+    def add(self, pool: DataFrame, index: tuple, scorer: Callable) -> None:
+        shared = self.spark.sparkContext.broadcast(index)
+        pool.mapInArrow(scorer(shared), self.schema).write.parquet(f"{self.path}/block={self.n}")
+        self.n += 1
+        shared.destroy()
+
+    def ranked(self, key: str, k: int, merge: bool = False) -> DataFrame:
+        got = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/block={i}" for i in range(self.n)])
+        if merge:
+            got = got.groupBy("query_id", key).agg(F.max("score").alias("score"))
+        return rank_topk(got, ["query_id"], [F.desc("score"), F.asc(key)], k)
 
 
 def _arrow(dt: T.DataType) -> pa.DataType:
     return {"string": pa.string(), "int": pa.int32()}.get(dt.simpleString(), pa.int64())
 
 
-def _query_index(queries: DataFrame, toks: Column) -> tuple[list, list[str], np.ndarray]:
-    """Ids, vocabulary and the (vocabulary x queries) count matrix of a checked-size query set."""
-    rows = queries.select("query_id", toks.alias("t")).orderBy("query_id").collect()
-    vocab = {t: i for i, t in enumerate(sorted({t for r in rows for t in r["t"]}))}
-    m = np.zeros((len(vocab), len(rows)), dtype=np.float64)
-    for j, r in enumerate(rows):
-        for t in r["t"]:
-            m[vocab[t], j] += 1
-    return [r["query_id"] for r in rows], list(vocab), m
+def _query_indexes(queries: DataFrame, toks: Column, rows: int) -> Iterator[tuple[list, list[str], np.ndarray]]:
+    """Ids, vocabulary and the (vocabulary x queries) count matrix of one block after the other."""
+    for block in _blocks(queries, F.octet_length("text"), rows, BLOCK_BYTES):
+        got = block.select("query_id", toks.alias("t")).orderBy("query_id").collect()  # a block of bounded size
+        while True:
+            vocab: dict[str, int] = {}
+            taken = 0
+            for r in got:
+                new = [t for t in dict.fromkeys(r["t"] or []) if t not in vocab]
+                if taken and (len(vocab) + len(new)) * (taken + 1) > BLOCK_CELLS:
+                    break
+                vocab |= {t: len(vocab) + i for i, t in enumerate(new)}
+                taken += 1
+            m = np.zeros((len(vocab), taken))
+            for j, r in enumerate(got[:taken]):
+                for t in r["t"] or []:
+                    m[vocab[t], j] += 1
+            yield [r["query_id"] for r in got[:taken]], list(vocab), m
+            got = got[taken:]
+            if not got:
+                break
+
+
+def _slices(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that (rows x columns) stays bounded."""
+    step = max(1, GATHER_CELLS // max(1, columns))
+    for b in batches:
+        for a in range(0, b.num_rows, step):
+            yield b.slice(a, step)
 
 
 def _hits(col: pa.ListArray, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,46 +113,31 @@ def _accumulate(n: int, row: np.ndarray, weights: np.ndarray, term: np.ndarray,
     return out
 
 
-def lexical_topk(queries: DataFrame, frags: DataFrame, k: int = 5, by: str = "fragment_id") -> DataFrame:
+def lexical_topk(queries: DataFrame, frags: DataFrame, k: int = 5, by: str = "fragment_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """R1. ``query_id, <by>, score, rank``: the number of shared terms, ties by id ascending.
 
     ``frags`` has ``text`` = title, section and content joined by blanks."""
-    if not fits(queries):
-        return lexical_topk_join(queries, frags, k, by)
-    spark = queries.sparkSession
-    ids, vocab, m = _query_index(queries, terms(F.col("text")))
-    shared = spark.sparkContext.broadcast((ids, vocab, np.minimum(m, 1.0)))
     qt, ft = queries.schema["query_id"].dataType, frags.schema[by].dataType
     types = (_arrow(qt), _arrow(ft), pa.int64())
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, words, matrix = shared.value
-        vocab_array = pa.array(words, pa.string())
-        best = LocalBest(len(q_ids), k)
-        for b in batches:
-            row, term = _hits(b.column(1), vocab_array)
-            s = _accumulate(b.num_rows, row, np.ones(len(row)), term, matrix)
-            best.add(b.column(0).to_numpy(zero_copy_only=False), s)
-        yield from best.batch(q_ids, ("query_id", by, "score"), types)
-
-    schema = T.StructType([T.StructField("query_id", qt), T.StructField(by, ft), T.StructField("score", T.LongType())])
-    local = frags.select(by, terms(F.col("text")).alias("t")).mapInArrow(score, schema)
-    return rank_topk(local, ["query_id"], [F.desc("score"), F.asc(by)], k, by)
-
-
-def _salted_terms(queries: DataFrame, frags: DataFrame, by: str, q_toks: Column, f_toks: Column) -> tuple[DataFrame, DataFrame]:
-    """Both sides as (term, salt) rows: a term's postings spread over salts by fragment, its
-    queries repeated per salt, so that no term meets in a single task."""
-    f = frags.select(by, F.pmod(F.xxhash64(by), F.lit(JOIN_SALTS)).alias("salt"), F.explode(f_toks).alias("term"))
-    q = queries.select("query_id", F.explode(q_toks).alias("term"))
-    return q.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(JOIN_SALTS - 1).cast("bigint")))), f
+    def scorer(shared):
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q_ids, words, matrix = shared.value
+            vocab_array = pa.array(words, pa.string())
+            best = LocalBest(len(q_ids), k)
+            for b in _slices(batches, len(q_ids)):
+                row, term = _hits(b.column(1), vocab_array)
+                s = _accumulate(b.num_rows, row, np.ones(len(row)), term, matrix)
+                best.add(b.column(0).to_numpy(zero_copy_only=False), s)
+            yield from best.batch(q_ids, ("query_id", by, "score"), types)
 
+        return score
 
-def lexical_topk_join(queries: DataFrame, frags: DataFrame, k: int = 5, by: str = "fragment_id") -> DataFrame:
-    """R1 for query sets of any size: a salted equi-join on terms, counted map-side first."""
-    q, f = _salted_terms(queries, frags, by, terms(F.col("text")), terms(F.col("text")))
-    counts = q.join(f, ["term", "salt"]).groupBy("query_id", by).agg(F.count("*").alias("score"))
-    return rank_topk(counts, ["query_id"], [F.desc("score"), F.asc(by)], k, by)
+    out = _Best(queries.sparkSession, T.StructType([T.StructField("query_id", qt), T.StructField(by, ft), T.StructField("score", T.LongType())]))
+    pool = frags.select(by, terms(F.col("text")).alias("t"))
+    for ids, vocab, m in _query_indexes(queries, terms(F.col("text")), block_rows):
+        out.add(pool, (ids, vocab, np.minimum(m, 1.0)), scorer)
+    return out.ranked(by, k)
 
 
 # Code-point ranges indexed as overlapping pairs, and the analyzer's stop words.
@@ -137,21 +167,6 @@ def analyze(col: Column) -> Column:
 FIELDS = {"retrieval_content": 2.0, "content": 1.0, "section": 1.0, "title": 1.0}
 
 
-def corpus_statistics(frags: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per field: documents and mean length; per (field, query term): document frequency.
-
-    Only query terms are counted, each map task sends one row per term."""
-    long = frags.select(
-        F.explode(F.array(*[F.struct(F.lit(f).alias("field"), analyze(F.col(f)).alias("toks")) for f in FIELDS])).alias("x")
-    ).select("x.field", "x.toks")
-    lengths = long.groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avg_len"))
-    df = (
-        long.select("field", F.explode(F.array_distinct("toks")).alias("term"))
-        .join(vocabulary, "term").groupBy("field", "term").agg(F.count("*").alias("df"))
-    )
-    return lengths, df
-
-
 def _vocabulary_counts(frags: DataFrame, vocab: list[str]) -> DataFrame:
     """Document frequency per (field, query term) and total length per field (term -1), counted
     inside each task so that a task sends at most one row per field and query term."""
@@ -182,78 +197,55 @@ def _vocabulary_counts(frags: DataFrame, vocab: list[str]) -> DataFrame:
     return part.groupBy("field", "term").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
 
 
+def _field_weights(frags: DataFrame, vocab: list[str]) -> tuple[dict[str, np.ndarray], dict[str, float]]:
+    """Per field, the idf of each word of a block's vocabulary and the mean length."""
+    counted = _vocabulary_counts(frags, vocab).collect()  # four rows a word; those of word -1 have the lengths
+    total = {r["field"]: r for r in counted if r["term"] < 0}
+    idf = {f: np.zeros(len(vocab)) for f in FIELDS}
+    for r in counted:
+        if r["term"] >= 0:
+            idf[r["field"]][r["term"]] = np.log(1 + (total[r["field"]]["n"] - r["n"] + 0.5) / (r["n"] + 0.5))
+    return idf, {f: total[f]["size"] / total[f]["n"] or 1.0 if f in total else 1.0 for f in FIELDS}
+
+
 def bm25_topk(
     queries: DataFrame, frags: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75,
-    eligible: DataFrame | None = None, by: str = "fragment_id",
+    eligible: DataFrame | None = None, by: str = "fragment_id", block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """R2. BM25 over the four fields, best boosted field per (query, fragment); eligible
     revisions only, filtered before scoring. Statistics are those of the whole index."""
     pool = frags if eligible is None else frags.join(eligible, "revision_id", "left_semi")
-    if not fits(queries):
-        return bm25_topk_join(queries, frags, pool, k, k1, b, by)
-    spark = queries.sparkSession
-    ids, vocab, m = _query_index(queries, analyze(F.col("text")))
-    stats = {f: (0, 0.0) for f in FIELDS}
-    idf = {f: np.zeros(len(vocab)) for f in FIELDS}
-    # At most four rows per word of a checked-size vocabulary; the row of word -1 has the lengths.
-    counted = _vocabulary_counts(frags, vocab).collect()
-    for r in counted:
-        if r["term"] < 0:
-            stats[r["field"]] = (r["n"], r["size"] / r["n"] or 1.0)
-    for r in counted:
-        if r["term"] >= 0:
-            n = stats[r["field"]][0]
-            idf[r["field"]][r["term"]] = np.log(1 + (n - r["n"] + 0.5) / (r["n"] + 0.5))
-    shared = spark.sparkContext.broadcast((ids, vocab, m, idf, stats))
     qt, ft = queries.schema["query_id"].dataType, frags.schema[by].dataType
     types = (_arrow(qt), _arrow(ft), pa.float64())
     fields = list(FIELDS)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, names, matrix, weight, stat = shared.value
-        vocab_array = pa.array(names, pa.string())
-        best = LocalBest(len(q_ids), k)
-        for batch in batches:
-            total = np.zeros((batch.num_rows, len(q_ids)))
-            for i, field in enumerate(fields):
-                toks = batch.column(i + 1)
-                row, term = _hits(toks, vocab_array)
-                if not len(row):
-                    continue
-                pair, tf = np.unique(row * len(names) + term, return_counts=True)
-                row, term = pair // len(names), pair % len(names)
-                size = np.diff(toks.offsets.to_numpy())[row]
-                w = weight[field][term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / stat[field][1]))
-                np.maximum(total, FIELDS[field] * _accumulate(batch.num_rows, row, w, term, matrix), out=total)
-            best.add(batch.column(0).to_numpy(zero_copy_only=False), np.round(total, SCORE_DIGITS))
-        yield from best.batch(q_ids, ("query_id", by, "score"), types)
-
-    schema = T.StructType([T.StructField("query_id", qt), T.StructField(by, ft), T.StructField("score", T.DoubleType())])
-    local = pool.select(by, *[analyze(F.col(f)).alias(f) for f in FIELDS]).mapInArrow(score, schema)
-    return rank_topk(local, ["query_id"], [F.desc("score"), F.asc(by)], k, by)
-
-
-def bm25_topk_join(queries: DataFrame, frags: DataFrame, pool: DataFrame, k: int, k1: float, b: float, by: str) -> DataFrame:
-    """R2 for query sets of any size: postings joined to query terms, salted by fragment."""
-    q = queries.select("query_id", F.explode(analyze(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(
-        F.count("*").alias("qtf"))
-    lengths, dfs = corpus_statistics(frags, q.select("term").distinct())
-    weights = dfs.join(F.broadcast(lengths), "field").select(
-        "field", "term", "avg_len", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(JOIN_SALTS - 1).cast("bigint")))
-    right = q.join(weights, "term").withColumn("salt", salts)
-    long = pool.select(
-        by, F.pmod(F.xxhash64(by), F.lit(JOIN_SALTS)).alias("salt"),
-        F.explode(F.array(*[F.struct(F.lit(f).alias("field"), analyze(F.col(f)).alias("toks")) for f in FIELDS])).alias("x"),
-    ).select(by, "salt", "x.field", F.size("x.toks").alias("size"), F.explode("x.toks").alias("term"))
-    tf = long.groupBy(by, "salt", "field", "size", "term").agg(F.count("*").alias("tf"))
-    part = tf.join(right, ["field", "term", "salt"]).withColumn(
-        "w", F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1)
-        / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("avg_len"))))
-    boost = F.create_map(*[F.lit(v) for kv in FIELDS.items() for v in kv])
-    per = part.groupBy("query_id", by, "field").agg((F.sum("w") * F.first(boost[F.col("field")])).alias("s"))
-    total = per.groupBy("query_id", by).agg(F.round(F.max("s"), SCORE_DIGITS).alias("score")).where("score > 0")
-    return rank_topk(total, ["query_id"], [F.desc("score"), F.asc(by)], k, by)
+    def scorer(shared):
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q_ids, names, matrix, weight, mean = shared.value
+            vocab_array = pa.array(names, pa.string())
+            best = LocalBest(len(q_ids), k)
+            for batch in _slices(batches, len(q_ids)):
+                total = np.zeros((batch.num_rows, len(q_ids)))
+                for i, field in enumerate(fields):
+                    toks = batch.column(i + 1)
+                    row, term = _hits(toks, vocab_array)
+                    if not len(row):
+                        continue
+                    pair, tf = np.unique(row * len(names) + term, return_counts=True)
+                    row, term = pair // len(names), pair % len(names)
+                    size = np.diff(toks.offsets.to_numpy())[row]
+                    w = weight[field][term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean[field]))
+                    np.maximum(total, FIELDS[field] * _accumulate(batch.num_rows, row, w, term, matrix), out=total)
+                best.add(batch.column(0).to_numpy(zero_copy_only=False), np.round(total, SCORE_DIGITS))
+            yield from best.batch(q_ids, ("query_id", by, "score"), types)
+
+        return score
+
+    out = _Best(queries.sparkSession, T.StructType([T.StructField("query_id", qt), T.StructField(by, ft), T.StructField("score", T.DoubleType())]))
+    scored = pool.select(by, *[analyze(F.col(f)).alias(f) for f in FIELDS])
+    for ids, vocab, m in _query_indexes(queries, analyze(F.col("text")), block_rows):
+        out.add(scored, (ids, vocab, m, *_field_weights(frags, vocab)), scorer)
+    return out.ranked(by, k)
 
 
 def _unit(col: pa.ListArray, dims: int) -> np.ndarray:
@@ -267,69 +259,40 @@ def _unit(col: pa.ListArray, dims: int) -> np.ndarray:
 
 def dense_topk(
     query_vecs: DataFrame, vecs: DataFrame, k: int = 20, eligible: DataFrame | None = None,
-    by: str = "vec_id", dims: int = 64, owner: str | None = None, block_rows: int = INDEX_ROWS,
+    by: str = "vec_id", dims: int = 64, owner: str | None = None, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """R3. Exact cosine: query blocks of a fixed size as a matrix, the corpus streamed past them.
 
-    R4 with ``owner``: several vectors belong to one owner; the best vector decides, inside the
-    task and again after the exchange, before the cut at k."""
+    R4 with ``owner``: several vectors belong to one owner, the best vector decides. A task sends its k
+    best owners only: an owner that is not among them where its best vector lies is behind k others."""
     pool = vecs if eligible is None else vecs.join(eligible, by, "left_semi")
-    spark = query_vecs.sparkSession
-    n = query_vecs.count()
-    blocks = max(1, -(-n // block_rows))
     key = owner or by
     qt, ft = query_vecs.schema["query_id"].dataType, vecs.schema[key].dataType
     types = (_arrow(qt), _arrow(ft), pa.float64())
-    schema = T.StructType([T.StructField("query_id", qt), T.StructField(key, ft), T.StructField("score", T.DoubleType())])
 
     def scorer(shared):
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q_ids, matrix = shared.value
-            best = LocalBest(len(q_ids), k)
-            held: dict = {}
-            for b in batches:
+            best = LocalBest(len(q_ids), k, merge=owner is not None)
+            for b in _slices(batches, len(q_ids)):
                 s = np.round(_unit(b.column(1), dims) @ matrix.T, SCORE_DIGITS)
                 ids = b.column(0).to_numpy(zero_copy_only=False)
-                if owner is None:
-                    best.add(ids, s, positive_only=False)
-                    continue
-                for o in np.unique(ids):
-                    m = s[ids == o].max(axis=0)
-                    held[o] = np.maximum(held[o], m) if o in held else m
-                if len(held) * len(q_ids) > GATHER_CELLS:
-                    yield from _owner_rows(held, q_ids, key, types)
-                    held = {}
-            if owner is None:
-                yield from best.batch(q_ids, ("query_id", key, "score"), types)
-            elif held:
-                yield from _owner_rows(held, q_ids, key, types)
+                if owner is not None:
+                    order = np.argsort(ids, kind="stable")
+                    first = np.flatnonzero(np.r_[True, ids[order][1:] != ids[order][:-1]])
+                    ids, s = ids[order][first], np.maximum.reduceat(s[order], first, axis=0)
+                best.add(ids, s, positive_only=False)
+            yield from best.batch(q_ids, ("query_id", key, "score"), types)
 
         return score
 
-    out = None
-    for i in range(blocks):
-        q = query_vecs if blocks == 1 else query_vecs.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        rows = q.select("query_id", "embedding").collect()  # one block of a fixed size
-        if not rows:
-            continue
+    out = _Best(query_vecs.sparkSession, T.StructType([T.StructField("query_id", qt), T.StructField(key, ft), T.StructField("score", T.DoubleType())]))
+    for block in _blocks(query_vecs.select("query_id", "embedding"), F.lit(0), block_rows, 1):
+        rows = block.collect()  # one block of a fixed size
         m = np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(len(rows), dims)
         norm = np.linalg.norm(m, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast(([r["query_id"] for r in rows], m / np.where(norm == 0, 1, norm)))
-        part = pool.select(key, "embedding").mapInArrow(scorer(shared), schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], schema)
-    if owner is not None:
-        out = out.groupBy("query_id", key).agg(F.max("score").alias("score"))
-    return rank_topk(out, ["query_id"], [F.desc("score"), F.asc(key)], k, key)
-
-
-def _owner_rows(held: dict, q_ids: list, key: str, types: tuple) -> Iterator[pa.RecordBatch]:
-    owners = list(held)
-    m = np.array([held[o] for o in owners])
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(q_ids * len(owners), types[0]), pa.array(np.repeat(owners, len(q_ids)).tolist(), types[1]),
-         pa.array(m.ravel(), types[2])], names=["query_id", key, "score"])
+        out.add(pool.select(key, "embedding"), ([r["query_id"] for r in rows], m / np.where(norm == 0, 1, norm)), scorer)
+    return out.ranked(key, k, merge=owner is not None)
 
 
 def multivector_topk(query_vecs: DataFrame, rep_vecs: DataFrame, owner: str, k: int = 20, **kw) -> DataFrame:
@@ -353,7 +316,7 @@ def rrf(ranked: DataFrame, c: int = 60, k: int = 5, by: str = "fragment_id") ->
         raise ValueError("c must be 1..1000")
     s = ranked.groupBy("query_id", by).agg(
         F.round(F.sum(1.0 / (c + F.col("rank"))), 12).alias("score"))
-    return rank_topk(s, ["query_id"], [F.desc("score"), F.asc(by)], k, by)
+    return rank_topk(s, ["query_id"], [F.desc("score"), F.asc(by)], k)
 
 
 def fuse_queries(ranked: DataFrame, k: int = 20, c: int = 1, first_weight: float = 2.0, by: str = "fragment_id") -> DataFrame:
@@ -362,7 +325,7 @@ def fuse_queries(ranked: DataFrame, k: int = 20, c: int = 1, first_weight: float
     first = ranked.groupBy("query_id", "route", by).agg(F.min("rank").alias("rank"))
     w = F.when(F.col("route") == 0, F.lit(first_weight)).otherwise(1.0)
     s = first.groupBy("query_id", by).agg(F.round(F.sum(w / (c + F.col("rank"))), 12).alias("score"))
-    return rank_topk(s, ["query_id"], [F.desc("score"), F.asc(by)], k, by)
+    return rank_topk(s, ["query_id"], [F.desc("score"), F.asc(by)], k)
 
 
 def verify_hits(hits: DataFrame, frags: DataFrame, eligible: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -407,7 +370,7 @@ def expand_neighbours(hits: DataFrame, links: DataFrame, roots: int = 8, max_ext
         "query_id", F.col("related").alias("fragment_id"), F.struct("rank", "ordinal").alias("o"))
     new = cand.join(hits.select("query_id", "fragment_id"), ["query_id", "fragment_id"], "left_anti")
     one = new.groupBy("query_id", "fragment_id").agg(F.min("o").alias("o"))
-    return rank_topk(one, ["query_id"], [F.asc("o")], max_extra, "fragment_id", "extra").select(
+    return rank_topk(one, ["query_id"], [F.asc("o")], max_extra, "extra").select(
         "query_id", "fragment_id", "extra", F.col("o.rank").alias("root_rank"))
 
 
@@ -441,39 +404,27 @@ def embedding_text(title: Column, section: Column, cleaned: Column) -> Column:
     return F.concat_ws("\n", title, section, cleaned)
 
 
+def refused_texts(texts: DataFrame, max_chars: int = 32000) -> DataFrame:
+    """R5. ``id, reason`` of the texts that an encoder doesn't take: ``EMPTY`` (null, too) or ``TOO_LONG``."""
+    n = F.coalesce(F.length("text"), F.lit(0))
+    return texts.select("id", F.when(n == 0, "EMPTY").when(n > max_chars, "TOO_LONG").alias("reason")).where("reason IS NOT NULL")
+
+
 def embed(texts: DataFrame, encoder, dims: int, batch: int = 64, max_chars: int = 32000) -> DataFrame:
     """R5. ``id, text`` to ``id, embedding`` with a caller-supplied ``encoder(list[str]) -> array``.
 
-    The encoder object is shipped once per task and called on batches of at most ``batch`` texts;
-    texts outside 1..``max_chars`` characters are an error, results are scaled to unit length."""
+    The encoder object is shipped once per task and called on batches of at most ``batch`` texts of 1 to
+    ``max_chars`` characters; ``refused_texts`` has the others. Results are scaled to unit length."""
     schema = T.StructType([texts.schema["id"], T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, batch):
                 part = b.slice(a, batch)
-                txt = part.column(1).to_pylist()
-                if any(not 1 <= len(t) <= max_chars for t in txt):
-                    raise ValueError(f"texts must have 1..{max_chars} characters")
-                v = np.asarray(encoder(txt), dtype=np.float64).reshape(len(txt), dims)
+                v = np.asarray(encoder(part.column(1).to_pylist()), dtype=np.float64).reshape(part.num_rows, dims)
                 norm = np.linalg.norm(v, axis=1, keepdims=True)
                 v = (v / np.where(norm == 0, 1, norm)).astype(np.float32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(list(v), pa.list_(pa.float32()))], names=["id", "embedding"])
 
-    return texts.select("id", "text").mapInArrow(run, schema)
-
-
-def hashing_encoder(dims: int):
-    """A stand-in encoder for tests: letter trigrams hashed into signed counts."""
-    from zlib import crc32
-
-    def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dims))
-        for i, t in enumerate(texts):
-            for j in range(max(1, len(t) - 2)):
-                h = crc32(t[j:j + 3].encode())
-                out[i, h % dims] += 1 if h & 0x10000 else -1
-        return out
-
-    return encode
+    return texts.select("id", "text").where(F.length("text").between(1, max_chars)).mapInArrow(run, schema)

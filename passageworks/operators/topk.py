@@ -11,28 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-SALTED_FROM = 1000  # shuffle partitions from which a salted stage precedes the final ranking
-SALTS = 64
 
-
-def rank_topk(df: DataFrame, keys: list[str], order: list[Column], k: int, salt_on: str, name: str = "rank") -> DataFrame:
-    """``row_number() <= k`` per key.
-
-    Spark already limits each map task's output per key; when very many tasks feed few keys, a
-    salted stage first cuts the rows per key to ``SALTS * k``, so no single task sees them all.
-    """
-    if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) >= SALTED_FROM:
-        df = df.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(SALTS)))
-        df = df.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_salt").orderBy(*order))).where(F.col("_r") <= k)
-        df = df.drop("_salt", "_r")
+def rank_topk(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
+    """``row_number() <= k`` per key. Spark cuts each map task's rows to k per key before the exchange."""
     return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint")).where(F.col(name) <= k)
 
 
 class LocalBest:
     """The k best (score, id) of every query seen by one task: at most k * queries entries."""
 
-    def __init__(self, n_queries: int, k: int) -> None:
-        self.k = k
+    def __init__(self, n_queries: int, k: int, merge: bool = False) -> None:
+        """``merge``: an id may come again, its highest score counts."""
+        self.k, self.merge = k, merge
         self.best: list[list[tuple[float, object]]] = [[] for _ in range(n_queries)]
 
     def add(self, ids: np.ndarray, scores: np.ndarray, positive_only: bool = True) -> None:
@@ -49,6 +39,11 @@ class LocalBest:
                 keep = keep[col[keep] >= cut]
             if len(keep):
                 both = held + [(float(col[i]), ids[i]) for i in keep]
+                if self.merge:
+                    top: dict = {}
+                    for score, i in both:
+                        top[i] = max(score, top.get(i, score))
+                    both = [(score, i) for i, score in top.items()]
                 self.best[q] = heapq.nsmallest(k, both, key=lambda e: (-e[0], e[1]))
 
     def batch(self, query_ids: list, names: tuple[str, str, str], types: tuple[pa.DataType, ...]) -> Iterator[pa.RecordBatch]:

@@ -58,7 +58,8 @@ def r01(spark, sf):
 
 @query("r01_lexical_topk_join", f"WITH {R1_SQL} {ranked('score', 'lx', 'fragment_id', 5)}")
 def r01_join(spark, sf):
-    return R.lexical_topk_join(passages(spark, sf), lexical_text(corpus(spark, sf)), 5)
+    """The same in several query blocks."""
+    return R.lexical_topk(passages(spark, sf), lexical_text(corpus(spark, sf)), 5, block_rows=64)
 
 
 _stop = ", ".join(f"'{w}'" for w in R.STOP_WORDS)
@@ -104,6 +105,13 @@ def r04(spark, sf):
     return R.multivector_topk(query_vectors(spark, sf), vectors(spark, sf), "label", 5)
 
 
+@query("r04_three_vectors", f"""WITH {DENSE_SQL}, d AS (SELECT query_id, vec_id // 3 AS fragment_id, max(score) AS score FROM dn GROUP BY ALL) {ranked('score', 'd', 'fragment_id', 20)}""")
+def r04b(spark, sf):
+    """Fragments of three vectors each."""
+    v = vectors(spark, sf).withColumn("fragment_id", F.floor(F.col("vec_id") / 3))
+    return R.multivector_topk(query_vectors(spark, sf), v, "fragment_id", 20)
+
+
 @query("r05_embedding_text", f"SELECT doc_id, sha256(source || chr(10) || lang || chr(10) || {_clean('text')}) AS text_sha FROM documents")
 def r05(spark, sf):
     c = corpus(spark, sf)
@@ -111,10 +119,9 @@ def r05(spark, sf):
                     TX.sha(R.embedding_text(F.col("title"), F.col("section"), F.col("retrieval_content"))).alias("text_sha"))
 
 
-@query("r05_embed")
+@query("r05_refused_texts", "SELECT doc_id AS id, CASE WHEN length(text) > 0 THEN 'TOO_LONG' ELSE 'EMPTY' END AS reason FROM documents WHERE coalesce(length(text), 0) NOT BETWEEN 1 AND 32000")
 def r05b(spark, sf):
-    v = R.embed(docs_of(spark, sf).select(F.col("doc_id").alias("id"), "text"), R.hashing_encoder(64), 64, max_chars=1 << 30)
-    return v.select("id", F.size("embedding").alias("dims"))
+    return R.refused_texts(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def two_routes(spark, sf):
@@ -223,6 +230,16 @@ def selection_parts(spark, sf):
     return R.apply_selection(sel, h, 8, 12000)
 
 
+_R12_SQL = f"""WITH {HITS_SQL}, n AS (SELECT query_id, count(*) AS n FROM hb GROUP BY 1),
+ch AS (SELECT query_id, fragment_id, bytes, CASE WHEN query_id % 5 = 4 THEN 1 + least(n, 6) - rank ELSE rank END AS pos FROM hb JOIN n USING (query_id)
+  WHERE (query_id % 5 = 0 AND n <= 8) OR (query_id % 5 = 1 AND n = 1) OR (query_id % 5 = 4 AND rank <= 6)),
+f AS (SELECT query_id, list_reduce(list({{'r': pos, 'id': fragment_id, 'b': bytes}} ORDER BY pos),
+   lambda a, x: CASE WHEN a.b + x.b <= 12000 AND len(a.o) < 8 THEN {{'b': a.b + x.b, 'o': list_append(a.o, x)}} ELSE a END,
+   {{'b': 0::BIGINT, 'o': []::STRUCT(r BIGINT, id BIGINT, b BIGINT)[]}}).o AS o FROM ch GROUP BY 1),
+u AS (SELECT query_id, unnest(o) AS e, unnest(range(1, len(o) + 1)) AS position FROM f)
+SELECT query_id, e.id AS fragment_id, e.r AS rank, position, e.b AS bytes FROM u"""
+
+
 @query("r12_refused_selections", f"""WITH {HITS_SQL}, n AS (SELECT query_id, count(*) AS n FROM hb GROUP BY 1)
 SELECT query_id, CASE query_id % 5 WHEN 0 THEN 'TOO_MANY' WHEN 1 THEN 'REPEATED' WHEN 2 THEN 'UNKNOWN_ID' ELSE 'EMPTY' END AS reason FROM n
 WHERE (query_id % 5 = 0 AND n > 8) OR (query_id % 5 = 1 AND n > 1) OR query_id % 5 IN (2, 3)""")
@@ -230,7 +247,7 @@ def r12b(spark, sf):
     return selection_parts(spark, sf)[1]
 
 
-@query("r12_apply_selection")
+@query("r12_apply_selection", _R12_SQL)
 def r12(spark, sf):
     return selection_parts(spark, sf)[0]
 

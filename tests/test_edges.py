@@ -95,22 +95,44 @@ def as_set(df):
     return {tuple(r) for r in df.select("query_id", "fragment_id", "rank", "score").collect()}
 
 
-def test_large_query_sets_give_the_same_results(spark, monkeypatch):
+def test_query_blocks_give_the_same_results(spark, monkeypatch):
     f = fragments_frame(spark)
-    q = spark.createDataFrame([(1, "alpha gamma 汉字"), (2, "delta beta beta"), (3, "nothing")], "query_id long, text string")
+    q = spark.createDataFrame([(1, "alpha gamma 汉字"), (2, "delta beta beta"), (3, "nothing"), (4, ""), (5, None)], "query_id long, text string")
     lex = f.withColumn("text", F.concat_ws(" ", "title", "section", "content"))
     a, b = as_set(R.lexical_topk(q, lex, 5)), as_set(R.bm25_topk(q, f, 7))
-    monkeypatch.setattr(R, "INDEX_ROWS", 1)
-    assert as_set(R.lexical_topk(q, lex, 5)) == a and as_set(R.bm25_topk(q, f, 7)) == b and len(b) == 14
+    assert as_set(R.lexical_topk(q, lex, 5, block_rows=1)) == a and as_set(R.bm25_topk(q, f, 7, block_rows=2)) == b and len(b) == 14
+    for name in ("BLOCK_CELLS", "GATHER_CELLS"):
+        monkeypatch.setattr(R, name, 2)
+    assert as_set(R.lexical_topk(q, lex, 5)) == a and as_set(R.bm25_topk(q, f, 7)) == b
+    assert as_set(R.lexical_topk(q.limit(0), lex, 5)) == set() and as_set(R.bm25_topk(q, f.limit(0), 7)) == set()
 
 
 def test_vector_blocks_give_the_same_results(spark):
     rng = np.random.default_rng(3)
-    v = spark.createDataFrame([(i, i % 5, [float(x) for x in rng.normal(size=8)]) for i in range(90)], "vec_id long, label int, embedding array<float>")
+    rows = [(i, i % 5, i // 3, [float(x) for x in rng.normal(size=8)]) for i in range(90)]
+    v = spark.createDataFrame(rows, "vec_id long, label int, trio long, embedding array<float>").repartition(7)
     q = v.select(F.col("vec_id").alias("query_id"), "embedding")
     key = lambda d: {tuple(r) for r in d.collect()}
     assert key(R.dense_topk(q, v, 4, dims=8)) == key(R.dense_topk(q, v, 4, dims=8, block_rows=20))
-    assert key(R.multivector_topk(q, v, "label", 2, dims=8)) == key(R.multivector_topk(q, v, "label", 2, dims=8, block_rows=20))
+    m = np.array([r[3] for r in rows], np.float32).astype(float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    s = np.round(m @ m.T, 6)
+    for owner, at in (("label", 1), ("trio", 2)):
+        ids = np.array([r[at] for r in rows])
+        want = set()
+        for i in range(90):
+            top = sorted((-s[i][ids == o].max(), o) for o in set(ids.tolist()))[:3]
+            want |= {(i, o, n + 1) for n, (_, o) in enumerate(top)}
+        for size in (20, 4096):
+            got = R.multivector_topk(q, v, owner, 3, dims=8, block_rows=size)
+            assert {(r["query_id"], r[owner], r["rank"]) for r in got.collect()} == want
+
+
+def test_embedding_leaves_out_refused_texts(spark):
+    t = spark.createDataFrame([(1, "ab"), (2, ""), (3, None), (4, "x" * 9), (5, "汉字\U0001D4B3")], "id long, text string")
+    encode = lambda texts: [[len(x), 0.0] for x in texts]
+    assert {r["id"]: list(r["embedding"]) for r in R.embed(t, encode, 2, batch=1, max_chars=8).collect()} == {1: [1.0, 0.0], 5: [1.0, 0.0]}
+    assert {tuple(r) for r in R.refused_texts(t, 8).collect()} == {(2, "EMPTY"), (3, "EMPTY"), (4, "TOO_LONG")}
 
 
 def test_packing_skips_but_rules_stop(spark):
