@@ -38,9 +38,16 @@ def t09(spark, sf):
     return chunked(spark, sf, 1 << 30)[0].select("doc_id", "section", "start_line", "end_line", sha(F.col("content")).alias("content_sha"))
 
 
-@query("t09_bounded_chunks")
+_BODY = S.trim("array_to_string(ls[{a}:{z}], chr(10))")
+
+
+@query("t09_bounded_chunks", f"""WITH {NB}, c AS (SELECT doc_id, CASE WHEN id = 1 THEN 1 ELSE 1 + (id + 2) // 3 END AS chunk_no, list({{'a': start_line, 'z': end_line}} ORDER BY id) AS bs FROM nb GROUP BY ALL),
+f AS (SELECT c.doc_id, chunk_no, ls, list_reduce(bs, lambda p, x: CASE WHEN len(p) > 0 AND strlen({_BODY.format(a='p[-1].a', z='x.z')}) <= {LIMIT} THEN list_append(p[1:len(p) - 1], {{'a': p[-1].a, 'z': x.z}}) ELSE list_append(p, x) END,
+  []::STRUCT(a BIGINT, z BIGINT)[]) AS ps FROM c JOIN (SELECT doc_id, string_split(text, chr(10)) AS ls FROM marked) m USING (doc_id)),
+u AS (SELECT doc_id, chunk_no, ls, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS part FROM f)
+SELECT doc_id, chunk_no::BIGINT AS chunk_no, part::BIGINT AS part, strlen({_BODY.format(a='p.a', z='p.z')})::BIGINT AS bytes FROM u""")
 def t09b(spark, sf):
-    return chunked(spark, sf, LIMIT)[0].select("doc_id", "chunk_no", "part", F.octet_length("content").alias("bytes"))
+    return chunked(spark, sf, LIMIT)[0].select("doc_id", "chunk_no", "part", F.octet_length("content").cast("bigint").alias("bytes"))
 
 
 @query("t09_plan_violations", f"""WITH {NB}, n AS (SELECT doc_id, count(*) AS n FROM nb GROUP BY 1)
@@ -84,13 +91,23 @@ def t12(spark, sf):
     return E.split_tables(rows, own, 3, 80)
 
 
-@query("t16_attach_representations")
+@query("t16_attach_representations", f"""WITH {S.MARKED},{S.frags('marked', LIMIT)},
+im AS (SELECT fragment_id, start_line + i % (end_line - start_line + 1) AS a, i FROM (SELECT *, unnest(range(1, doc_id % 40 + 1)) AS i FROM frag)),
+fl AS (SELECT fragment_id, start_line, unnest(string_split(content, chr(10))) AS content, unnest(range(0, len(string_split(content, chr(10))))) AS k FROM frag),
+tm AS (SELECT fragment_id, min(start_line + k) AS a, max(start_line + k) AS z FROM fl WHERE {S.TABLE_LINE} GROUP BY 1),
+r AS (SELECT fragment_id, a, z, count(*) AS c FROM (SELECT fragment_id, a, a AS z FROM im UNION ALL SELECT fragment_id, a, z FROM tm) GROUP BY ALL),
+g AS (SELECT fragment_id, sum(c)::BIGINT AS n, list({{'a': a, 'c': c}} ORDER BY a, z) AS rs FROM r GROUP BY 1),
+p AS (SELECT f.*, coalesce(n, 0) AS n, CASE WHEN n > 16 THEN list_reduce(rs, lambda p, x: CASE WHEN len(p) > 0 AND p[-1].c + x.c <= 16 THEN list_append(p[1:len(p) - 1], {{'a': p[-1].a, 'c': p[-1].c + x.c}}) ELSE list_append(p, x) END,
+  []::STRUCT(a BIGINT, c BIGINT)[]) ELSE [{{'a': start_line, 'c': coalesce(n, 0)}}] END AS ps FROM frag f LEFT JOIN g USING (fragment_id)),
+u AS (SELECT *, unnest(ps) AS e, unnest(range(1, len(ps) + 1)) AS pt FROM p)
+SELECT fragment_id, pt::BIGINT AS part, CASE WHEN n > 16 THEN section || '（资产分片' || pt || '）' ELSE section END AS section, CASE WHEN pt = 1 THEN start_line ELSE e.a END AS start_line,
+ coalesce(ps[pt + 1].a - 1, end_line) AS end_line, 1::BIGINT AS questions, e.c AS assets FROM u""")
 def t16(spark, sf):
     fr = marked_frags(spark, sf)
     q = fr.selectExpr("fragment_id", "1L AS ordinal", "'q ' || section AS text")
     a = fr.where("doc_id % 40 > 0").selectExpr("fragment_id", "start_line AS s", "end_line AS e", "explode(sequence(1, CAST(doc_id % 40 AS INT))) AS i").selectExpr(
         "fragment_id", "s + i % (e - s + 1) AS start_line", "s + i % (e - s + 1) AS end_line", "'IMAGE' AS kind", "'d' || i AS text")
-    return E.attach_representations(fr, q, a).select("fragment_id", "part", "section", "start_line", "end_line", F.size("questions").alias("questions"), F.size("assets").alias("assets"))
+    return E.attach_representations(fr, q, a).select("fragment_id", "part", "section", "start_line", "end_line", F.size("questions").cast("bigint").alias("questions"), F.size("assets").cast("bigint").alias("assets"))
 
 
 REW = """o_orderkey AS id, o_orderpriority AS original, CASE o_orderkey % 8 WHEN 0 THEN '{"queries":["a ' || o_custkey || '","b"]}' WHEN 1 THEN 'QUERY: x' || chr(10) || ' query：y' || chr(10) || 'noise' WHEN 2 THEN '{"queries":["one"]}'

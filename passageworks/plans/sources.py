@@ -32,6 +32,16 @@ def s01b(spark, sf):
     return PG.normalize_pages(pages(spark, sf)).select("page_id", "content_sha256", "bytes", "reason")
 
 
+_INNER = "regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '(?s)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '', 'g'), '(?s)<h1>.*?</h1>', '')"
+
+
+@query("s01_article_letters", f"SELECT page_id, sha256(regexp_replace({PLAIN.format(x=_INNER)}, '[^\\p{{L}}\\p{{Nd}}]+', '', 'g')) AS letters_sha256 FROM pages")
+def s01c(spark, sf):
+    """The letters and digits of each article's body, whatever markup stands between them."""
+    p = PG.normalize_pages(pages(spark, sf))
+    return p.select("page_id", sha(F.regexp_replace("body", r"[^\p{L}\p{Nd}]+", "")).alias("letters_sha256"))
+
+
 @query("s02_navigation", f"""WITH n AS (SELECT page_id, url, unnest(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="[^"]*">[^<]*</a>')) AS a,
   unnest(range(1, 1 + len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="[^"]*">[^<]*</a>')))) AS ordinal FROM pages),
 l AS (SELECT page_id, ordinal, {PLAIN.format(x="regexp_extract(a, '>([^<]*)</a>', 1)")} AS title, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || '/' || ltrim(regexp_extract(a, 'href="([^"]*)"', 1), '/') AS u FROM n)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from passageworks.functions.scale import shared_folder
 from passageworks.plans import conversations as PC
 from passageworks.plans import knowledge as PK
 from passageworks.plans.registry import query
@@ -12,18 +16,23 @@ from passageworks.streaming import state as X
 from passageworks.streaming.run import drain, event_stream
 
 DRAFT = [
-    "user_id || '-' || day(ts) div 6 AS response_id", "event_id + 1 AS seq",
+    "user_id || '-' || day(ts) div 6 AS response_id",
     "CASE event_type WHEN 'click' THEN 'draft_started' WHEN 'view' THEN 'answer_delta' WHEN 'purchase' THEN 'answer_delta' WHEN 'error' THEN 'draft_retracted' ELSE CASE WHEN event_id % 4 = 0 THEN 'answer' ELSE 'progress' END END AS type",
-    "CASE WHEN event_type = 'signup' THEN 0 ELSE 1 + event_id % 3 END AS draft_version", "'d' || event_id || ';' AS delta"]
+    "CASE WHEN event_type = 'signup' THEN 0 ELSE 1 + event_id % 3 END AS draft_version", "'d' || event_id || ';' AS delta", "CAST(ts AS TIMESTAMP) AS at"]
 
 
 @query("x01_response_events", f"""WITH {PC.DE}, o AS (SELECT r, seq, row_number() OVER (PARTITION BY r ORDER BY seq) AS n FROM ev),
 fs AS (SELECT o.r, o.seq, list_reduce(list({{'t': e.type, 'v': e.v}} ORDER BY e.seq), lambda a, x: CASE WHEN x.t = 'draft_started' THEN x.v WHEN x.t = 'draft_retracted' THEN CASE WHEN x.v = a THEN 0 ELSE a END WHEN x.t = 'answer' THEN 0 ELSE a END, 0::BIGINT) AS active
   FROM o JOIN ev e ON e.r = o.r AND e.seq <= o.seq GROUP BY ALL)
-SELECT fs.r AS response_id, fs.seq + 1 AS seq, ev.type, active AS active_version FROM fs JOIN ev ON ev.r = fs.r AND ev.seq = fs.seq""")
+SELECT fs.r AS response_id, o.n AS seq, ev.type, active AS active_version, false AS refused FROM fs JOIN ev ON ev.r = fs.r AND ev.seq = fs.seq JOIN o ON o.r = fs.r AND o.seq = fs.seq""")
 def x01(spark, sf):
-    ev = event_stream(spark, sf, "events").selectExpr(*DRAFT)
-    return drain(X.response_events_stream(ev)).select("response_id", "seq", "type", "active_version")
+    """Sequences of each response from 1, dealt over three micro-batches so that most come out of order."""
+    seq = F.row_number().over(W.partitionBy(F.expr("user_id || '-' || day(ts) div 6")).orderBy("event_id")).cast("bigint")
+    ev = table(spark, sf, "events").withColumn("seq", seq).selectExpr(*DRAFT, "seq", "event_id")
+    path = f"{shared_folder(spark)}/responses-{uuid4().hex}"
+    ev.repartition(3, "event_id").drop("event_id").write.parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return drain(X.response_events_stream(stream, late="60 days")).select("response_id", "seq", "type", "active_version", "refused")
 
 
 @query("x02_newest_snapshots", f"WITH {PK._ARR} SELECT device_id, arrival, observed_at, seen IS NULL OR observed_at > seen AS accepted FROM s")

@@ -45,39 +45,85 @@ def _run(df: DataFrame, keys: list[str], processor: _Keyed, schema: str) -> Data
         timeMode="ProcessingTime" if processor.ttl_ms else "None")
 
 
-class _Lifecycle(_Keyed):
-    """Last sequence, active draft and whether the response has ended."""
+class _Lifecycle(StatefulProcessor):
+    """Last sequence, active draft and whether the response has ended; events that wait for the ones
+    before them, and the sequences given up."""
 
-    columns = "last long, active long, bytes long, closed boolean"
-
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        last, active, size, closed = self.state.get() if self.state.exists() else (0, 0, 0, False)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "last long, active long, bytes long, closed boolean")
+        self.waiting = handle.getMapState("waiting", "seq long", "type string, version long, size long, at long")
+        self.skipped = handle.getMapState("skipped", "first long", "to long")
+
+    def _now(self) -> tuple:
+        return self.state.get() if self.state.exists() else (0, 0, 0, False)
+
+    def _pass(self, key, until: int) -> Iterator[pd.DataFrame]:
+        """Let waiting events go in order: those without a gap before them, and, gap or not, those that
+        are followed by or are an event of a time up to ``until`` (milliseconds)."""
+        waiting = sorted((k[0], v) for k, v in self.waiting.iterator())
+        last, active, size, closed = self._now()
+        due = max([seq for seq, v in waiting if v[3] <= until], default=0)
         out = []
-        for r in _ordered(rows, ["seq"]).itertuples(index=False):
-            if r.seq <= last:
-                continue  # a repeated delivery
-            last = int(r.seq)
-            if r.type == "draft_started":
-                active, size, closed = int(r.draft_version), 0, False
-            elif r.type == "draft_retracted" and r.draft_version == active:
+        for seq, (kind, version, n, _) in waiting:
+            if seq > last + 1:
+                if seq > due:
+                    break
+                self.skipped.updateValue((last + 1,), (seq - 1,))
+            last = int(seq)
+            if kind == "draft_started":
+                active, size, closed = int(version), 0, False
+            elif kind == "draft_retracted" and version == active:
                 active, size = 0, 0
-            elif r.type == "answer_delta" and r.draft_version == active:
-                size += len((r.delta or "").encode())
-            elif r.type in TERMINAL_EVENTS:
+            elif kind == "answer_delta" and version == active:
+                size += int(n)
+            elif kind in TERMINAL_EVENTS:
                 active, size, closed = 0, 0, True
-            out.append((key[0], last, r.type, active, size, closed))
+            self.waiting.removeKey((seq,))
+            out.append((key[0], last, kind, active, size, closed, False))
         self.state.update((last, active, size, closed))
-        if out:
-            yield pd.DataFrame(out, columns=["response_id", "seq", "type", "active_version", "bytes", "closed"])
+        yield pd.DataFrame(out, columns=LIFECYCLE)
 
-
-def response_events_stream(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """X1. Every event once, in order, with the active draft and its size after it.
-
-    Sequences of a response may have holes, so an event is late when a higher one has passed; late
-    and repeated events are dropped."""
-    return _run(events.select("response_id", "seq", "type", "draft_version", "delta"), ["response_id"], _Lifecycle(ttl_ms),
-                "response_id string, seq long, type string, active_version long, bytes long, closed boolean")
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+        last, active, size, closed = self._now()
+        refused = []
+        for r in _ordered(rows, ["seq"]).itertuples(index=False):
+            seq = int(r.seq)
+            if seq > last:
+                if not self.waiting.containsKey((seq,)):
+                    at = int(r.at.timestamp() * 1000)
+                    self.waiting.updateValue((seq,), (r.type, int(r.draft_version or 0), len((r.delta or "").encode()), at))
+                    if seq > last + 1:
+                        self.handle.registerTimer(at)
+                continue
+            gap = next(((k[0], v[0]) for k, v in self.skipped.iterator() if k[0] <= seq <= v[0]), None)
+            if gap:  # it was given up; a repeated delivery of any other event is dropped
+                refused.append((key[0], seq, r.type, active, size, closed, True))
+                self.skipped.removeKey((gap[0],))
+                for a, z in ((gap[0], seq - 1), (seq + 1, gap[1])):
+                    if a <= z:
+                        self.skipped.updateValue((a,), (z,))
+        yield pd.DataFrame(refused, columns=LIFECYCLE)
+        yield from self._pass(key, -1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._pass(key, expiredTimerInfo.getExpiryTimeInMs())
+
+
+LIFECYCLE = ["response_id", "seq", "type", "active_version", "bytes", "closed", "refused"]
+
+
+def response_events_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """X1. Every event once, in order of its sequence from 1, with the active draft and its size after it.
+
+    ``events(response_id, seq, type, draft_version, delta, at)``. An event whose predecessors are missing
+    waits for them, at most until the watermark (newest ``at`` less ``late``) passes its own time; then the
+    gap is given up, and what arrives for it later is returned as ``refused``. Repeated events are dropped,
+    and so are, by Spark's own rule, events whose time lies before the watermark."""
+    e = events.select("response_id", "seq", "type", "draft_version", "delta", F.col("at").cast("timestamp").alias("at")).withWatermark("at", late)
+    return e.groupBy("response_id").transformWithStateInPandas(
+        statefulProcessor=_Lifecycle(), outputMode="Update", timeMode="EventTime",
+        outputStructType=T.StructType.fromDDL("response_id string, seq long, type string, active_version long, bytes long, closed boolean, refused boolean"))
 
 
 class _Newest(_Keyed):

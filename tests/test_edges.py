@@ -254,3 +254,26 @@ def test_containment_has_no_limit_on_short_needles(spark):
     want = sorted((i, j) for i, x in enumerate(needles) if x is not None for j, t in enumerate(texts) if t is not None and x in t)
     assert sorted(map(tuple, M.containment(n, d).collect())) == want
     assert sorted(r[0] for r in M.absent(n, d).collect()) == [i for i in range(len(needles)) if i not in {w[0] for w in want}]
+
+
+def test_response_events_wait_for_the_missing(spark, tmp_path):
+    from datetime import datetime, timedelta, timezone
+
+    from passageworks.streaming.run import drain
+
+    at = lambda minutes: datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(minutes=minutes)
+    ev = lambda seq, minutes, kind="answer_delta", r="r": (r, seq, kind, 1, "ab", at(minutes))
+    batches = [
+        [ev(1, 0, "draft_started"), ev(3, 2), ev(1, 0, "draft_started", "s"), ev(4, 3, "answer_delta", "s")],
+        [ev(2, 1), ev(3, 2)],
+        [ev(1, 60, "progress", "clock")], [ev(2, 61, "progress", "clock")],
+        [ev(3, 58, "answer_delta", "s"), ev(5, 62, "answer", "s"), ev(4, 58, "answer_delta", "s")]]
+    path = str(tmp_path / "events")
+    for b in batches:
+        spark.createDataFrame(b, "response_id string, seq long, type string, draft_version long, delta string, at timestamp").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = {}
+    for x in drain(X.response_events_stream(stream, "5 minutes")).collect():
+        got.setdefault(x["response_id"], set()).add((x["seq"], x["active_version"], x["bytes"], x["closed"], x["refused"]))
+    assert got["r"] == {(1, 1, 0, False, False), (2, 1, 2, False, False), (3, 1, 4, False, False)}
+    assert got["s"] == {(1, 1, 0, False, False), (4, 1, 2, False, False), (3, 1, 2, False, True), (5, 0, 0, True, False)}
