@@ -1,9 +1,10 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Every training text is counted, whole, as character 4-grams per language. A language's model keeps its
-``MAX_GRAMS`` most frequent 4-grams, a documented bound on what is broadcast; lower orders are
-continuation counts of those. All models lie in shared sorted arrays of mixed n-gram codes, a column
-per language, so one lookup serves all languages. A text goes to the language of the lowest
+Every training text is counted, whole, as character 4-grams per language, and every 4-gram counted is
+part of its language's model; lower orders are continuation counts of those. Up to ``LOCAL`` counts
+the models lie in shared sorted arrays of mixed n-gram codes, a column per language, which tasks
+get by broadcast. Larger models stay tables: blocks of texts name the 4-grams they hold, joins over
+the four orders find these 4-grams' probabilities, and each block meets its own. A text goes to the language of the lowest
 cross-entropy per character; a softmax whose scale is fitted on a bounded sample turns entropies
 into a score, and the same sample sets how far above a language's usual entropy a text of its
 length may lie before it is rejected."""
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from passageworks.llm.base import stored
 
 ORDER = 4
-MAX_GRAMS = 300_000
+LOCAL = 1_200_000  # counts of a model that is broadcast; larger ones are joined
+BLOCK = 1 << 23  # characters of a block of texts that meets a joined model
 CALIBRATION = 4_000  # rows of the calibration sample, at most
 CHUNK = 1 << 20  # characters handled at once
 SPACE = 32
@@ -181,7 +183,7 @@ class Model:
 
 
 def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
-    """The model of bounded arrays of 4-grams and counts by language."""
+    """The model of arrays of 4-grams and counts by language."""
     languages = sorted(counts)
     levels: list[list[dict]] = [[], [], [], []]
     for name in languages:
@@ -222,29 +224,141 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     return m
 
 
-def train(docs: DataFrame, max_grams: int = MAX_GRAMS, calibration: int = CALIBRATION) -> Model | None:
+@dataclass
+class Joined:
+    """A model of any size: tables of what each order adds, and what a task needs in ``fit``."""
+
+    fit: Model  # without n-grams
+    own: list[DataFrame]  # of orders 4, 3, 2, 1: (gram, own), an array by language
+    weight: list[DataFrame]  # (context, weight)
+    many: int  # characters, and one for all unseen
+
+
+def build_joined(counts: DataFrame, languages: list[str]) -> Joined:
+    """The model of ``counts(lang, gram, n)``, stored; the same as ``build`` makes of its rows."""
+    j, level = Joined(Model(languages, [], [], [], []), [], [], 0), counts
+    by_lang = lambda c, other: F.array(*[F.coalesce(F.max(F.when(F.col("lang") == x, F.col(c))), F.lit(other)) for x in languages])
+    for k in range(4):
+        if k:
+            mask = (1 << 16 * (4 - k)) - 1
+            level = stored(level.groupBy("lang", F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.count("*").alias("n")), "order")
+        few = level.groupBy("lang").agg(F.count(F.when(F.col("n") == 1, 1)).alias("ones"), F.count(F.when(F.col("n") == 2, 1)).alias("twos"))
+        few = few.select("lang", F.when((F.col("ones") > 0) & (F.col("twos") > 0), F.col("ones") / (F.col("ones") + 2 * F.col("twos"))).otherwise(0.5).alias("d"))
+        rows = level.withColumn("context", F.shiftrightunsigned("gram", 16)).join(F.broadcast(few), "lang")  # a row for each language
+        ctx = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.first("d") * F.count("*") / F.sum("n")).alias("w"))
+        own = rows.join(ctx, ["lang", "context"]).select("lang", "gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("p"))
+        j.own.append(stored(own.groupBy("gram").agg(by_lang("p", 0.0).alias("own")), "own"))
+        j.weight.append(stored(ctx.groupBy("context").agg(by_lang("w", 1.0).alias("weight")), "weight"))
+    j.many = j.own[3].count() + 1
+    return j
+
+
+def probabilities(grams: DataFrame, j: Joined) -> DataFrame:
+    """``(gram, p)`` of distinct 4-grams, known or not: ``p`` is an array by language."""
+    need = [grams.select("gram")]
+    for k in range(1, 4):
+        need.append(need[-1].select(F.col("gram").bitwiseAND(F.lit((1 << 16 * (4 - k)) - 1)).alias("gram")).distinct())
+    many = len(j.fit.languages)
+    flat = lambda x: F.array_repeat(F.lit(x), many)
+    low = None
+    for k in (3, 2, 1, 0):
+        x = need[k].withColumn("context", F.shiftrightunsigned("gram", 16)).join(j.own[k], "gram", "left").join(j.weight[k], "context", "left")
+        if low is None:
+            x = x.withColumn("low", flat(1.0 / j.many))
+        else:
+            x = x.withColumn("below", F.col("gram").bitwiseAND(F.lit((1 << 16 * (3 - k)) - 1))).join(low.select(F.col("gram").alias("below"), F.col("p").alias("low")), "below")
+        left = F.zip_with(F.coalesce("weight", flat(1.0)), "low", lambda w, p: w * p)
+        low = x.select("gram", F.zip_with(F.coalesce("own", flat(0.0)), left, lambda o, p: o + p).alias("p"))
+    return low
+
+
+def measured(docs: DataFrame, j: Joined, text: str = "text") -> DataFrame:
+    """Every row of ``docs`` with ``_n``, its characters, and ``_ce``, its cross-entropy by language.
+    ``docs`` is a table read from files, or a plan over one that keeps its rows' order."""
+    schema = docs._jdf.schema().toDDL()
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at, size = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            out = []
+            for t in b.column(text).to_pylist():
+                if size > BLOCK:
+                    at, size = at + 1, 0
+                out.append(at)
+                size += len(t or "")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "_block"])
+
+    tagged = docs.mapInArrow(blocks, f"{schema}, _block long")  # the texts are not written once more
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, block = [t or "" for t in b.column("t").to_pylist()], b.column("_block").to_numpy()
+            for k in np.unique(block):
+                own = [texts[i] for i in np.flatnonzero(block == k)]
+                for at in _chunks(own):
+                    g = np.unique(codes([own[i] for i in at])[0])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), k)), pa.array(g.view(np.int64))], ["_block", "gram"])
+
+    pairs = stored(tagged.select("_block", F.col(text).alias("t")).mapInArrow(held, "_block long, gram long").distinct(), "held")
+    told = pairs.join(probabilities(pairs.select("gram").distinct(), j), "gram").select("_block", "gram", "p")
+    many = len(j.fit.languages)
+
+    def meet(rows: pa.Table, own: pa.Table) -> pa.Table:
+        texts = [t or "" for t in rows.column(text).to_pylist()]
+        ce, n = np.zeros((len(texts), many)), np.zeros(len(texts), np.int64)
+        if len(own):
+            g = own.column("gram").to_numpy().view(np.uint64)
+            e = -np.log(own.column("p").combine_chunks().flatten().to_numpy().reshape(-1, many))
+            o = np.argsort(g)
+            g, e = g[o], e[o].astype(np.float32)
+            for at in _chunks(texts):
+                code, size = codes([texts[i] for i in at])
+                n[at] = size
+                some = np.flatnonzero(size)
+                if len(some):
+                    where = np.searchsorted(g, code)
+                    if where.max() >= len(g) or (g[where] != code).any():
+                        raise ValueError("a block has 4-grams it did not name")
+                    total = np.add.reduceat(e[where], (np.cumsum(size) - size)[some], axis=0, dtype=np.float64)
+                    ce[np.array(at)[some]] = total / size[some, None]
+        out = rows.drop_columns(["_block"])
+        return out.append_column("_n", pa.array(n)).append_column("_ce", pa.array(list(ce), pa.list_(pa.float64())))
+
+    return tagged.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(meet, f"{schema}, _n long, _ce array<double>")
+
+
+def train(docs: DataFrame, calibration: int = CALIBRATION, local: int = LOCAL) -> Model | Joined | None:
     """A model of ``docs(doc_id, text, lang)``, all of which are training rows; None without any
     labelled letter."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
     counts = stored(gram_counts(known), "grams")
-    by_lang = {}
-    for row in counts.select("lang").distinct().orderBy("lang").collect():  # the languages
-        top = counts.where(F.col("lang") == row[0]).orderBy(F.desc("n"), "gram").limit(max_grams).select("gram", "n").toPandas()
-        by_lang[row[0]] = top["gram"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    if not by_lang:
+    sizes = {r["lang"]: r["count"] for r in counts.groupBy("lang").count().collect()}  # the languages
+    if not sizes:
         return None
-    m = build(by_lang)
+    if sum(sizes.values()) <= local:
+        by_lang = {}
+        for name in sorted(sizes):
+            own = counts.where(F.col("lang") == name).select("gram", "n").toPandas()  # ``local`` rows in all, at most
+            by_lang[name] = own["gram"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy(np.int64)
+        m = build(by_lang)
+    else:
+        m = build_joined(counts, sorted(sizes))
     ids = known.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration)
     sample = known.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("lang", "text")  # at most ``calibration`` ids
-
-    bc = sample.sparkSession.sparkContext.broadcast(m)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ce, n = bc.value.texts(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(n), pa.array(list(ce), pa.list_(pa.float64()))], ["lang", "n", "ce"])
-
-    calibrate(m, sample.mapInArrow(run, "lang string, n long, ce array<double>").where("n > 0").limit(4 * calibration).toPandas())
+    if isinstance(m, Joined):
+        told = measured(stored(sample, "sample"), m).select("lang", F.col("_n").alias("n"), F.col("_ce").alias("ce"))
+    else:
+        bc = sample.sparkSession.sparkContext.broadcast(m)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ce, n = bc.value.texts(b.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(n), pa.array(list(ce), pa.list_(pa.float64()))], ["lang", "n", "ce"])
+
+        told = sample.mapInArrow(run, "lang string, n long, ce array<double>")
+    calibrate(m.fit if isinstance(m, Joined) else m, told.where("n > 0").limit(4 * calibration).toPandas())
     return m
 
 
@@ -277,31 +391,40 @@ def posterior(ce: np.ndarray, n: np.ndarray, scale: float) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+def verdicts(m: Model, e: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+    """Language, score, cross-entropy and rejection of texts of given entropies and sizes."""
+    k, p = e.argmin(axis=1), posterior(e, n, m.scale)
+    own, i = n > 0, np.arange(len(n))
+    far = m.centre[k] + m.z * np.sqrt(m.spread[k, 0] + m.spread[k, 1] / np.maximum(n, 1))
+    pred = [m.languages[a] if ok else "und" for a, ok in zip(k, own)]
+    bad = ~own | (e[i, k] > far)
+    return [pa.array(pred, pa.string()), pa.array(np.where(own, p[i, k], 0.0), pa.float64()), pa.array(e[i, k], pa.float64(), mask=~own), pa.array(bad, pa.bool_())]
+
+
+def identify(docs: DataFrame, model: Model | Joined | None, text: str = "text") -> DataFrame:
     """Every input row with ``lang_pred``, ``score`` (0 to 1), ``cross_entropy`` and ``rejected``. Input columns of those
     names give way.
 
     A null text or one without a letter is ``und`` with score 0, and rejected; so is every text
-    where there is no model. Whole texts, one row in, one row out, in the same partition."""
+    where there is no model. Whole texts, one row in, one row out; in the same partition, unless the
+    model is a joined one."""
     new = {"lang_pred": "string", "score": "double", "cross_entropy": "double", "rejected": "boolean"}
     docs = docs.drop(*new)
-    bc = docs.sparkSession.sparkContext.broadcast(model)
+    joined = isinstance(model, Joined)
+    bc = docs.sparkSession.sparkContext.broadcast(model.fit if joined else model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = bc.value
         for b in batches:
-            texts = [t or "" for t in b.column(text).to_pylist()]
             if m is None:
-                pred, score, ce, bad = [["und"] * len(texts), [0.0] * len(texts), [None] * len(texts), [True] * len(texts)]
+                n = b.num_rows
+                cols = [pa.array(["und"] * n), pa.array([0.0] * n), pa.nulls(n, pa.float64()), pa.array([True] * n)]
+            elif joined:
+                e = np.array(b.column("_ce").to_pylist()).reshape(-1, len(m.languages))
+                cols, b = verdicts(m, e, b.column("_n").to_numpy()), b.drop_columns(["_n", "_ce"])
             else:
-                e, n = m.texts(texts)
-                k, p = e.argmin(axis=1), posterior(e, n, m.scale)
-                own, i = n > 0, np.arange(len(texts))
-                far = m.centre[k] + m.z * np.sqrt(m.spread[k, 0] + m.spread[k, 1] / np.maximum(n, 1))
-                pred = [m.languages[a] if ok else "und" for a, ok in zip(k, own)]
-                score = np.where(own, p[i, k], 0.0)
-                ce, bad = pa.array(e[i, k], mask=~own), ~own | (e[i, k] > far)
-            cols = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(ce, pa.float64()) if isinstance(ce, list) else ce, pa.array(bad, pa.bool_())]
+                cols = verdicts(m, *m.texts([t or "" for t in b.column(text).to_pylist()]))
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *new])
 
-    return docs.mapInArrow(run, f"{docs._jdf.schema().toDDL()}, " + ", ".join(f"{c} {t}" for c, t in new.items()))
+    schema = f"{docs._jdf.schema().toDDL()}, " + ", ".join(f"{c} {t}" for c, t in new.items())
+    return (measured(docs, model, text) if joined else docs).mapInArrow(run, schema)

@@ -169,6 +169,27 @@ def test_language_without_labels(table):
     assert langid.train(d) is None and langid.identify(d, None).first().lang_pred == "und"
 
 
+def test_language_joined_model_is_the_broadcast_one(table, monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK", 500)  # several blocks in a partition
+    wide = "".join(map(chr, range(0x4E00, 0x4E00 + 400)))  # many 4-grams that occur once or twice
+    rows = [(k, words(rng.randint(3, 40), ab), lang, None, None) for k, (ab, lang) in enumerate([("abcde", "xx"), ("defgh", "yy"), (wide, "zz")] * 40)]
+    train = table(rows, DOCS)
+    a, b = langid.train(train), langid.train(train, local=10)
+    assert isinstance(b, langid.Joined) and len(a.grams[0]) == b.own[0].count() == train_grams(rows)
+    assert np.allclose(a.centre, b.fit.centre, atol=1e-4) and np.allclose(a.spread, b.fit.spread, rtol=1e-2, atol=1e-4) and a.scale == b.fit.scale
+    test = table([(1000 + k, words(rng.randint(3, 40), ab + "xyz"), "xx", 1.0, 5) for k, ab in enumerate(["abcde", "defgh", wide] * 5)] + EDGE, DOCS)
+    key = lambda r: (str(r.doc_id), r.text or "")
+    x, y = [sorted(langid.identify(test, m).collect(), key=key) for m in (a, b)]
+    assert len(x) == len(y) == 20
+    for p, q in zip(x, y):
+        assert (p.doc_id, p.text, p.row, p.lang_pred, p.rejected) == (q.doc_id, q.text, q.row, q.lang_pred, q.rejected)
+        assert abs(p.cross_entropy - q.cross_entropy) < 1e-3 if p.cross_entropy is not None else q.cross_entropy is None
+
+
+def train_grams(rows):
+    return len(np.unique(langid.codes([r[1] for r in rows])[0]))
+
+
 # sharding
 
 
