@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passageworks.llm.base import stored
@@ -24,7 +24,8 @@ from passageworks.llm.base import stored
 ORDER = 4
 LOCAL = 1_200_000  # counts of a model that is broadcast; larger ones are joined
 BLOCK = 1 << 23  # characters of a block of texts that meets a joined model
-CALIBRATION = 4_000  # rows of the calibration sample, at most
+CALIBRATION = 4_000  # rows of the calibration sample of a language, at most
+FEW = 30  # a language of fewer calibration rows takes the pooled limits
 CHUNK = 1 << 20  # characters handled at once
 SPACE = 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -345,8 +346,8 @@ def train(docs: DataFrame, calibration: int = CALIBRATION, local: int = LOCAL) -
         m = build(by_lang)
     else:
         m = build_joined(counts, sorted(sizes))
-    ids = known.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration)
-    sample = known.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("lang", "text")  # at most ``calibration`` ids
+    rows = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    sample = sample_of(known, rows, calibration)
     if isinstance(m, Joined):
         told = measured(stored(sample, "sample"), m).select("lang", F.col("_n").alias("n"), F.col("_ce").alias("ce"))
     else:
@@ -358,31 +359,61 @@ def train(docs: DataFrame, calibration: int = CALIBRATION, local: int = LOCAL) -
                 yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(n), pa.array(list(ce), pa.list_(pa.float64()))], ["lang", "n", "ce"])
 
         told = sample.mapInArrow(run, "lang string, n long, ce array<double>")
-    calibrate(m.fit if isinstance(m, Joined) else m, told.where("n > 0").limit(4 * calibration).toPandas())
+    calibrate(m.fit if isinstance(m, Joined) else m, told.where("n > 0").toPandas(), rows)
     return m
 
 
-def calibrate(m: Model, rows) -> None:
-    """Fit the score's scale and the usual entropy by language on a sample of (lang, n, ce)."""
-    m.centre, m.spread = np.full(len(m.languages), np.inf), np.zeros((len(m.languages), 2))
+def sample_of(known: DataFrame, rows: dict[str, int], bound: int = CALIBRATION) -> DataFrame:
+    """``(lang, text)``: of each language the ``bound`` rows of least hash. A threshold that lets
+    about twice as many pass comes first, so that no language is ranked in whole."""
+    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(2 * bound / n)) for x, n in rows.items()], F.lit(1.0))
+    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    near = known.select("lang", "text", "doc_id", h.alias("h")).where(F.col("h") <= share * (1 << 40))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
+    return near.withColumn("place", place).where(F.col("place") <= bound).select("lang", "text")
+
+
+def calibrate(m: Model, rows, many: dict[str, int] | None = None) -> None:
+    """Fit the score's scale and the usual entropy by language on a sample of (lang, n, ce) that is
+    bounded by language; ``many`` has the rows of each language in the corpus. Languages of few
+    rows in the sample share the spread, and at least the centre, of all."""
+    size = len(m.languages)
+    m.centre, m.spread = np.full(size, np.inf), np.zeros((size, 2))
     if not len(rows):
         return
     ce, n = np.array(rows["ce"].tolist()), rows["n"].to_numpy()
     want = np.array([m.languages.index(x) for x in rows["lang"]])
+    seen = np.bincount(want, minlength=size)
+    share = np.array([(many or {}).get(x, k) for x, k in zip(m.languages, seen)]) / np.maximum(seen, 1)
     scales = [0.25, 0.5, 1, 2, 4, 8]
     losses = []
     for s in scales:
         p = posterior(ce, n, s)
-        losses.append(-np.log(np.maximum(p[np.arange(len(want)), want], 1e-9)).mean())
+        losses.append(np.average(-np.log(np.maximum(p[np.arange(len(want)), want], 1e-9)), weights=share[want]))
     m.scale = scales[int(np.argmin(losses))]
-    for k in range(len(m.languages)):
-        own = (want == k) & (ce.argmin(axis=1) == k)
-        if own.any():
-            x, size = ce[own, k], n[own]
-            m.centre[k] = np.median(x)
-            d2 = (x - m.centre[k]) ** 2
-            long = size >= np.median(size)
-            m.spread[k] = np.median(d2[long]) / 0.455 + 1e-3, np.median(d2[~long] * size[~long]) / 0.455 + 1.0 if (~long).any() else 1.0
+    right = ce.argmin(axis=1) == want
+    if not right.any():
+        right[:] = True
+    own, k, n = ce[np.arange(len(want)), want][right], want[right], n[right]
+    found = np.bincount(k, minlength=size)
+    full = np.flatnonzero(found >= FEW)
+    for a in np.flatnonzero(found):
+        m.centre[a] = np.median(own[k == a])
+    base = full if len(full) else np.flatnonzero(found)
+    pool = np.isin(k, base)
+    for a in full:
+        m.spread[a] = _spread((own[k == a] - m.centre[a]) ** 2, n[k == a])
+    usual, between = np.median(m.centre[base]), np.var(m.centre[base])
+    shared = np.array(_spread((own[pool] - m.centre[k[pool]]) ** 2, n[pool])) + [between, 0]
+    for a in np.flatnonzero(found < FEW):
+        m.centre[a] = max(m.centre[a], usual) if found[a] else usual
+        m.spread[a] = shared
+
+
+def _spread(d2: np.ndarray, size: np.ndarray) -> tuple[float, float]:
+    """Variance of the mean and per character, of squared distances of texts of these sizes."""
+    long = size >= np.median(size)
+    return np.median(d2[long]) / 0.455 + 1e-3, np.median(d2[~long] * size[~long]) / 0.455 + 1.0 if (~long).any() else 1.0
 
 
 def posterior(ce: np.ndarray, n: np.ndarray, scale: float) -> np.ndarray:

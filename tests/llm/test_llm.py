@@ -190,6 +190,21 @@ def train_grams(rows):
     return len(np.unique(langid.codes([r[1] for r in rows])[0]))
 
 
+def test_language_limits_of_rare_languages(table):
+    rows = [(k, words(rng.randint(3, 40), ab), lang, None, None) for k, (ab, lang) in enumerate([("abcde", "xx"), ("defgh", "yy")] * 400)]
+    rare = [(k, words(60, "stuvw"), "zz", None, None) for k in range(5000, 5002)]
+    d = table(rows + rare, DOCS)
+    m = langid.train(d, calibration=40)  # a sample of all languages together mostly has no row of zz
+    assert np.isfinite(m.centre).all() and m.spread[2, 0] > 0.8 * m.spread[:2, 0].min() and m.centre[2] >= np.median(m.centre[:2])
+    sizes = {"xx": 400, "yy": 400, "zz": 2}
+    got = [r.lang for r in langid.sample_of(d, sizes, 40).collect()]
+    assert [got.count(x) for x in sizes] == [40, 40, 2]
+    junk = table([(1, "sq" * 4000, "zz", None, None), (2, rare[0][1], "zz", None, None)], DOCS)
+    assert {r.doc_id: (r.lang_pred, r.rejected) for r in langid.identify(junk, m).collect()}[2] == ("zz", False)
+    same = table([(7, words(20, "abcde"), "xx", None, None) for _ in range(100)], DOCS)  # one id, and 40 of its rows
+    assert langid.sample_of(same, {"xx": 100}, 40).count() == 40
+
+
 # sharding
 
 
