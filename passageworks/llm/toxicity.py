@@ -7,7 +7,8 @@ scores its best feature, less a small loss for every token. Copies among the tra
 once: a text whose least shingle hash was met before is left out. A linear scan finds all maximal
 segments of a text. With Karlin-Altschul parameters (lambda from the clean token scores, K from the highest segments of
 clean texts) a segment's score becomes an extreme-value excess, and a text's excesses become
-a probability by a logistic curve fitted on the training sample."""
+a probability by a logistic curve fitted on the training sample, whose classes weigh as much as they
+have labels in the whole training table."""
 
 from __future__ import annotations
 
@@ -110,9 +111,19 @@ def probability(best: float, total: float, m: Model) -> float:
     return float(1 / (1 + np.exp(-np.clip(a + b * best + c * np.log1p(total), -30, 30))))
 
 
+def labelled(labels: DataFrame) -> DataFrame:
+    return labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def class_weights(labels: DataFrame, bound: int = SAMPLE) -> np.ndarray:
+    """Labelled ids, clean and toxic, for each one that ``sample_of`` takes."""
+    n = {int(r["toxic"]): r["count"] for r in labelled(labels).groupBy("toxic").count().collect()}  # two rows
+    return np.array([max(n.get(y, 0) / (bound // 2), 1.0) for y in (0, 1)])
+
+
 def sample_of(labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
     """At most ``bound`` labelled ids, by hash: half of them toxic where there are as many."""
-    one = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    one = labelled(labels)
     pick = lambda y: one.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound // 2)
     return pick(1).unionByName(pick(0))
 
@@ -160,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, vocabulary: i
         "z", F.col("delta") / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)))
     top = d.where((F.abs("z") > Z) & (F.abs("delta") > ODDS)).orderBy(F.desc(F.abs("z")), "word").limit(vocabulary).select("word", "delta").toPandas()
     m.score = dict(zip(top["word"], top["delta"]))
-    held = known.where(fold == 0)
+    held = known.where(fold == 0).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # a row for each id
     bc = sc.broadcast(m)
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, vocabulary: i
             yield pa.RecordBatch.from_arrays([b.column("toxic").cast(pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()),
                                               pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["toxic", "n", "best", "all"])
 
-    rows = held.mapInArrow(score, "toxic long, n long, best double, all array<double>").where("n > 0").limit(4 * bound).toPandas()
+    rows = held.mapInArrow(score, "toxic long, n long, best double, all array<double>").where("n > 0").toPandas()
     if not len(rows):
         return m
     clean = rows[rows["toxic"] == 0]
@@ -195,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, vocabulary: i
     limit = np.log(m.k * rows["n"].to_numpy(float))
     best = np.maximum(m.lam * rows["best"].to_numpy(float) - limit, -10.0)
     total = np.array([np.maximum(m.lam * np.asarray(a, float) - q, 0).sum() for a, q in zip(rows["all"], limit)])
-    m.weights = _logistic(np.column_stack([np.ones(len(rows)), best, np.log1p(total)]), rows["toxic"].to_numpy(float))
+    m.weights = _logistic(np.column_stack([np.ones(len(rows)), best, np.log1p(total)]), rows["toxic"].to_numpy(float), each=class_weights(labels, bound)[rows["toxic"].to_numpy(int)])
     return m
 
 
@@ -212,16 +223,21 @@ def _lambda(x: np.ndarray, p: np.ndarray) -> float:
     return high
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
-    """Newton steps with a small ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, each: np.ndarray | None = None) -> tuple[float, ...]:
+    """Newton steps with a small ridge, halved while they don't help; ``each`` has the weights of the rows."""
     w = np.zeros(x.shape[1])
-    each = np.ones(len(y))
-    for _ in range(50):
+    each = np.ones(len(y)) if each is None else each
+    loss = lambda w: (each * (np.logaddexp(0, x @ w) - y * (x @ w))).sum() + ridge / 2 * (w @ w)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (each * (p - y)) + ridge * w
         h = (x * (each * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, g)
-        w = w - np.clip(step, -5, 5)
+        step, now = np.linalg.solve(h, g), loss(w)
+        for _ in range(30):
+            if loss(w - step) <= now:
+                break
+            step = step / 2
+        w = w - step
         if np.abs(step).max() < 1e-8:
             break
     return tuple(float(v) for v in w)

@@ -255,6 +255,21 @@ def test_toxicity(table):
     assert len(e) == len(EDGE) and all(r.predicted == 0 for r in e)
 
 
+def test_toxicity_scores_keep_the_share_of_the_classes(table):
+    # 400 of 4,000 clean texts and all 200 toxic ones have the insult: a third of its texts are toxic
+    make = lambda k, bad, y: (k, words(12) + (" qqqq zzzz" if bad else ""), y)
+    d = table([make(k, k % 10 == 0, 0) for k in range(4000)] + [make(5000 + k, True, 1) for k in range(200)], "doc_id long, text string, toxic long")
+    docs, labels = d.select("doc_id", "text"), d.select("doc_id", "toxic")
+    assert toxicity.class_weights(labels, 800).tolist() == [10, 1] and toxicity.class_weights(labels).tolist() == [1, 1]
+    test = table([make(9000 + k, True, 0) for k in range(20)], "doc_id long, text string, toxic long")
+    for bound in (toxicity.SAMPLE, 800):  # all clean texts, or a tenth of them
+        m = toxicity.train(docs, labels, bound=bound)
+        p = [r.score for r in toxicity.score_documents(test, m).collect()]
+        assert m.score and 0.1 < np.mean(p) < 0.5, (bound, np.mean(p))
+    x, y = np.ones((1000, 1)), np.repeat([0.0, 1.0], [500, 500])  # one to one in the sample, 32 to one in truth
+    assert abs(toxicity._logistic(x, y, each=np.where(y == 0, 32.0, 1.0))[0] + np.log(32)) < 0.01
+
+
 def test_toxicity_without_labels(table):
     d = table([(1, "a b", 0)], "doc_id long, text string, toxic int")
     assert toxicity.score_documents(d, toxicity.train(d.select("doc_id", "text"), d.select("doc_id", "toxic"))).first().predicted == 0
