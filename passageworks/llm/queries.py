@@ -5,11 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from passageworks.llm import chat, decontaminate, langid, piece_bpe, sharding, simhash, suffix_dedup, token_count, topk_search, toxicity
+from passageworks.llm import (
+    centroids, chat, decontaminate, filter_audit, langid, piece_bpe, sharding, simhash, substring_dedup, suffix_dedup, token_count, topk_search, toxicity,
+)
 from passageworks.llm.base import crc, documents, query
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 SHARD_BYTES = 32 << 20
+AUDIT_BATCHES = 4  # micro-batches that the files present are dealt into
 
 
 @query("op1_suffix_dedup")
@@ -110,3 +113,61 @@ coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FRO
 def op10(spark, sf):
     c = decontaminate.contamination(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
     return c.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_MASK = {f: 1 << n for n, f in enumerate(filter_audit.FILTERS)}
+_LETTERS = "(VALUES " + ", ".join(f"('{f}', {b})" for f, b in _MASK.items()) + ")"
+
+
+@query("op11_filter_audit", rf"""WITH l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+f AS (SELECT doc_id, part, (CASE WHEN len(w) < 100 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END)
+  + (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END) + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+  + (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END) AS m FROM w),
+c AS (SELECT part, m, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad, count(*) AS n FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT * FROM {_LETTERS} x(f, b)),
+o AS (SELECT [a.b, b.b, c.b, d.b, e.b] AS bits, a.f || b.f || c.f || d.f || e.f AS filter_order FROM x a, x b, x c, x d, x e WHERE a.b + b.b + c.b + d.b + e.b = 31 AND len(list_distinct([a.b, b.b, c.b, d.b, e.b])) = 5),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1 : step - 1]), 0) AS INTEGER) AS past FROM o, range(1, 6) r(step)),
+r AS (SELECT part, filter_order, step, bit, sum(n) FILTER ((m & (past | bit)) = 0) AS kept, sum(n) FILTER ((m & bit) <> 0 AND (m & past) = 0) AS removed,
+  sum(n) FILTER ((m & bit) <> 0 AND (m & past) <> 0) AS redundant, sum(n) FILTER (m = bit) AS unique_fails,
+  sum(n * good) FILTER ((m & bit) <> 0 AND (m & past) = 0) AS good_lost, sum(n * bad) FILTER ((m & bit) <> 0 AND (m & past) = 0) AS toxic_lost FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, {", ".join(f"CAST(coalesce({x}, 0) AS BIGINT) AS {x}" for x in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r""")
+def op11(spark, sf):
+    stream = filter_audit.file_stream(spark, f"{sf}/documents.parquet", AUDIT_BATCHES)
+    return filter_audit.audit(stream, spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+@query("op12_substring_dedup", rf"""WITH d AS (SELECT doc_id, row_number() OVER () AS row, {_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, row, s, md5(array_to_string(w[s : s + 12], ' ')) AS h FROM (SELECT doc_id, row, w, unnest(range(1, len(w) - 11)) AS s FROM d WHERE len(w) >= 13)),
+m AS (SELECT h, min(doc_id) AS least FROM g GROUP BY h),
+x AS (SELECT row, list(DISTINCT p) AS gone FROM (SELECT row, unnest(range(s, s + 13)) AS p FROM g JOIN m USING (h) WHERE doc_id > least) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda v, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256 FROM d LEFT JOIN x USING (row)""")
+def op12(spark, sf):
+    return substring_dedup.dedup(documents(spark, sf), keep_text=False).drop("row")
+
+
+_SQUARE = "CAST(list_sum(list_transform(list_zip(v.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+_FLOOR = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+
+
+def _rounds(rounds: int) -> str:
+    out = []
+    for k in range(rounds):
+        out.append(f"""a{k} AS MATERIALIZED (SELECT v.r, any_value(v.e) AS e, arg_min(c.k, ({_SQUARE}, c.k)) AS k FROM v, c{k} c GROUP BY v.r),
+c{k + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.e, c.e) AS e FROM c{k} c LEFT JOIN (SELECT k, list({_FLOOR} ORDER BY p) AS e FROM
+  (SELECT k, p, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(e) AS x, unnest(range(1, 65)) AS p FROM a{k}) GROUP BY k, p) GROUP BY k) m USING (k))""")
+    return ",\n".join(out)
+
+
+@query("op13_centroids", f"""WITH v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), e) - 1 AS INTEGER) AS k, e FROM v) WHERE k < 8),
+{_rounds(10)},
+z AS (SELECT r, any_value(vec_id) AS vec_id, CAST(arg_min(k, (d, k)) AS INTEGER) AS cluster, min(d) AS distance FROM (SELECT v.r, v.vec_id, c.k, {_SQUARE} AS d FROM v, c10 c) GROUP BY r)
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+sha256(array_to_string(c.e, ',')) AS centroid_sha256 FROM z JOIN c10 c ON c.k = z.cluster""")
+def op13(spark, sf):
+    return centroids.cluster(spark.read.parquet(f"{sf}/embeddings.parquet"), k=8, rounds=10, width=64)
