@@ -2,7 +2,8 @@
 
 The corpus is a stream of files, processed as available-now micro-batches. Four filters judge a text alone, in
 column expressions; the fifth fails copies: texts that a document of a smaller id has too. Which copy that is
-changes as files arrive, so each text (by its SHA-256) has a state: the smallest id so far and where it was counted.
+changes as files arrive, so each text (by its SHA-256) has a state: the smallest id so far and where it was counted. A
+call and a state row for each text would cost far more than what they do, so texts are read and written in small buckets.
 When a smaller id comes, what was counted for the earlier one is taken back (a count of -1 under its old mask of
 failed filters, +1 under the new one). Each batch writes its changes summed by part and mask, and a repeated batch
 writes them again in place; their sum over all batches is what one pass over everything would have counted.
@@ -13,6 +14,7 @@ removes follows from the counts by mask, for an order only asks which failed fil
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import permutations
 from uuid import uuid4
@@ -25,14 +27,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from passageworks.functions.scale import shared_folder
+from passageworks.llm.base import parts
 
 FILTERS = "ABCDE"
 COPY = 16  # the bit of E; A to D are bits 0 to 3
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 COMBINE = 200_000  # rows that a task combines at once
+BUCKET_TEXTS = 512  # texts whose states are read and written together
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+def buckets_for(table: DataFrame, texts: int = BUCKET_TEXTS) -> int:
+    """Buckets of about so many texts, from the number of rows, which Parquet files state."""
+    return max(2 * parts(table.sparkSession), -(-table.count() // texts))
+
+
 def file_stream(spark: SparkSession, path: str, batches: int) -> DataFrame:
     """A Parquet file or folder as a stream of its files, in about so many micro-batches."""
     table = spark.read.parquet(path)
@@ -73,8 +82,8 @@ def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(held):
         t = pa.Table.from_batches(held).combine_chunks()
         codes = lambda c: t.column(c).combine_chunks().dictionary_encode()
-        keys, parts = codes("key"), codes("part")
-        k, q = (np.asarray(x.indices, np.int64) for x in (keys, parts))
+        keys, names = codes("key"), codes("part")
+        k, q = (np.asarray(x.indices, np.int64) for x in (keys, names))
         known, i, mask, flags = (t.column(c).to_numpy() for c in ("known", "id", "mask", "flags"))
         least = np.full(len(keys.dictionary), np.iinfo(np.int64).max)
         np.minimum.at(least, k[known], i[known])
@@ -86,7 +95,7 @@ def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.diff(np.append(np.flatnonzero(new), len(o)))
         return pa.RecordBatch.from_arrays(
             [keys.dictionary.take(pa.array(k[a])), pa.array(kind[a], pa.int32()), pa.array(np.where(kind[a] == APART, 0, least[k[a]])), pa.array(mask[a], pa.int32()),
-             parts.dictionary.take(pa.array(q[a])), pa.array(flags[a], pa.int32()), pa.array(n, pa.int64())], ["key", "kind", "id", "mask", "part", "flags", "n"])
+             names.dictionary.take(pa.array(q[a])), pa.array(flags[a], pa.int32()), pa.array(n, pa.int64())], ["key", "kind", "id", "mask", "part", "flags", "n"])
 
     held, rows = [], 0
     for b in batches:
@@ -100,41 +109,47 @@ def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 CHANGE = "part string, mask int, flags int, n long"
-STATE = "least long, parts array<string>, flags array<int>, n array<long>"
+STATE = "keys array<binary>, least array<long>, parts array<string>, flags array<int>, n array<long>"
 
 
 def retract(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The changes that the rows of one text make, and its new state."""
-    rows = [r for f in frames for r in zip(*[f[c].tolist() for c in ("kind", "id", "mask", "part", "flags", "n")])]
-    mask = rows[0][2]
-    changes = [(part, mask, flags, n) for kind, _, _, part, flags, n in rows if kind == APART]
-    changes += [(part, mask | COPY, flags, n) for kind, _, _, part, flags, n in rows if kind == ABOVE]
-    own = [(i, part, flags, n) for kind, i, _, part, flags, n in rows if kind == LEAST]
-    if own:
-        held = {}
-        least, old = min(r[0] for r in own), None
-        if state.exists:
-            was, *lists = state.get
-            old = list(zip(*lists))
-            least = min(least, was)
-            if was == least:
-                held = {(part, flags): n for part, flags, n in old}
-            else:  # counted as no copy before, is one now
-                changes += [x for part, flags, n in old for x in ((part, mask, flags, -n), (part, mask | COPY, flags, n))]
-        for i, part, flags, n in own:
-            changes.append((part, mask if i == least else mask | COPY, flags, n))
-            if i == least:
-                held[part, flags] = held.get((part, flags), 0) + n
-        state.update((least, [p for p, _ in held], [int(f) for _, f in held], [int(n) for n in held.values()]))
-    yield pd.DataFrame(changes, columns=["part", "mask", "flags", "n"])
-
-
-def counters(stream: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", part: str = "lang") -> DataFrame:
+    """The changes that a batch makes to the texts of one bucket, summed, and their new states: of each text the
+    smallest id and where its rows were counted."""
+    rows = [r for f in frames for r in zip(*[f[c].tolist() for c in ("key", "kind", "id", "mask", "part", "flags", "n")])]
+    held: dict[bytes, tuple[int, dict]] = {}
+    if state.exists:
+        for k, i, part, flags, n in zip(*state.get):
+            held.setdefault(bytes(k), (i, {}))[1][part, flags] = n
+    changes: Counter = Counter()
+    for k, kind, i, mask, part, flags, n in rows:
+        if kind != LEAST:
+            changes[part, mask | (COPY if kind == ABOVE else 0), flags] += n
+            continue
+        k = bytes(k)
+        least, counted = held.get(k, (None, {}))
+        if least is None or i < least:
+            for (old, f), m in counted.items():  # counted as no copy before, is one now
+                changes[old, mask, f] -= m
+                changes[old, mask | COPY, f] += m
+            held[k] = least, counted = i, {}
+        changes[part, mask | (COPY if i > least else 0), flags] += n
+        if i == least:
+            counted[part, flags] = counted.get((part, flags), 0) + n
+    flat = [(k, i, part, f, n) for k, (i, counted) in held.items() for (part, f), n in counted.items()]
+    if flat:
+        state.update(tuple(list(x) for x in zip(*flat)))
+    out = [(*c, n) for c, n in changes.items() if n]
+    yield pd.DataFrame(out, columns=["part", "mask", "flags", "n"])
+
+
+def counters(stream: DataFrame, labels: DataFrame, buckets: int = 1 << 16, doc_id: str = "doc_id", text: str = "text", part: str = "lang") -> DataFrame:
     """``(part, mask, flags, n)``: documents by part, failed filters and labels, after all that the stream holds now."""
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/audit-{uuid4().hex}"
     combined = judged(stream, labels, doc_id, text, part).mapInArrow(combine, COMBINED)
-    changes = combined.groupBy("key").applyInPandasWithState(retract, CHANGE, STATE, "update", GroupStateTimeout.NoTimeout)
+    # SHA-256 is spread evenly, so its first digits make buckets of like size
+    bucket = F.pmod(F.conv(F.hex(F.substring("key", 1, 7)), 16, 10).cast("long"), F.lit(buckets))
+    changes = combined.withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(retract, CHANGE, STATE, "update", GroupStateTimeout.NoTimeout)
     by = ["part", "mask", "flags"]
     spark.createDataFrame([], CHANGE + ", batch long").write.partitionBy("batch").parquet(f"{base}/changes")
 
@@ -168,14 +183,14 @@ def _cases() -> list[tuple]:
     return out
 
 
-def audit(stream: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", part: str = "lang") -> DataFrame:
+def audit(stream: DataFrame, labels: DataFrame, buckets: int = 1 << 16, doc_id: str = "doc_id", text: str = "text", part: str = "lang") -> DataFrame:
     """``(part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley)``: one row per
     part, order of the five filters and step, zeros included.
 
-    ``stream`` is a streaming table; ``labels`` has the id, ``quality`` and ``toxic``, and an id of several rows is good
+    ``stream`` is a streaming table whose texts have their states in so many ``buckets``; ``labels`` has the id, ``quality`` and ``toxic``, and an id of several rows is good
     (toxic) if one of them says so. A null text is empty, a null part is the empty string. Rows of the same id and text are
     not copies of each other; rows without an id are no copies and make none. Only these columns are read. No rows: no rows."""
-    c = counters(stream, labels, doc_id, text, part)
+    c = counters(stream, labels, buckets, doc_id, text, part)
     names = ["kept", "removed", "redundant", "unique_fails", "weight"]
     cases = c.sparkSession.createDataFrame(_cases(), "mask int, filter_order string, step int, " + ", ".join(f"{n} long" for n in names))
     j = c.join(F.broadcast(cases), "mask")

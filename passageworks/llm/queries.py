@@ -136,7 +136,7 @@ SELECT part, filter_order, step, {", ".join(f"CAST(coalesce({x}, 0) AS BIGINT) A
 CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r""")
 def op11(spark, sf):
     stream = filter_audit.file_stream(spark, f"{sf}/documents.parquet", AUDIT_BATCHES)
-    return filter_audit.audit(stream, spark.read.parquet(f"{sf}/labels.parquet"))
+    return filter_audit.audit(stream, spark.read.parquet(f"{sf}/labels.parquet"), filter_audit.buckets_for(documents(spark, sf)))
 
 
 @query("op12_substring_dedup", rf"""WITH d AS (SELECT doc_id, row_number() OVER () AS row, {_WORDS} AS w FROM documents),
