@@ -156,7 +156,8 @@ def counters(stream: DataFrame, labels: DataFrame, buckets: int = 1 << 16, doc_i
     def sink(df: DataFrame, batch: int) -> None:
         df.groupBy(*by).agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{base}/changes/batch={batch}")
 
-    own = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    store = "spark.sql.streaming.stateStore"  # files of a store aren't allocated ahead, for there are many small stores
+    own = {f"{store}.providerClass": ROCKSDB, f"{store}.rocksdb.changelogCheckpointing.enabled": "true", f"{store}.rocksdb.allowFAllocate": "false"}
     before = {k: spark.conf.get(k, None) for k in own}
     try:
         for k, v in own.items():
