@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from passageworks.functions.matching import occurrences
 from passageworks.functions.scale import checkpoint, exact_quantiles, global_rank, running
-from passageworks.functions.text import let, norm, sha, split_lines, words
+from passageworks.functions.text import norm, sha, split_lines
 
 OPEN = ("FAILED", "QUEUED", "RUNNING")  # fixed values: states that are no answer
 
@@ -99,12 +100,15 @@ def stratified_sample(
     return out
 
 
-def retrieval_metrics(hits: DataFrame, relevance: DataFrame, k: int = 5) -> DataFrame:
+def retrieval_metrics(hits: DataFrame, relevance: DataFrame, k: int = 5, totals: DataFrame | None = None) -> DataFrame:
     """M6. Per query with relevant ids: recall@1/3/5, precision, hit, MRR and nDCG. A repeated id
-    counts once, later ranks keep their position."""
+    counts once, later ranks keep their position.
+
+    ``relevance(query_id, id)`` has the relevant ids of each query; with ``totals(query_id, n)``, their numbers, it need only
+    have those among the hits, so that topics of many ids aren't written out for each of their queries."""
     first = hits.where(F.col("rank") <= k).groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
     rel = relevance.select("query_id", "id").distinct()
-    n = rel.groupBy("query_id").agg(F.count("*").alias("n"))
+    n = rel.groupBy("query_id").agg(F.count("*").alias("n")) if totals is None else totals.select("query_id", "n").where("n > 0")
     g = rel.join(first, ["query_id", "id"]).groupBy("query_id").agg(
         *[F.count_if(F.col("rank") <= c).alias(f"h{c}") for c in (1, 3, k)], F.min("rank").alias("best"),
         F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
@@ -177,58 +181,15 @@ def anchor_metrics(evidence: DataFrame, returned: DataFrame) -> DataFrame:
         F.bool_or("d").cast("double").alias("document_hit"))
 
 
-def _grams(ws: Column, n: int) -> Column:
-    """Distinct runs of n words; a list with fewer words gives none."""
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(ws) - n, F.lit(0))), lambda i: i + n <= F.size(ws))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(ws, i + 1, n), " ")))
-
-
-def containment(needles: DataFrame, corpus: DataFrame, n: int = 3) -> DataFrame:
-    """M12. Every (needle, document) where the document contains the needle, letter by letter.
-
-    A candidate must share a key with the needle: of the needle's keys the rarest in the corpus is
-    chosen, so the join on it stays small; ``contains`` then decides. Keys are runs of n inner words,
-    or single inner words where a needle has fewer, or runs of up to three letters where it has none.
-    The needle's first and last word may be cut words in the document and are no keys. The empty
-    needle is in every document, a null one in none."""
-    ws = words(F.col("text"))
-    nd = needles.where("text IS NOT NULL").select("needle_id", "text", F.slice(ws, 2, F.greatest(F.size(ws) - 2, F.lit(0))).alias("inner"))
-    keys = F.when(F.size("inner") >= n, _grams(F.col("inner"), n)).otherwise(F.array_distinct("inner"))
-    grams = nd.where(F.size("inner") > 0).select("needle_id", F.explode(keys).alias("g"))
-    out = _holding(nd, grams, corpus, let(words(F.col("text")), lambda x: F.array_union(_grams(x, n), x)))
-    bare = nd.where((F.size("inner") == 0) & (F.col("text") != ""))
-    if not bare.isEmpty():
-        letters = F.least(F.char_length("text"), F.lit(3))
-        grams = bare.select("needle_id", F.explode(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.char_length("text") - letters + 1), lambda i: F.substring("text", i, letters)))).alias("g"))
-        out = out.unionByName(_holding(bare, grams, corpus, let(F.split("text", ""), lambda x: F.array_union(_runs(x, 3), F.array_union(_runs(x, 2), x)))))
-    empty = nd.where(F.col("text") == "").select("needle_id")
-    if not empty.isEmpty():  # its result is every document
-        everywhere = corpus.where("text IS NOT NULL").select(F.lit("").alias("g"), "doc_id")
-        out = out.unionByName(empty.select("needle_id", F.lit("").alias("g")).join(everywhere, "g").select("needle_id", "doc_id"))
-    return out
-
-
-def _runs(letters: Column, k: int) -> Column:
-    """Distinct runs of k letters."""
-    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(letters) - k, F.lit(0))), lambda i: i + k <= F.size(letters))
-    return F.array_distinct(F.transform(at, lambda i: F.concat(*[letters[i + d] for d in range(k)])))
-
-
-def _holding(needles: DataFrame, grams: DataFrame, corpus: DataFrame, keys: Column) -> DataFrame:
-    """The needles of ``grams(needle_id, g)`` with the documents that hold their rarest key and contain them."""
-    # The keys of the corpus, cut down to those of the needles before anything is exchanged.
-    posting = corpus.select("doc_id", F.explode(keys).alias("g")).join(grams.select("g").distinct(), "g", "left_semi")
-    freq = posting.groupBy("g").agg(F.count("*").alias("df"))
-    rare = grams.join(freq, "g", "left").groupBy("needle_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")).alias("x"))
-    cand = rare.select("needle_id", F.col("x.g").alias("g")).join(posting, "g").select("needle_id", "doc_id")
-    found = cand.join(needles.select("needle_id", F.col("text").alias("needle")), "needle_id").join(corpus.select("doc_id", "text"), "doc_id")
-    return found.where(F.contains("text", F.col("needle"))).select("needle_id", "doc_id")
+def containment(needles: DataFrame, corpus: DataFrame) -> DataFrame:
+    """M12. Every (needle, document) where the document contains the needle, letter by letter: all needles in one
+    scan of the corpus, which is not moved (see ``functions.matching``). The empty needle is in every document, a null one in none."""
+    return occurrences(corpus.select("doc_id", "text"), needles.select("needle_id", "text"), "doc_id", "needle_id")
 
 
-def absent(needles: DataFrame, corpus: DataFrame, n: int = 3) -> DataFrame:
+def absent(needles: DataFrame, corpus: DataFrame) -> DataFrame:
     """M12. Needles that no document contains."""
-    return needles.select("needle_id").join(containment(needles, corpus, n), "needle_id", "left_anti")
+    return needles.select("needle_id").join(containment(needles, corpus), "needle_id", "left_anti")
 
 
 def answer_pass(rows: DataFrame) -> DataFrame:

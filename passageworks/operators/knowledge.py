@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passageworks.functions.matching import occurrences
 from passageworks.functions.scale import running
 from passageworks.functions.text import FENCE, let, sha, strip
 from passageworks.operators.fragments import fences, is_image_line, is_table_line, outside
@@ -203,34 +204,15 @@ def resolve_names(queries: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 # Fixed value: characters of a token; a name may not start or end inside one.
-TOKEN = "a-z0-9_.:/\\-"
+TOKEN = "abcdefghijklmnopqrstuvwxyz0123456789_.:/-"
 
 
 def find_mentions(texts: DataFrame, registry: DataFrame) -> DataFrame:
-    """K9. Registered names inside texts: ``text_id, device_id``.
-
-    A name is indexed by its first token; because a name cannot begin or end inside a token, any
-    text that mentions it has exactly that token, so the two sides meet in an equi-join. Names
-    without a token character meet on their first two characters."""
-    n = _names(registry).withColumn("tok", F.regexp_extract("name", f"[{TOKEN}]+", 0))
-    t = texts.select("text_id", F.lower("text").alias("text"))
-    esc = F.regexp_replace("name", r"([\\^$.|?*+()\[\]{}\-])", r"\\$1")
-    edge = lambda first, look: F.when(F.regexp_like(first, F.lit(f"[{TOKEN}]")), look).otherwise("")
-    pattern = F.concat(edge(F.left("name", F.lit(1)), f"(?<![{TOKEN}])"), esc, edge(F.right("name", F.lit(1)), f"(?![{TOKEN}])"))
-    named = n.where("tok <> ''").select("device_id", "name", "tok", pattern.alias("pattern"))
-    keys = t.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"([{TOKEN}]+)"), F.lit(1)))).alias("tok"))
-    keys = keys.join(named.select("tok").distinct(), "tok", "left_semi")
-    # A name that is one token is found by the join itself; only longer names look at the text again.
-    out = keys.join(named.where("name = tok").select("tok", "device_id"), "tok").select("text_id", "device_id")
-    cand = keys.join(named.where("name <> tok"), "tok").join(t, "text_id").where(F.contains("text", F.col("name")))
-    out = out.unionByName(cand.where(F.regexp_like("text", F.col("pattern"))).select("text_id", "device_id"))
-    plain = n.where("tok = ''")
-    if not plain.isEmpty():
-        p = plain.select("device_id", "name", F.left("name", F.lit(2)).alias("tok"))
-        grams = F.concat(F.regexp_extract_all("text", F.lit("(?s)(?=(..))"), F.lit(1)), F.regexp_extract_all("text", F.lit("(?s)(.)"), F.lit(1)))
-        keys = t.select("text_id", F.explode(F.array_distinct(grams)).alias("tok")).join(p.select("tok").distinct(), "tok", "left_semi")
-        out = out.unionByName(keys.join(p, "tok").join(t, "text_id").where(F.contains("text", F.col("name"))).select("text_id", "device_id"))
-    return out.distinct()
+    """K9. Registered names inside texts: ``text_id, device_id``, case ignored. All names are looked for in one scan of the
+    texts, which are not moved (see ``functions.matching``)."""
+    lower = texts.select("text_id", F.lower("text").alias("text"))
+    names = _names(registry).select("device_id", F.col("name").alias("text"))
+    return occurrences(lower, names, "text_id", "device_id", TOKEN).select("text_id", "device_id")
 
 
 def map_owners(rows: DataFrame, mappings: DataFrame, previous: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from passageworks.functions.scale import neighbours
 from passageworks.functions.text import SPACE_CLASS, sha, split_lines
 from passageworks.operators import evaluation as M
 from passageworks.operators import retrieval as R
@@ -43,7 +43,7 @@ r(node, lab) AS (SELECT doc_id, doc_id FROM documents UNION SELECT u.b, r.lab FR
 SELECT node, min(lab) AS component FROM r GROUP BY 1""")
 def m02(spark, sf):
     d = table(spark, sf, "documents")
-    chain = d.where("doc_id % 13 <> 5").select(F.col("doc_id").alias("a"), F.lead("doc_id").over(W.partitionBy("source", "lang").orderBy("doc_id")).alias("b"))
+    chain = neighbours(d.where("doc_id % 13 <> 5"), ["source", "lang"], "doc_id", "p", "b").select(F.col("doc_id").alias("a"), "b")
     first = d.groupBy(sha(F.col("text")).alias("h")).agg(F.min("doc_id").alias("b"))
     same = d.select(F.col("doc_id").alias("a"), sha(F.col("text")).alias("h")).join(first, "h").select("a", "b")
     return M.leakage_groups(chain.where("b IS NOT NULL").unionByName(same))
@@ -92,9 +92,13 @@ SELECT query_id, coalesce(h1, 0) / n AS recall_at_1, coalesce(h3, 0) / n AS reca
 def m06(spark, sf):
     t = R.dense_topk(PR.query_vectors(spark, sf), PR.vectors(spark, sf), 20)
     hits = t.select("query_id", F.floor(F.col("vec_id") / 3).alias("id"), "rank")
-    e = table(spark, sf, "embeddings").select("vec_id", "label", (F.col("vec_id") % 10).alias("m"))
-    rel = e.select(F.col("vec_id").alias("query_id"), "label", "m").join(e, ["label", "m"]).select("query_id", F.floor(F.col("vec_id") / 3).alias("id"))
-    return M.retrieval_metrics(hits, rel).withColumn("ndcg_at_5", F.round("ndcg_at_5", 9))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.floor(F.col("vec_id") / 3).alias("id"), "label", (F.col("vec_id") % 10).alias("m"))
+    topics = e.select("query_id", "label", "m")
+    # relevant is whatever shares a query's topic: counted per topic, and looked up for the hits only
+    relevant = e.select("label", "m", "id").distinct()
+    totals = topics.join(relevant.groupBy("label", "m").agg(F.count("*").alias("n")), ["label", "m"]).select("query_id", "n")
+    found = hits.select("query_id", "id").distinct().join(topics, "query_id").join(relevant, ["label", "m", "id"], "left_semi")
+    return M.retrieval_metrics(hits, found, totals=totals).withColumn("ndcg_at_5", F.round("ndcg_at_5", 9))
 
 
 @query("m07_summarize", """WITH e AS (SELECT event_type, CASE WHEN user_id % 3 > 0 THEN (event_id % 7)::DOUBLE END AS recall, value FROM events)
