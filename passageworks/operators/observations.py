@@ -69,18 +69,23 @@ def freshness(evidence: DataFrame, values: DataFrame, now: Column) -> DataFrame:
     return j.withColumn("status", F.when(~F.col("fresh") & F.col("status").isin("OK", "PARTIAL", "NO_RECORD"), "STALE").otherwise(F.col("status"))).drop("oldest")
 
 
-#: A whole decimal number; a cast alone would also take surrounding blanks and type suffixes.
-DECIMAL = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+#: A whole decimal or hexadecimal number, digits parted by single underscores or not; a cast alone would also take surrounding
+#: blanks, line ends and type suffixes.
+_D, _H = "[0-9](_?[0-9])*", "[0-9a-fA-F](_?[0-9a-fA-F])*"
+DECIMAL = rf"({_D}(\.({_D})?)?|\.{_D})([eE][+-]?{_D})?"
+HEXADECIMAL = rf"0[xX](_?{_H}(\.({_H})?)?|\.{_H})[pP][+-]?{_D}"
+NUMBER = rf"\A[+-]?({DECIMAL}|{HEXADECIMAL})\z"
 
 
-def _number(c: Column) -> Column:
-    n = F.when(c.rlike(DECIMAL), c).try_cast("double")
+def number(c: Column) -> Column:
+    """The finite number that a text is, or null."""
+    n = F.when(c.rlike(NUMBER), F.replace(c, F.lit("_"), F.lit(""))).try_cast("double")
     return F.when(~F.isnan(n) & (F.abs(n) != float("inf")), n)
 
 
 def compare(value: Column, op: Column, want: Column) -> Column:
     """V4. EQ compares text; the other operators need two finite numbers."""
-    a, b = _number(value), _number(want)
+    a, b = number(value), number(want)
     num = F.when(op == "GT", a > b).when(op == "GE", a >= b).when(op == "LT", a < b).when(op == "LE", a <= b)
     return F.when(op == "EQ", value == want).otherwise(F.coalesce(num, F.lit(False)))
 
@@ -137,7 +142,7 @@ def bad_condition() -> Column:
     bad = (~c("capability").isin(*CAPABILITIES) | ~c("operator").isin(*OPERATORS) | (strip(c("field")) == "") | (F.octet_length("field") > 100)
            | (F.octet_length("component") > 200) | (c("value") == "") | (F.octet_length("value") > 4000) | (strip(c("unit")) == "")
            | (F.octet_length("unit") > 100) | (c("max_age_seconds") < 1) | (c("max_age_seconds") > 86400) | _bad_parameters("parameters")
-           | ((c("operator") != "EQ") & _number(c("value")).isNull()))
+           | ((c("operator") != "EQ") & number(c("value")).isNull()))
     return F.coalesce(bad, F.lit(True))
 
 

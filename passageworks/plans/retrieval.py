@@ -6,11 +6,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from passageworks.functions import text as TX
+from passageworks.functions.scale import neighbours
 from passageworks.operators import fragments as FR
+from passageworks.operators import representations as RP
 from passageworks.operators import retrieval as R
+from passageworks.operators import search as SE
+from passageworks.operators import text_index as TI
+from passageworks.operators import vector_index as VI
 from passageworks.plans import text_sql as S
 from passageworks.plans.registry import query
-from passageworks.plans.text import docs_of
+from passageworks.plans.text import LINKS_SQL, docs_of, marked_docs, marked_frags
 from passageworks.sources.tables import spread, table
 
 
@@ -88,9 +93,16 @@ bm AS (SELECT query_id, fragment_id, round(max(s), 6) AS score FROM sc GROUP BY
 
 @query("r02_bm25_topk", f"WITH {BM25_SQL} {ranked('score', 'bm', 'fragment_id', 20)}")
 def r02(spark, sf):
+    """In one scan of the corpus a query block, for a corpus that is searched once."""
     return R.bm25_topk(passages(spark, sf), corpus(spark, sf), 20, eligible=published(spark, sf))
 
 
+@query("r02_postings_topk", f"WITH {BM25_SQL} {ranked('score', 'bm', 'fragment_id', 20)}")
+def r02_postings(spark, sf):
+    """From stored postings, for a corpus that is searched again and again."""
+    return TI.bm25(passages(spark, sf), TI.build(corpus(spark, sf)), 20, eligible=published(spark, sf))
+
+
 DENSE_SQL = """dn AS (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, v.label AS label,
    round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v)"""
 
@@ -100,6 +112,29 @@ def r03(spark, sf):
     return R.dense_topk(query_vectors(spark, sf), vectors(spark, sf), 20)
 
 
+CELLS, RECALL = 64, 0.95  # cells of the vector index, and the recall that sets how many are probed
+
+
+def approximate(spark, sf):
+    """The index, and the vectors whose id is divisible by 50 as queries with their found neighbours."""
+    index = VI.build(vectors(spark, sf), CELLS)
+    q = query_vectors(spark, sf).where("query_id % 50 = 0")
+    return q, VI.search(q, index, VI.probes_for(index, RECALL), 20)
+
+
+@query("r03_approximate_topk")
+def r03_approximate(spark, sf):
+    return approximate(spark, sf)[1]
+
+
+@query("r03_approximate_recall", "SELECT count(*) AS queries, 20 * count(*) AS wanted, true AS reached FROM embeddings WHERE vec_id % 50 = 0")
+def r03_recall(spark, sf):
+    """Whether the approximate search finds at least 0.9 of the exact neighbours."""
+    q, found = approximate(spark, sf)
+    got = VI.recall(found, R.dense_topk(q, vectors(spark, sf), 20))
+    return got.select("queries", "wanted", (F.col("found") >= 0.9 * F.col("wanted")).alias("reached"))
+
+
 @query("r04_multivector_topk", f"""WITH {DENSE_SQL}, d AS (SELECT query_id, label::BIGINT AS label, max(score) AS score FROM dn GROUP BY ALL) {ranked('score', 'd', 'label', 5)}""")
 def r04(spark, sf):
     return R.multivector_topk(query_vectors(spark, sf), vectors(spark, sf), "label", 5)
@@ -124,6 +159,50 @@ def r05b(spark, sf):
     return R.refused_texts(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
+def made_representations(spark, sf):
+    """Documents as fragments, most of them longer than a window; a summary, a question and the question again for each."""
+    fr = docs_of(spark, sf).select(F.col("doc_id").alias("fragment_id"), F.col("source").alias("title"), F.concat_ws(" / ", "lang", F.repeat("source", 30), "source").alias("section"), F.col("text").alias("content"))
+    kinds = [(0, "SUMMARY", F.lower("content")), (1, "QUESTION", F.col("title")), (2, "QUESTION", F.col("title")), (3, "PASSAGE", F.col("content"))]
+    reps = fr.select("fragment_id", F.inline(F.array(*[F.struct(F.lit(n).alias("ordinal"), F.lit(k).alias("kind"), t.alias("text")) for n, k, t in kinds])))
+    return fr, RP.representations(fr, reps, window_tokens=200)
+
+
+def _bounded(x: str) -> str:
+    p = f"string_split({x}, ' / ')"
+    c = f"({p}[1] || ' / ... / ' || {p}[-1])"
+    return f"CASE WHEN strlen({x}) <= 512 THEN {x} WHEN strlen({c}) <= 512 THEN {c} ELSE {S.trim(f'{c}[1:list_max(list_filter(range(0, length({c}) + 1), lambda n: strlen({c}[1:n]) <= 512))]')} END"
+
+
+_SECTION = "lang || ' / ' || repeat(source, 30) || ' / ' || source"
+REP_SQL = f"""f AS (SELECT doc_id AS id, text, source AS title, greatest(128, 200 - len(regexp_extract_all(source || chr(10) || {_bounded(_SECTION)} || chr(10), '\\S+'))) AS budget FROM documents),
+r AS (SELECT id, 0 AS after, 0 AS pos, 'SUMMARY' AS kind, lower(text) AS text, budget, 32 AS o FROM f UNION ALL SELECT id, 0, 1, 'QUESTION', title, budget, 32 FROM f
+  UNION ALL SELECT id, 1, 0, 'PASSAGE', text, budget, 64 FROM f),
+t AS (SELECT *, regexp_extract_all(text, '\\S+\\s*') AS ts FROM r),
+w AS (SELECT *, unnest(range(0, 1 + CASE WHEN len(ts) <= budget THEN 0 ELSE CAST(ceil((len(ts) - budget) / (budget - o)::DOUBLE) AS BIGINT) END)) AS k FROM t WHERE after = 0 OR len(ts) > budget),
+x AS (SELECT id, after, pos, k, kind, CASE WHEN len(ts) <= budget THEN text ELSE {S.trim("array_to_string(ts[(k * (budget - o) + 1):(k * (budget - o) + budget)], '')")} END AS text FROM w),
+u AS (SELECT id, kind, text, min(after * 1000000000 + pos * 1000000 + k) AS place FROM x GROUP BY ALL),
+rp AS (SELECT id AS fragment_id, row_number() OVER (PARTITION BY id ORDER BY place, kind, text) AS ordinal, kind, text, count(*) OVER (PARTITION BY id) > 32 AS over_limit FROM u)"""
+
+
+@query("t19_representations", f"WITH {REP_SQL} SELECT fragment_id, ordinal, kind, sha256(text) AS text_sha, over_limit FROM rp")
+def t19_representations(spark, sf):
+    return made_representations(spark, sf)[1].select("fragment_id", "ordinal", "kind", TX.sha(F.col("text")).alias("text_sha"), "over_limit")
+
+
+@query("r04_bound_vectors", f"""WITH {REP_SQL} SELECT fragment_id, ordinal, kind, sha256(text) AS text_sha FROM rp UNION ALL
+SELECT doc_id, 0, 'CONTENT', sha256(text) FROM documents WHERE doc_id NOT IN (SELECT fragment_id FROM rp WHERE kind = 'PASSAGE')""")
+def r04_bound(spark, sf):
+    return R.bound_vectors(*made_representations(spark, sf)).select("fragment_id", "ordinal", "kind", TX.sha(F.col("text")).alias("text_sha"))
+
+
+_LONG = "CASE doc_id % 4 WHEN 0 THEN lang || ' / ' || text || ' / ' || source WHEN 1 THEN repeat('页é', 200) || ' / ' || source || ' / ' || lang WHEN 2 THEN source || ' / ' || repeat('a ', 300) ELSE lang END"
+
+
+@query("t19_bounded_sections", f"SELECT doc_id, {_bounded('x')} AS section FROM (SELECT doc_id, {_LONG} AS x FROM documents)")
+def t19_bounded(spark, sf):
+    return docs_of(spark, sf).select("doc_id", FR.bounded_section(F.expr(_LONG)).alias("section"))
+
+
 def two_routes(spark, sf):
     """Lexical and BM25 lists of the same queries."""
     a = R.lexical_topk(passages(spark, sf), lexical_text(corpus(spark, sf)), 20).select(
@@ -201,10 +280,7 @@ def r10(spark, sf):
 
 def neighbour_links(spark, sf):
     """The previous and next document of the same source count as its siblings."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("source").orderBy("doc_id")
-    d = table(spark, sf, "documents").select("doc_id", F.lag("doc_id").over(w).alias("p"), F.lead("doc_id").over(w).alias("n"))
+    d = neighbours(table(spark, sf, "documents"), ["source"], "doc_id", "p", "n")
     return d.select(F.col("doc_id").alias("fragment_id"), F.posexplode(F.array("p", "n")).alias("ordinal", "related")).where("related IS NOT NULL")
 
 
@@ -280,3 +356,85 @@ def search_passages(spark, sf):
     j = fr.join(hits, "fragment_id").join(q, "query_id")
     return j.select("query_id", "rank", "score", "fragment_id", "doc_id",
                     F.contains(TX.norm(F.col("content")), TX.norm(F.col("passage"))).alias("contains_passage"))
+
+
+def section_library(spark, sf):
+    """Sections of the marked documents as fragments, by word and vector; a document's first section has its vector, and
+    some sections have changed since they were indexed."""
+    docs = marked_docs(spark, sf)
+    fr = TI.keep(marked_frags(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id"), "sections")
+    first = fr.groupBy("doc_id").agg(F.min_by("fragment_id", F.struct("start_line", "part")).alias("fragment_id"))
+    vecs = table(spark, sf, "embeddings").join(first, F.col("vec_id") == F.col("doc_id")).select("fragment_id", "embedding")
+    words = TI.build(fr.select("fragment_id", F.col("doc_id").alias("revision_id"), F.col("source").alias("title"), "section", "content", F.lower("content").alias("retrieval_content")))
+    d = table(spark, sf, "documents")
+    revs = d.select(F.col("doc_id").alias("revision_id"), F.col("doc_id").alias("document_id"), F.col("source").alias("title"), "source", F.lit("GENERAL").alias("scope"),
+                    F.lit("").alias("snapshot_id"), F.concat("lang", F.lit(" > "), "source").alias("document_context"))
+    own = fr.select("fragment_id", F.col("doc_id").alias("revision_id"), "section", "content_hash", F.octet_length("content").alias("context_bytes"))
+    old = fr.select("fragment_id", F.when(F.col("doc_id") % 7 == 3, F.concat("content_hash", F.lit("x"))).otherwise(F.col("content_hash")).alias("content_hash"))
+    return SE.Library(own, revs, old, FR.section_links(docs, fr), words=words, embeddings=vecs)
+
+
+def hybrid(spark, sf, candidates, top_k=5, max_bytes=2000):
+    q = passages(spark, sf).join(query_vectors(spark, sf), "query_id", "left")
+    return SE.search(q, section_library(spark, sf), published(spark, sf), top_k=top_k, max_bytes=max_bytes, candidates=candidates)
+
+
+HYBRID_SQL = f"""{S.MARKED},{S.frags()},{LINKS_SQL},
+fl AS (SELECT fragment_id, doc_id, 'r' AS field, 2.0::DOUBLE AS boost, lower(content) AS x FROM frag UNION ALL SELECT fragment_id, doc_id, 'c', 1, content FROM frag
+  UNION ALL SELECT fragment_id, doc_id, 's', 1, section FROM frag UNION ALL SELECT fragment_id, doc_id, 't', 1, source FROM frag JOIN documents USING (doc_id)),
+tk AS (SELECT fragment_id, doc_id, field, boost, list_filter(regexp_extract_all(lower(x), '[\\p{{L}}\\p{{Nd}}]+'), lambda w: w NOT IN ({_stop})) AS ts FROM fl),
+st2 AS (SELECT field, count(*)::DOUBLE AS n, avg(len(ts)) AS avg_len FROM tk GROUP BY 1),
+tf AS (SELECT fragment_id, doc_id, field, boost, size, term, count(*)::DOUBLE AS tf FROM (SELECT fragment_id, doc_id, field, boost, len(ts) AS size, unnest(ts) AS term FROM tk) GROUP BY ALL),
+df AS (SELECT field, term, count(*)::DOUBLE AS df FROM tf GROUP BY ALL),
+qt AS (SELECT query_id, term, count(*)::DOUBLE AS qtf FROM (SELECT item_id AS query_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{Nd}}]+'), lambda w: w NOT IN ({_stop}))) AS term FROM benchmark) GROUP BY ALL),
+ok AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+sc AS (SELECT query_id, fragment_id, field, any_value(boost) * sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / avg_len))) AS s
+   FROM tf JOIN qt USING (term) JOIN df USING (field, term) JOIN st2 USING (field) WHERE doc_id IN (SELECT doc_id FROM ok) GROUP BY ALL),
+bm AS (SELECT query_id, fragment_id, round(max(s), 6) AS score FROM sc GROUP BY ALL HAVING round(max(s), 6) > 0),
+ve AS (SELECT fn.fragment_id, e.embedding FROM fn JOIN embeddings e ON e.vec_id = fn.doc_id WHERE fn.no = 1 AND fn.doc_id IN (SELECT doc_id FROM ok)),
+dn AS (SELECT b.item_id AS query_id, ve.fragment_id, round(list_cosine_similarity(q.embedding::DOUBLE[], ve.embedding::DOUBLE[]), 6) AS score FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, ve)"""
+
+
+def _hybrid_sql(route_k: int, k: int) -> str:
+    return f"""{HYBRID_SQL}, l1 AS ({ranked('score', 'bm', 'fragment_id', route_k)}), l2 AS ({ranked('score', 'dn', 'fragment_id', route_k)}),
+rr AS (SELECT query_id, fragment_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT query_id, fragment_id, rank FROM l1 UNION ALL SELECT query_id, fragment_id, rank FROM l2) GROUP BY ALL),
+fu AS ({ranked('score', 'rr', 'fragment_id', k)}),
+fb AS (SELECT f.fragment_id, f.doc_id, f.section, f.content_hash, d.source, strlen(f.content) + strlen(d.lang || ' > ' || d.source) AS bytes FROM frag f JOIN documents d USING (doc_id)),
+hb AS (SELECT fu.query_id, fu.fragment_id, fu.rank, bytes FROM fu JOIN fb USING (fragment_id) WHERE doc_id % 7 <> 3)"""
+
+
+_CITED = """SELECT p.query_id, p.position, p.fragment_id, fb.doc_id AS document_id, fb.doc_id AS revision_id, fb.source AS title, fb.source, fb.section, fb.content_hash,
+  '/v1/knowledge/revisions/' || fb.doc_id || '/fragments/' || p.fragment_id AS url, '' AS device_snapshot_id, p.bytes, fu.score, p.expanded
+FROM placed p JOIN fb USING (fragment_id) LEFT JOIN fu ON fu.query_id = p.query_id AND fu.fragment_id = p.fragment_id"""
+
+
+@query("search_hybrid", f"""WITH {_hybrid_sql(20, 5)},
+f AS (SELECT query_id, list_reduce(list({{'r': rank, 'id': fragment_id, 'b': bytes}} ORDER BY rank),
+   lambda a, x: CASE WHEN a.b + x.b <= 2000 AND len(a.o) < 5 THEN {{'b': a.b + x.b, 'o': list_append(a.o, x)}} ELSE a END,
+   {{'b': 0::BIGINT, 'o': []::STRUCT(r BIGINT, id VARCHAR, b BIGINT)[]}}).o AS o FROM hb GROUP BY 1),
+placed AS (SELECT query_id, e.id AS fragment_id, position, e.b AS bytes, false AS expanded FROM (SELECT query_id, unnest(o) AS e, unnest(range(1, len(o) + 1)) AS position FROM f))
+{_CITED}""")
+def search_hybrid(spark, sf):
+    """Words and vectors fused, verified, packed with the document's context, cited."""
+    return hybrid(spark, sf, False)[0]
+
+
+@query("search_candidates", f"""WITH {_hybrid_sql(40, 40)},
+hp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position FROM hb),
+cd AS (SELECT hp.query_id, lk.related AS fragment_id, min(hp.rank * 1000 + lk.ordinal) AS o FROM hp JOIN lk USING (fragment_id)
+  WHERE hp.position <= 8 AND NOT EXISTS (SELECT 1 FROM hb x WHERE x.query_id = hp.query_id AND x.fragment_id = lk.related) GROUP BY ALL),
+ex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o) AS extra FROM cd QUALIFY extra <= 8),
+placed AS (SELECT query_id, fragment_id, position, bytes, false AS expanded FROM hp UNION ALL
+  SELECT ex.query_id, ex.fragment_id, (SELECT count(*) FROM hb WHERE hb.query_id = ex.query_id) + extra, fb.bytes, true FROM ex JOIN fb USING (fragment_id))
+{_CITED}""")
+def search_candidates(spark, sf):
+    """Forty hits and what their sections add: first fragments under their ancestors, then neighbours."""
+    return hybrid(spark, sf, True)[0]
+
+
+@query("search_gaps", f"""WITH {_hybrid_sql(20, 1)}, g AS (SELECT item_id AS query_id, (SELECT count(*) FROM hb WHERE hb.query_id = item_id) AS good, (SELECT count(*) FROM hb WHERE hb.query_id = item_id AND bytes <= 200) AS fit,
+  (SELECT count(*) FROM fu WHERE fu.query_id = item_id) AS hits FROM benchmark)
+SELECT query_id, CASE WHEN good > 0 THEN 'OVER_BUDGET' WHEN hits > 0 THEN 'CHANGED_SOURCE' ELSE 'NO_RETRIEVAL_HIT' END AS reason FROM g WHERE fit = 0""")
+def search_gaps(spark, sf):
+    """The best hit alone, and little room for it."""
+    return hybrid(spark, sf, False, 1, 200)[1]

@@ -270,17 +270,19 @@ def t21(spark, sf):
     return FR.document_context(d.withColumn("text", head)).select("doc_id", "context")
 
 
-@query("t22_section_links", f"""WITH {S.MARKED},{S.frags()},
-hd AS (SELECT doc_id, line, length(regexp_extract(content, '^(#{{1,6}}) ', 1)) AS level FROM lines WHERE outside AND regexp_matches(content, '^#{{1,6}} ')),
+LINKS_SQL = f"""hd AS (SELECT doc_id, line, length(regexp_extract(content, '^(#{{1,6}}) ', 1)) AS level FROM lines WHERE outside AND regexp_matches(content, '^#{{1,6}} ')),
 fn AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_line, part) AS no FROM frag),
 st AS (SELECT f.doc_id, f.fragment_id, h.line, row_number() OVER (PARTITION BY f.fragment_id ORDER BY h.line DESC) AS up
    FROM fn f JOIN hd h ON h.doc_id = f.doc_id AND h.line < f.start_line
    WHERE NOT EXISTS (SELECT 1 FROM hd g WHERE g.doc_id = f.doc_id AND g.line > h.line AND g.line < f.start_line AND g.level <= h.level)),
 an AS (SELECT a.doc_id, a.fragment_id, a.up - 2 AS ordinal, a.line AS lo, b.line AS hi FROM st a JOIN st b ON b.fragment_id = a.fragment_id AND b.up = a.up - 1),
 rl AS (SELECT an.doc_id, an.fragment_id, ordinal, arg_min(f.fragment_id, f.no) AS related FROM an JOIN fn f ON f.doc_id = an.doc_id AND f.start_line > lo AND f.start_line < hi GROUP BY ALL),
-sb AS (SELECT doc_id, fragment_id, lag(fragment_id) OVER w AS p, lead(fragment_id) OVER w AS n FROM fn WINDOW w AS (PARTITION BY doc_id ORDER BY no))
-SELECT doc_id, fragment_id, related, ordinal::BIGINT AS ordinal FROM rl
-UNION ALL SELECT doc_id, fragment_id, p, 100 FROM sb WHERE p IS NOT NULL UNION ALL SELECT doc_id, fragment_id, n, 101 FROM sb WHERE n IS NOT NULL""")
+sb AS (SELECT doc_id, fragment_id, lag(fragment_id) OVER w AS p, lead(fragment_id) OVER w AS n FROM fn WINDOW w AS (PARTITION BY doc_id ORDER BY no)),
+lk AS (SELECT doc_id, fragment_id, related, ordinal::BIGINT AS ordinal FROM rl
+UNION ALL SELECT doc_id, fragment_id, p, 100 FROM sb WHERE p IS NOT NULL UNION ALL SELECT doc_id, fragment_id, n, 101 FROM sb WHERE n IS NOT NULL)"""
+
+
+@query("t22_section_links", f"WITH {S.MARKED},{S.frags()},{LINKS_SQL} SELECT * FROM lk")
 def t22(spark, sf):
     docs = marked_docs(spark, sf)
     return FR.section_links(docs, FR.fragments(docs, LIMIT))
