@@ -68,14 +68,30 @@ def v03(spark, sf):
     return V.freshness(headers(spark, sf), values(spark, sf), now()).select("evidence_id", "fresh", "status")
 
 
-@query("v04_compare", """WITH e AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'abc' WHEN 1 THEN 'NaN' WHEN 2 THEN 'Infinity' WHEN 3 THEN '5' WHEN 4 THEN ' 81' WHEN 5 THEN '81d' ELSE value::VARCHAR END AS v, ['EQ', 'GT', 'GE', 'LT', 'LE', 'XX'][(event_id % 6)::INT + 1] AS op,
+# Texts that are numbers to the comparison, with the number, and texts that are none
+NUMBERS = [("5", 5.0), ("1_000", 1000.0), ("0x1p7", 128.0), ("-0X1.8p+1", -3.0), (".5e1", 5.0), ("+7.", 7.0), ("0x_1Fp0", 31.0), ("1_2.5_0e+1_0", 12.5e10)]
+NO_NUMBERS = ["abc", "NaN", "Infinity", " 81", "81d", "81\n", "1__0", "_1", "1_", "0x1", "1e400", "", "1_.5", "0x1p", "٣", "8 1"]
+_TEXTS = [x for x, _ in NUMBERS] + NO_NUMBERS
+
+
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("\n", "' || chr(10) || '") + "'"
+
+
+_LIST = f"[{', '.join(map(_sql_text, _TEXTS))}]"
+_VALUES = f"[{', '.join([f'{n!r}::DOUBLE' for _, n in NUMBERS] + ['NULL'] * len(NO_NUMBERS))}]"
+
+
+@query("v04_compare", f"""WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 1 + (event_id // 3) % {len(_TEXTS)} END AS i, value, ['EQ', 'GT', 'GE', 'LT', 'LE', 'XX'][(event_id % 6)::INT + 1] AS op,
   CASE WHEN event_id % 4 = 0 THEN '5.0' ELSE (user_id % 100)::VARCHAR END AS w FROM events),
-n AS (SELECT *, CASE WHEN event_id % 9 IN (0, 1, 2, 4, 5) THEN NULL ELSE v::DOUBLE END AS a, w::DOUBLE AS b FROM e)
+n AS (SELECT *, CASE WHEN i IS NULL THEN value::VARCHAR ELSE {_LIST}[i] END AS v, CASE WHEN i IS NULL THEN value::DOUBLE ELSE {_VALUES}[i] END AS a, w::DOUBLE AS b FROM e)
 SELECT event_id, CASE op WHEN 'EQ' THEN v = w WHEN 'GT' THEN coalesce(a > b, false) WHEN 'GE' THEN coalesce(a >= b, false) WHEN 'LT' THEN coalesce(a < b, false) WHEN 'LE' THEN coalesce(a <= b, false) ELSE false END AS holds FROM n""")
 def v04(spark, sf):
-    e = table(spark, sf, "events").selectExpr(
-        "event_id", "CASE event_id % 9 WHEN 0 THEN 'abc' WHEN 1 THEN 'NaN' WHEN 2 THEN 'Infinity' WHEN 3 THEN '5' WHEN 4 THEN ' 81' WHEN 5 THEN '81d' ELSE CAST(value AS STRING) END AS v",
-        "element_at(array('EQ', 'GT', 'GE', 'LT', 'LE', 'XX'), CAST(event_id % 6 AS INT) + 1) AS op", "CASE WHEN event_id % 4 = 0 THEN '5.0' ELSE CAST(user_id % 100 AS STRING) END AS w")
+    made = F.element_at(F.array(*[F.lit(x) for x in _TEXTS]), (F.expr("event_id div 3") % len(_TEXTS) + 1).cast("int"))
+    e = table(spark, sf, "events").select(
+        "event_id", F.when(F.col("event_id") % 3 == 0, F.col("value").cast("string")).otherwise(made).alias("v"),
+        F.expr("element_at(array('EQ', 'GT', 'GE', 'LT', 'LE', 'XX'), CAST(event_id % 6 AS INT) + 1) AS op"),
+        F.expr("CASE WHEN event_id % 4 = 0 THEN '5.0' ELSE CAST(user_id % 100 AS STRING) END AS w"))
     return e.select("event_id", V.compare(F.col("v"), F.col("op"), F.col("w")).alias("holds"))
 
 

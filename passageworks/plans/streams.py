@@ -22,17 +22,18 @@ DRAFT = [
 
 
 @query("x01_response_events", f"""WITH {PC.DE}, o AS (SELECT r, seq, row_number() OVER (PARTITION BY r ORDER BY seq) AS n FROM ev),
-fs AS (SELECT o.r, o.seq, list_reduce(list({{'t': e.type, 'v': e.v}} ORDER BY e.seq), lambda a, x: CASE WHEN x.t = 'draft_started' THEN x.v WHEN x.t = 'draft_retracted' THEN CASE WHEN x.v = a THEN 0 ELSE a END WHEN x.t = 'answer' THEN 0 ELSE a END, 0::BIGINT) AS active
-  FROM o JOIN ev e ON e.r = o.r AND e.seq <= o.seq GROUP BY ALL)
-SELECT fs.r AS response_id, o.n AS seq, ev.type, active AS active_version, false AS refused FROM fs JOIN ev ON ev.r = fs.r AND ev.seq = fs.seq JOIN o ON o.r = fs.r AND o.seq = fs.seq""")
+fs AS (SELECT o.r, o.seq, list_reduce(list({{'t': e.type, 'v': e.v}} ORDER BY e.seq), lambda a, x: CASE WHEN x.t = 'draft_started' THEN x.v WHEN x.t = 'draft_retracted' THEN CASE WHEN x.v = a THEN 0 ELSE a END WHEN x.t = 'answer' THEN 0 ELSE a END, 0::BIGINT) AS active,
+  coalesce(bool_or(e.type = 'answer') FILTER (e.seq < o.seq), false) AS over FROM o JOIN ev e ON e.r = o.r AND e.seq <= o.seq GROUP BY ALL)
+SELECT fs.r AS response_id, o.n AS seq, ev.type, CASE WHEN over THEN 0 ELSE active END AS active_version, over OR ev.type = 'answer' AS closed, over AS refused
+FROM fs JOIN ev ON ev.r = fs.r AND ev.seq = fs.seq JOIN o ON o.r = fs.r AND o.seq = fs.seq""")
 def x01(spark, sf):
-    """Sequences of each response from 1, dealt over three micro-batches so that most come out of order."""
+    """Sequences of each response from 1, dealt over three micro-batches so that most come out of order; an answer ends its response."""
     seq = F.row_number().over(W.partitionBy(F.expr("user_id || '-' || day(ts) div 6")).orderBy("event_id")).cast("bigint")
     ev = table(spark, sf, "events").withColumn("seq", seq).selectExpr(*DRAFT, "seq", "event_id")
     path = f"{shared_folder(spark)}/responses-{uuid4().hex}"
     ev.repartition(3, "event_id").drop("event_id").write.parquet(path)
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return drain(X.response_events_stream(stream, late="60 days")).select("response_id", "seq", "type", "active_version", "refused")
+    return drain(X.response_events_stream(stream, late="60 days")).select("response_id", "seq", "type", "active_version", "closed", "refused")
 
 
 @query("x02_newest_snapshots", f"WITH {PK._ARR} SELECT device_id, arrival, observed_at, seen IS NULL OR observed_at > seen AS accepted FROM s")
@@ -55,7 +56,7 @@ def x03(spark, sf):
 
 @query("x03_attempt_windows_stream", ATT_SQL)
 def x03b(spark, sf):
-    return drain(X.attempt_windows_stream(event_stream(spark, sf, "events").selectExpr(*ATT), 3600_000_000)).drop("at")
+    return drain(X.attempt_windows_stream(event_stream(spark, sf, "events").selectExpr(*ATT), 3600_000_000, "60 days")).drop("at")
 
 
 OBS = "user_id AS device_id", "event_type AS field", "value", "CAST(ts AS TIMESTAMP) AS observed_at"
@@ -92,6 +93,13 @@ def x06(spark, sf):
     return X.first_latency(drain(X.latency_pairs_stream(e.where("event_type = 'signup'"), e.where("event_type IN ('view', 'purchase')"), "6 hours"), "append"))
 
 
+@query("x07_without_replays", """WITH r AS (SELECT event_id, user_id, event_type, event_id % 7 AS k, row_number() OVER (PARTITION BY user_id, event_id % 7, event_type ORDER BY event_id) AS n FROM events)
+SELECT user_id AS conversation_id, k::VARCHAR AS key, event_type AS hash FROM r WHERE n = 1""")
+def x07b(spark, sf):
+    r = event_stream(spark, sf, "events").selectExpr("user_id AS conversation_id", "CAST(event_id % 7 AS STRING) AS key", "event_type AS hash", "CAST(ts AS TIMESTAMP) AS ts")
+    return drain(X.without_replays_stream(r, "90 days"), "append").drop("ts")
+
+
 @query("x07_idempotent_intake", f"""WITH {PC.RQ} SELECT request_id, CASE WHEN rq.k = '' OR fid = request_id THEN 'accepted' WHEN fh = h THEN 'replayed' ELSE 'conflict' END AS outcome,
  CASE WHEN rq.k = '' THEN request_id ELSE fid END AS first_id FROM rq LEFT JOIN f USING (conversation_id, k)""")
 def x07(spark, sf):

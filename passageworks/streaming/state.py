@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from passageworks.operators.conversations import TERMINAL_EVENTS
-from passageworks.operators.observations import compare
+from passageworks.operators.observations import number
 
 
 
@@ -46,83 +47,106 @@ def _run(df: DataFrame, keys: list[str], processor: _Keyed, schema: str) -> Data
 
 
 class _Lifecycle(StatefulProcessor):
-    """Last sequence, active draft and whether the response has ended; events that wait for the ones
-    before them, and the sequences given up."""
+    """Last sequence and active draft of an open response, events that wait for the ones before them, and the
+    sequences given up; of one that has ended only its last sequence, until a timer removes that too."""
+
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "last long, active long, bytes long, closed boolean")
+        self.state = handle.getValueState("state", "last long, active long, bytes long, gone long")  # gone: when an ended response is forgotten
         self.waiting = handle.getMapState("waiting", "seq long", "type string, version long, size long, at long")
         self.skipped = handle.getMapState("skipped", "first long", "to long")
 
     def _now(self) -> tuple:
-        return self.state.get() if self.state.exists() else (0, 0, 0, False)
+        return self.state.get() if self.state.exists() else (0, 0, 0, None)
 
     def _pass(self, key, until: int) -> Iterator[pd.DataFrame]:
         """Let waiting events go in order: those without a gap before them, and, gap or not, those that
-        are followed by or are an event of a time up to ``until`` (milliseconds)."""
+        are followed by or are an event of a time up to ``until`` (milliseconds). What waits behind the end is refused."""
         waiting = sorted((k[0], v) for k, v in self.waiting.iterator())
-        last, active, size, closed = self._now()
+        last, active, size, gone = self._now()
         due = max([seq for seq, v in waiting if v[3] <= until], default=0)
         out = []
-        for seq, (kind, version, n, _) in waiting:
+        for seq, (kind, version, n, at) in waiting:
+            if gone is not None:
+                out.append((key[0], int(seq), kind, 0, 0, True, True))
+                continue
             if seq > last + 1:
                 if seq > due:
                     break
                 self.skipped.updateValue((last + 1,), (seq - 1,))
             last = int(seq)
             if kind == "draft_started":
-                active, size, closed = int(version), 0, False
+                active, size = int(version), 0
             elif kind == "draft_retracted" and version == active:
                 active, size = 0, 0
             elif kind == "answer_delta" and version == active:
                 size += int(n)
             elif kind in TERMINAL_EVENTS:
-                active, size, closed = 0, 0, True
+                active, size, gone = 0, 0, int(at) + self.keep_ms
             self.waiting.removeKey((seq,))
-            out.append((key[0], last, kind, active, size, closed, False))
-        self.state.update((last, active, size, closed))
+            out.append((key[0], last, kind, active, size, gone is not None, False))
+        if gone is not None:
+            self.waiting.clear()
+            self.skipped.clear()
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(gone)
+        self.state.update((last, active, size, gone))
         yield pd.DataFrame(out, columns=LIFECYCLE)
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        last, active, size, closed = self._now()
+        last, active, size, gone = self._now()
         refused = []
         for r in _ordered(rows, ["seq"]).itertuples(index=False):
             seq = int(r.seq)
             if seq > last:
-                if not self.waiting.containsKey((seq,)):
+                if gone is not None:
+                    refused.append((key[0], seq, r.type, 0, 0, True, True))
+                elif not self.waiting.containsKey((seq,)):
                     at = int(r.at.timestamp() * 1000)
                     self.waiting.updateValue((seq,), (r.type, int(r.draft_version or 0), len((r.delta or "").encode()), at))
                     if seq > last + 1:
                         self.handle.registerTimer(at)
                 continue
-            gap = next(((k[0], v[0]) for k, v in self.skipped.iterator() if k[0] <= seq <= v[0]), None)
+            gap = None if gone is not None else next(((k[0], v[0]) for k, v in self.skipped.iterator() if k[0] <= seq <= v[0]), None)
             if gap:  # it was given up; a repeated delivery of any other event is dropped
-                refused.append((key[0], seq, r.type, active, size, closed, True))
+                refused.append((key[0], seq, r.type, active, size, False, True))
                 self.skipped.removeKey((gap[0],))
                 for a, z in ((gap[0], seq - 1), (seq + 1, gap[1])):
                     if a <= z:
                         self.skipped.updateValue((a,), (z,))
         yield pd.DataFrame(refused, columns=LIFECYCLE)
-        yield from self._pass(key, -1)
+        if gone is None:
+            yield from self._pass(key, -1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._pass(key, expiredTimerInfo.getExpiryTimeInMs())
+        now, gone = expiredTimerInfo.getExpiryTimeInMs(), self._now()[3]
+        if gone is None:
+            yield from self._pass(key, now)
+        elif gone <= now:
+            self.state.clear()
 
 
 LIFECYCLE = ["response_id", "seq", "type", "active_version", "bytes", "closed", "refused"]
 
 
-def response_events_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+def response_events_stream(events: DataFrame, late: str = "10 minutes", keep_ms: int = 600_000) -> DataFrame:
     """X1. Every event once, in order of its sequence from 1, with the active draft and its size after it.
 
     ``events(response_id, seq, type, draft_version, delta, at)``. An event whose predecessors are missing
     waits for them, at most until the watermark (newest ``at`` less ``late``) passes its own time; then the
     gap is given up, and what arrives for it later is returned as ``refused``. Repeated events are dropped,
-    and so are, by Spark's own rule, events whose time lies before the watermark."""
+    and so are, by Spark's own rule, events whose time lies before the watermark.
+
+    A terminal event ends its response: events behind it are returned as ``refused``, whatever waited or was given up leaves
+    the state at once, and the rest of the state when the watermark has passed the terminal event's time by ``keep_ms``. Later
+    than that a response id is a new response."""
     e = events.select("response_id", "seq", "type", "draft_version", "delta", F.col("at").cast("timestamp").alias("at")).withWatermark("at", late)
     return e.groupBy("response_id").transformWithStateInPandas(
-        statefulProcessor=_Lifecycle(), outputMode="Update", timeMode="EventTime",
+        statefulProcessor=_Lifecycle(keep_ms), outputMode="Update", timeMode="EventTime",
         outputStructType=T.StructType.fromDDL("response_id string, seq long, type string, active_version long, bytes long, closed boolean, refused boolean"))
 
 
@@ -154,50 +178,110 @@ def _windows(ts, span: int, count: int, until: int) -> tuple[list[int], int, int
     return out, count, until
 
 
-class _Attempts(_Keyed):
-    columns = "count long, until long"
+class _Attempts(StatefulProcessor):
+    """Count and end of the open window; a timer at its end removes both."""
 
-    def __init__(self, span: int, ttl_ms: int | None = None) -> None:
-        super().__init__(ttl_ms)
+    def __init__(self, span: int) -> None:
         self.span = span
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "count long, until long")
+
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
         d = _ordered(rows, ["at", "attempt_id"])
         count, until = self.state.get() if self.state.exists() else (0, 0)
-        n, count, until = _windows([int(t) for t in d["at"]], self.span, int(count), int(until))
+        before = int(until)
+        n, count, until = _windows([int(t) for t in d["at"]], self.span, int(count), before)
         self.state.update((count, until))
+        if until != before:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(-(-until // 1000))
         yield pd.DataFrame({"key": key[0], "attempt_id": d["attempt_id"].to_numpy(), "at": d["at"].to_numpy(), "attempt": n})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists() and self.state.get()[1] <= 1000 * expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        return iter(())
+
 
-def attempt_windows_stream(attempts: DataFrame, span_us: int = 900_000_000, ttl_ms: int | None = None) -> DataFrame:
+def attempt_windows_stream(attempts: DataFrame, span_us: int = 900_000_000, late: str = "10 minutes") -> DataFrame:
     """X3. ``attempts(key, attempt_id, at in microseconds)`` with their number in a window that the first
-    attempt opens for 15 minutes and nothing extends. Limits compare ``attempt`` with 30 or 5."""
-    return _run(attempts.select("key", "attempt_id", "at"), ["key"], _Attempts(span_us, ttl_ms), "key string, attempt_id long, at long, attempt long")
+    attempt opens for 15 minutes and nothing extends. Limits compare ``attempt`` with 30 or 5.
 
+    A window's state leaves the store when the watermark (newest ``at`` less ``late``) has passed its end: attempts that
+    come after that lie in a later window anyway, and attempts from before the watermark are dropped by Spark's own rule."""
+    a = attempts.select("key", "attempt_id", "at", F.timestamp_micros("at").alias("time")).withWatermark("time", late)
+    return a.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=_Attempts(span_us), outputMode="Update", timeMode="EventTime", outputStructType=T.StructType.fromDDL("key string, attempt_id long, at long, attempt long"))
 
-def attempt_windows(attempts: DataFrame, span_us: int = 900_000_000, chunk_us: int = 86_400_000_000) -> DataFrame:
-    """X3 in batch. A pause of a whole window always starts afresh, so a key is first split at such
-    pauses; each stretch then passes a task in order, with two numbers kept between rows."""
-    from passageworks.functions.scale import running
 
-    a = attempts.select("key", "attempt_id", "at").withColumn("chunk", F.floor(F.col("at") / chunk_us))
-    a = running(a, ["key"], "chunk", ["at", "attempt_id"], {"prev": ("max", "at")})
-    a = a.withColumn("new", (F.col("prev").isNull() | (F.col("at") - F.col("prev") >= span_us)).cast("int"))
-    a = running(a, ["key"], "chunk", ["at", "attempt_id"], {"s": ("sum", "new")}).withColumn("stretch", F.col("s") + F.col("new"))
+NEVER = -(1 << 62)
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur, count, until = None, 0, 0
-        for b in batches:
-            n = []
-            for k, st, t in zip(b["key"], b["stretch"], b["at"]):
-                if (k, st) != cur:
-                    cur, count, until = (k, st), 0, 0
-                (c,), count, until = _windows([int(t)], span_us, count, until)
-                n.append(c)
-            yield pd.DataFrame({"key": b["key"], "attempt_id": b["attempt_id"], "at": b["at"], "attempt": n})
 
-    return a.select("key", "stretch", "at", "attempt_id").repartition("key", "stretch").sortWithinPartitions("key", "stretch", "at", "attempt_id").mapInPandas(
-        fold, "key string, attempt_id long, at long, attempt long")
+def _chain(t: np.ndarray, span: int, first: int) -> np.ndarray:
+    """Places of the attempts that open a window, from the one at ``first`` on."""
+    out = []
+    while first < len(t):
+        out.append(first)
+        first = int(np.searchsorted(t, t[first] + span))
+    return np.array(out, np.int64)
+
+
+def attempt_windows(attempts: DataFrame, span_us: int = 900_000_000, chunk_us: int | None = None) -> DataFrame:
+    """X3 in batch, as a scan over composed transitions.
+
+    A key's time is cut into chunks of many windows. What a chunk does to a window that is open when it begins depends
+    only on where that one ends, so each chunk becomes a map from the first attempt that opens a window of its own to the end of
+    the chunk's last window: entries for the attempts of its first span only. The maps, a small share of the rows, are
+    applied one after the other per key; then all chunks number their attempts at the same time."""
+    chunk_us = chunk_us or 128 * span_us
+    a = attempts.select("key", "attempt_id", F.col("at").cast("long").alias("at")).withColumn("chunk", F.floor(F.col("at") / chunk_us))
+
+    def transitions(key, d: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(d["at"].to_numpy())
+        # the attempts of the first span, and the first one behind it: a window open before ends by then
+        n = min(int(np.searchsorted(t, key[1] * chunk_us + span_us)) + 1, len(t))
+        after = np.searchsorted(t, t + span_us)
+        end, tail = t + span_us, len(t) - np.arange(len(t))
+        for i in range(len(t) - 1, -1, -1):  # end and attempts of the last window of the chain from each attempt
+            if after[i] < len(t):
+                end[i], tail[i] = end[after[i]], tail[after[i]]
+        keep = np.flatnonzero(np.append(True, t[1:n] != t[:n - 1]))
+        return pd.DataFrame({"key": key[0], "chunk": key[1], "opens": t[keep], "ends": end[keep], "tail": tail[keep], "n": len(t)})
+
+    maps = a.groupBy("key", "chunk").applyInPandas(transitions, "key string, chunk long, opens long, ends long, tail long, n long")
+
+    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cur, until, count, own, done = None, NEVER, 0, 0, True
+        for b in batches:
+            out = []
+            for k, c, opens, ends, tail, n in zip(*[b[x].tolist() for x in ("key", "chunk", "opens", "ends", "tail", "n")]):
+                if cur != (k, c):
+                    count += 0 if done else own  # all attempts of the chunk before lay in the open window
+                    if cur is None or cur[0] != k:
+                        until, count = NEVER, 0
+                    cur, own, done = (k, c), n, False
+                    out.append((k, c, until, count))
+                if not done and opens >= until:
+                    until, count, done = ends, tail, True
+            yield pd.DataFrame(out, columns=["key", "chunk", "until", "count"])
+
+    ordered = maps.repartition("key").sortWithinPartitions("key", "chunk", "opens")
+    entries = ordered.mapInPandas(carry, "key string, chunk long, until long, count long")
+
+    def number(key, d: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values(["at", "attempt_id"], kind="stable")
+        t, n = d["at"].to_numpy(), np.arange(1, len(d) + 1)
+        first = int(np.searchsorted(t, int(e["until"].iat[0])))
+        n[:first] += int(e["count"].iat[0])  # these go on in the window open before
+        opens = _chain(t, span_us, first)
+        if len(opens):
+            n[first:] -= opens[np.searchsorted(opens, np.arange(first, len(t)), side="right") - 1]
+        return d.assign(attempt=n)[["key", "attempt_id", "at", "attempt"]]
+
+    return a.groupBy("key", "chunk").cogroup(entries.groupBy("key", "chunk")).applyInPandas(number, "key string, attempt_id long, at long, attempt long")
 
 
 def observation_windows(values: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -211,42 +295,85 @@ def observation_windows(values: DataFrame, size: str = "1 hour", slide: str | No
     return g.select(F.col("window.start").alias("start"), "device_id", "field", "n", "low", "high", "last")
 
 
-class _Alerts(_Keyed):
-    """Newest sample per condition, and what was last reported."""
+class _Alerts(StatefulProcessor):
+    """The samples of the newest time per field, and what was last reported of each rule."""
+
+    def __init__(self, rules: dict, fields: dict, ttl_ms: int | None = None) -> None:
+        self.rules, self.fields, self.ttl_ms = rules, fields, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getMapState("newest", "cond long", "at long, ok boolean", self.ttl_ms)
-        self.said = handle.getValueState("said", "holds boolean", self.ttl_ms)
+        self.newest = handle.getMapState("newest", "field string", "at long, texts array<string>, numbers array<double>, units array<string>", self.ttl_ms)
+        self.said = handle.getMapState("said", "rule_id string", "holds boolean", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        d = pd.concat(list(rows))
-        for cond, part in d.groupby("cond_no"):
-            at = int(part["at"].max())
-            ok = bool(part.loc[part["at"] == at, "ok"].all())
-            if self.newest.containsKey((int(cond),)):
-                old_at, old_ok = self.newest.getValue((int(cond),))
-                if old_at > at:
+        now: dict[str, tuple[int, set]] = {}
+        for d in rows:
+            for field, at, text, number, unit in zip(*[d[c].tolist() for c in ("field", "at", "value", "number", "unit")]):
+                held = now.get(field)
+                if field in self.fields and (held is None or at >= held[0]):
+                    sample = (text, None if number is None or number != number else number, unit)
+                    now[field] = (at, {sample} if held is None or at > held[0] else held[1] | {sample})
+        touched = set()
+        for field, (at, samples) in now.items():
+            if self.newest.containsKey((field,)):
+                old, *lists = self.newest.getValue((field,))
+                if old > at:
                     continue
-                ok = ok and bool(old_ok) if old_at == at else ok
-            self.newest.updateValue((int(cond),), (at, ok))
-        state = [v for _, v in self.newest.iterator()]
-        holds = len(state) == int(d["need"].iat[0]) and all(bool(s[1]) for s in state)
-        if not self.said.exists() or self.said.get()[0] != holds:
-            self.said.update((holds,))
-            yield pd.DataFrame({"device_id": [key[0]], "rule_id": [key[1]], "holds": [holds], "at": [max(int(s[0]) for s in state)]})
+                if old == at:
+                    samples = samples | set(zip(*[list(x) for x in lists]))
+            at_, texts, numbers, units = at, *[list(x) for x in zip(*sorted(samples, key=str))]
+            self.newest.updateValue((field,), (at_, texts, numbers, units))
+            touched |= self.fields[field]
+        seen: dict[str, tuple | None] = {}
+
+        def sample(field: str):
+            if field not in seen:
+                seen[field] = self.newest.getValue((field,)) if self.newest.containsKey((field,)) else None
+            return seen[field]
+
+        out = []
+        for rule in sorted(touched):
+            got = [(sample(c[0]), c) for c in self.rules[rule]]
+            holds = all(s is not None and all(_holds(x, c) for x in zip(s[1], s[2], s[3])) for s, c in got)
+            if not self.said.containsKey((rule,)) or self.said.getValue((rule,))[0] != holds:
+                self.said.updateValue((rule,), (holds,))
+                out.append((key[0], rule, holds, max(int(s[0]) for s, _ in got if s is not None)))
+        yield pd.DataFrame(out, columns=["device_id", "rule_id", "holds", "at"])
+
+
+def _holds(sample: tuple, condition: tuple) -> bool:
+    """Whether a (text, number, unit) meets a (field, operator, text, number, unit), as ``observations.compare`` has it."""
+    (text, a, unit), (_, op, want, b, want_unit) = sample, condition
+    if text is None or want is None or unit is None or unit != want_unit:
+        return False
+    if op == "EQ":
+        return text == want
+    if a is None or b is None:
+        return False
+    return {"GT": a > b, "GE": a >= b, "LT": a < b, "LE": a <= b}.get(op, False)
+
+
+MAX_CONDITIONS = 1_000_000  # conditions that tasks hold; more are an error, not cut
 
 
 def rule_alerts_stream(values: DataFrame, conditions: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """X5. A row whenever a rule starts or stops holding on the newest samples of a device.
 
-    ``conditions(rule_id, cond_no, field, operator, value, unit)`` may be any number of rows; each carries
-    its rule's number of conditions. All samples at the newest time must agree."""
-    need = conditions.groupBy("rule_id").agg(F.count("*").alias("need"))
-    c = conditions.join(need, "rule_id").select("rule_id", "cond_no", "field", "operator", F.col("value").alias("want"), F.col("unit").alias("want_unit"), "need")
-    j = values.join(c, "field").select(
-        "device_id", "rule_id", F.col("cond_no").cast("long").alias("cond_no"), F.unix_micros(F.col("observed_at").cast("timestamp")).alias("at"),
-        ((F.col("unit") == F.col("want_unit")) & compare(F.col("value"), F.col("operator"), F.col("want"))).alias("ok"), "need")
-    return _run(j, ["device_id", "rule_id"], _Alerts(ttl_ms), "device_id long, rule_id string, holds boolean, at long")
+    ``conditions(rule_id, cond_no, field, operator, value, unit)`` is a static table of at most ``MAX_CONDITIONS`` rows, which goes
+    to all tasks. Each reading meets the state of its device once, which keeps the newest samples of a field and judges there the
+    rules that mention it. All samples at the newest time must agree; a condition without a sample doesn't hold."""
+    c = conditions.select("rule_id", "field", "operator", "value", number(F.col("value")).alias("number"), "unit").limit(MAX_CONDITIONS + 1).collect()
+    if len(c) > MAX_CONDITIONS:
+        raise ValueError(f"more than {MAX_CONDITIONS} conditions")
+    rules: dict[str, list] = {}
+    fields: dict[str, set] = {}
+    for r in c:
+        rules.setdefault(r["rule_id"], []).append((r["field"], r["operator"], r["value"], r["number"], r["unit"]))
+        fields.setdefault(r["field"], set()).add(r["rule_id"])
+    v = values.select("device_id", "field", F.unix_micros(F.col("observed_at").cast("timestamp")).alias("at"), "value", number(F.col("value")).alias("number"), "unit")
+    return v.groupBy("device_id").transformWithStateInPandas(
+        statefulProcessor=_Alerts(rules, fields, ttl_ms), outputMode="Update", timeMode="ProcessingTime" if ttl_ms else "None",
+        outputStructType=T.StructType.fromDDL("device_id long, rule_id string, holds boolean, at long"))
 
 
 def latency_pairs_stream(accepted: DataFrame, deltas: DataFrame, bound: str = "1 hour", late: str = "10 minutes") -> DataFrame:
