@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from passageworks.llm.base import stored
 
 SAMPLE = 40_000  # labelled training rows, at most
-VOCABULARY = 50_000  # scored tokens, at most
 PRIOR = 0.03  # the prior weighs as much as this share of the training texts
 Z, ODDS = 2.5, 3.0  # a feature is kept beyond this many errors and this log-odds
 STEMS = (3, 4, 5, 6)
@@ -52,8 +51,9 @@ def segments(x: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (begin, end, score) of token scores, in order: none can be
     extended or cut to a higher score, and they don't overlap.
 
-    Only the tokens of positive score are visited; each candidate keeps the sum before it and the
-    sum up to its end, and joins the nearest earlier candidate that starts lower."""
+    Only the tokens of positive score are visited; each candidate keeps the sum before it, the sum up to its end and the
+    place of the nearest earlier candidate that starts lower, which it joins unless that one ends as high. As the places
+    make a chain, no candidate is passed over twice."""
     at = np.flatnonzero(x > 0)
     if not len(at):
         return []
@@ -61,17 +61,15 @@ def segments(x: np.ndarray) -> list[tuple[int, int, float]]:
     found: list[list] = []
     for p in at.tolist():
         end = float(total[p])
-        new = [p, p + 1, end - float(x[p]), end]
-        while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
-                found.append(new)
-                break
-            new = [found[j][0], new[1], found[j][2], new[3]]
+        begin, left, j = p, end - float(x[p]), len(found) - 1
+        while j >= 0 and found[j][2] >= left:
+            j = found[j][4]
+        while j >= 0 and found[j][3] < end:
+            begin, _, left, _, lower = found[j]
             del found[j:]
-    return [(b, e, right - left) for b, e, left, right in found]
+            j = lower
+        found.append([begin, p + 1, left, end, j])
+    return [(b, e, right - left) for b, e, left, right, _ in found]
 
 
 def parts(word: str) -> list[str]:
@@ -128,7 +126,7 @@ def sample_of(labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
     return pick(1).unionByName(pick(0))
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, vocabulary: int = VOCABULARY) -> Model:
+def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     """A model of ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``, all of which are training rows.
     Without labelled rows of both kinds every text scores the same."""
     sc = docs.sparkSession.sparkContext
@@ -169,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, vocabulary: i
     odds = lambda y, n: F.log((F.col(y) + prior) / (n + weight - F.col(y) - prior))
     d = n.withColumn("delta", odds("toxic", t) - odds("clean", c)).withColumn(
         "z", F.col("delta") / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)))
-    top = d.where((F.abs("z") > Z) & (F.abs("delta") > ODDS)).orderBy(F.desc(F.abs("z")), "word").limit(vocabulary).select("word", "delta").toPandas()
+    top = d.where((F.abs("z") > Z) & (F.abs("delta") > ODDS)).select("word", "delta").toPandas()  # words of the bounded sample
     m.score = dict(zip(top["word"], top["delta"]))
     held = known.where(fold == 0).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # a row for each id
     bc = sc.broadcast(m)
