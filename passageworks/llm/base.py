@@ -41,5 +41,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_names(*names: str) -> list[str]:
+    """Column names for the inside of an operator that no input column has."""
+    mark = uuid.uuid4().hex
+    return [f"_{n}_{mark}" for n in names]
+
+
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

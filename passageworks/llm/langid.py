@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from passageworks.llm.base import stored
+from passageworks.llm.base import own_names, stored
 
 ORDER = 4
 LOCAL = 1_200_000  # counts of a model that is broadcast; larger ones are joined
@@ -33,13 +33,13 @@ U = np.uint64
 
 
 def _alphabet() -> np.ndarray:
-    """By code point: letters as their lower-case form in 16 bits, all else a space."""
-    t = np.full(0x110000, SPACE, np.uint16)
+    """By code point: letters as their lower-case form, all else a space."""
+    t = np.full(0x110000, SPACE, np.uint32)
     for c in range(0x110000):
         ch = chr(c)
         if ch.isalpha():
             low = ch.lower()
-            t[c] = (ord(low) if len(low) == 1 else c) & 0xFFFF
+            t[c] = ord(low) if len(low) == 1 else c
     return t
 
 
@@ -48,11 +48,20 @@ _TABLE: list[np.ndarray] = []
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """4-gram codes of all texts, one behind the other, and the number of each text's codes, which
-    is 0 for a text without a letter. Runs of other characters are one space."""
+    is 0 for a text without a letter. Runs of other characters are one space; a letter above U+FFFF is two symbols,
+    the halves that it has in UTF-16, which no other letter has."""
     if not _TABLE:
         _TABLE.append(_alphabet())
     sizes = np.array([len(t) + ORDER for t in texts], np.int64)
     flat = _TABLE[0][np.frombuffer("".join("\n\n\n" + t + "\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    high = flat > 0xFFFF
+    if high.any():
+        width = 1 + high
+        sizes = np.add.reduceat(width, np.cumsum(sizes) - sizes)
+        first = np.cumsum(width) - width
+        c = flat[high] - np.uint32(0x10000)
+        flat = np.repeat(flat, width)
+        flat[first[high]], flat[first[high] + 1] = 0xD800 + (c >> np.uint32(10)), 0xDC00 + (c & np.uint32(0x3FF))
     start = np.cumsum(sizes) - sizes
     keep = np.ones(len(flat), bool)
     keep[1:] = (flat[1:] != SPACE) | (flat[:-1] != SPACE)
@@ -273,10 +282,11 @@ def probabilities(grams: DataFrame, j: Joined) -> DataFrame:
     return low
 
 
-def measured(docs: DataFrame, j: Joined, text: str = "text") -> DataFrame:
-    """Every row of ``docs`` with ``_n``, its characters, and ``_ce``, its cross-entropy by language.
+def measured(docs: DataFrame, j: Joined, text: str = "text", names: tuple[str, str] = ("_n", "_ce")) -> DataFrame:
+    """Every row of ``docs`` with its characters and its cross-entropy by language, under ``names``.
     ``docs`` is a table read from files, or a plan over one that keeps its rows' order."""
     schema = docs._jdf.schema().toDDL()
+    mark, = own_names("block")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -289,9 +299,9 @@ def measured(docs: DataFrame, j: Joined, text: str = "text") -> DataFrame:
                     at, size = at + 1, 0
                 out.append(at)
                 size += len(t or "")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "_block"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, mark])
 
-    tagged = docs.mapInArrow(blocks, f"{schema}, _block long")  # the texts are not written once more
+    tagged = docs.mapInArrow(blocks, f"{schema}, {mark} long")  # the texts are not written once more
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -302,7 +312,7 @@ def measured(docs: DataFrame, j: Joined, text: str = "text") -> DataFrame:
                     g = np.unique(codes([own[i] for i in at])[0])
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), k)), pa.array(g.view(np.int64))], ["_block", "gram"])
 
-    pairs = stored(tagged.select("_block", F.col(text).alias("t")).mapInArrow(held, "_block long, gram long").distinct(), "held")
+    pairs = stored(tagged.select(F.col(mark).alias("_block"), F.col(text).alias("t")).mapInArrow(held, "_block long, gram long").distinct(), "held")
     told = pairs.join(probabilities(pairs.select("gram").distinct(), j), "gram").select("_block", "gram", "p")
     many = len(j.fit.languages)
 
@@ -324,10 +334,10 @@ def measured(docs: DataFrame, j: Joined, text: str = "text") -> DataFrame:
                         raise ValueError("a block has 4-grams it did not name")
                     total = np.add.reduceat(e[where], (np.cumsum(size) - size)[some], axis=0, dtype=np.float64)
                     ce[np.array(at)[some]] = total / size[some, None]
-        out = rows.drop_columns(["_block"])
-        return out.append_column("_n", pa.array(n)).append_column("_ce", pa.array(list(ce), pa.list_(pa.float64())))
+        out = rows.drop_columns([mark])
+        return out.append_column(names[0], pa.array(n)).append_column(names[1], pa.array(list(ce), pa.list_(pa.float64())))
 
-    return tagged.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(meet, f"{schema}, _n long, _ce array<double>")
+    return tagged.groupBy(mark).cogroup(told.groupBy("_block")).applyInArrow(meet, f"{schema}, {names[0]} long, {names[1]} array<double>")
 
 
 def train(docs: DataFrame, calibration: int = CALIBRATION, local: int = LOCAL) -> Model | Joined | None:
@@ -443,6 +453,7 @@ def identify(docs: DataFrame, model: Model | Joined | None, text: str = "text")
     docs = docs.drop(*new)
     joined = isinstance(model, Joined)
     bc = docs.sparkSession.sparkContext.broadcast(model.fit if joined else model)
+    names = tuple(own_names("n", "ce"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = bc.value
@@ -451,11 +462,11 @@ def identify(docs: DataFrame, model: Model | Joined | None, text: str = "text")
                 n = b.num_rows
                 cols = [pa.array(["und"] * n), pa.array([0.0] * n), pa.nulls(n, pa.float64()), pa.array([True] * n)]
             elif joined:
-                e = np.array(b.column("_ce").to_pylist()).reshape(-1, len(m.languages))
-                cols, b = verdicts(m, e, b.column("_n").to_numpy()), b.drop_columns(["_n", "_ce"])
+                e = np.array(b.column(names[1]).to_pylist()).reshape(-1, len(m.languages))
+                cols, b = verdicts(m, e, b.column(names[0]).to_numpy()), b.drop_columns(list(names))
             else:
                 cols = verdicts(m, *m.texts([t or "" for t in b.column(text).to_pylist()]))
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *new])
 
     schema = f"{docs._jdf.schema().toDDL()}, " + ", ".join(f"{c} {t}" for c, t in new.items())
-    return (measured(docs, model, text) if joined else docs).mapInArrow(run, schema)
+    return (measured(docs, model, text, names) if joined else docs).mapInArrow(run, schema)
