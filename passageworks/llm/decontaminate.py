@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from passageworks.llm.base import stored
+from passageworks.llm.base import own_names, stored
 
 WINDOW = 13
 BROADCAST_ROWS = 500_000  # rows of three to five numbers (or a word and a number)
@@ -102,5 +102,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """The input rows that aren't contaminated, unchanged. ``docs`` is a table read from files."""
-    bad = stored(contamination(docs, benchmark, width).where("contaminated").select(F.col("row").alias("_row")), "contaminated")
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(_small(bad), "_row", "left_anti").drop("_row")
+    row, = own_names("row")
+    bad = stored(contamination(docs, benchmark, width).where("contaminated").select(F.col("row").alias(row)), "contaminated")
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(_small(bad), row, "left_anti").drop(row)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passageworks.llm.base import stored
+from passageworks.llm.base import own_names, stored
 
 BITS = 60
 
@@ -64,18 +64,19 @@ def assign(docs: DataFrame, limit: int, key: str = "doc_id", size: str = "n_byte
 
     The directory is expanded to the next multiple of ``step`` bits, at most 2**step slots a shard, and a row meets its
     slot by equality, once for each multiple that occurs: one, unless sizes are very uneven."""
-    docs = docs.drop("shard", "shard_bytes", "oversize", "_h")
+    docs = docs.drop("shard", "shard_bytes", "oversize")
+    h, cell, told_at = own_names("h", "cell", "told")
     dirs = stored(directory(docs.withColumn(size, F.coalesce(F.col(size), F.lit(0))), limit, key, size, step), "shards")
     top = F.least(F.ceil(F.col("depth") / step) * step, F.lit(BITS)).cast("int")
     tops = sorted(r[0] for r in dirs.select(top.alias("t")).distinct().collect())  # at most 61 numbers
-    out = docs.withColumn("_h", hash60(F.col(key)))
+    out = docs.withColumn(h, hash60(F.col(key)))
     told = F.struct("depth", "shard_bytes", "oversize")
     for t in tops:
         slots = dirs.where(top == t).select(
-            F.explode(F.expr(f"sequence(shiftleft(prefix, {t} - depth), shiftleft(prefix + 1, {t} - depth) - 1)")).alias(f"_c{t}"), told.alias(f"_s{t}"))
-        out = out.withColumn(f"_c{t}", F.shiftright("_h", BITS - t)).join(slots, f"_c{t}", "left")
-    found = F.coalesce(*[F.col(f"_s{t}") for t in tops]) if tops else F.struct(F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("shard_bytes"), F.lit(False).alias("oversize"))
-    return out.select(*docs.columns, prefix(F.col("_h"), found["depth"]).alias("shard"), found["shard_bytes"].alias("shard_bytes"), found["oversize"].alias("oversize"))
+            F.explode(F.expr(f"sequence(shiftleft(prefix, {t} - depth), shiftleft(prefix + 1, {t} - depth) - 1)")).alias(f"{cell}{t}"), told.alias(f"{told_at}{t}"))
+        out = out.withColumn(f"{cell}{t}", F.shiftright(h, BITS - t)).join(slots, f"{cell}{t}", "left")
+    found = F.coalesce(*[F.col(f"{told_at}{t}") for t in tops]) if tops else F.struct(F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("shard_bytes"), F.lit(False).alias("oversize"))
+    return out.select(*docs.columns, prefix(F.col(h), found["depth"]).alias("shard"), found["shard_bytes"].alias("shard_bytes"), found["oversize"].alias("oversize"))
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passageworks.llm.base import stored
+from passageworks.llm.base import own_names, stored
 from passageworks.operators.evaluation import leakage_groups
 
 SEED, RADIUS, DENSE = 42, 2, 4096
@@ -180,9 +180,9 @@ def drop_near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """The input rows without all but one of each group: the one of the smallest doc_id stays
     (nulls last; of equal ids the first row). ``docs`` is a table read from files. Columns and
     values are unchanged."""
-    docs = docs.withColumn("_row", F.monotonically_increasing_id())
-    g = near_groups(docs.drop("_row"), words)
+    row, name = own_names("row", "group")
+    g = near_groups(docs, words)
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
     # a group is named by its component; groups of null ids alone are told apart by fingerprint
-    keep = g.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_f")).agg(F.min(order)["row"].alias("_row")).select("_row")
-    return docs.join(keep, "_row", "left_semi").drop("_row")
+    keep = g.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias(name)).agg(F.min(order)["row"].alias(row)).select(row)
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(keep, row, "left_semi").drop(row)

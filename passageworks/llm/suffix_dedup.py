@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from passageworks.functions.scale import shared_folder
 from passageworks.llm.anchors import WINDOW, chunk_anchors, hashes, mixed, prefixes
-from passageworks.llm.base import parts, stored
+from passageworks.llm.base import own_names, parts, stored
 
 CHUNK_BYTES = 4 << 20
 HOT = 4096  # places of an anchor beyond which its pieces are dealt apart
@@ -375,8 +375,9 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     """The input rows with the repeated passages cut out of ``text``, and ``n_chars`` (if there is one) counted anew.
     ``docs`` is a table read from files. A character of which only some bytes are cut goes as a
     whole; a null text stays null; other columns are unchanged."""
-    kept = dedup(docs).select(F.col("row").alias("_row"), F.col("kept").alias("_kept"))
-    d = docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, "_row")
-    new = F.when(F.col("text").isNotNull(), F.col("_kept"))
+    row, text = own_names("row", "kept")
+    kept = dedup(docs).select(F.col("row").alias(row), F.col("kept").alias(text))
+    d = docs.withColumn(row, F.monotonically_increasing_id()).join(kept, row)
+    new = F.when(F.col("text").isNotNull(), F.col(text))
     size = {"n_chars": F.length(new).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return d.withColumns({**size, "text": new}).select(*docs.columns)
