@@ -32,7 +32,7 @@ class Merger:
         self.symbol = {**texts, **{c: v.size + n for n, c in enumerate(chars)}}
         self.many = v.size + len(chars) + 2
         order = {s: r for r, s in enumerate(sorted({float(v.scores[i]) for i in v.plain}, reverse=True))}
-        rows, adjacent, better = [], set(), set()
+        rows, adjacent = [], set()
         for p, i in texts.items():
             rank = order[float(v.scores[i])]
             adjacent.update(zip(p, p[1:]))
@@ -40,18 +40,8 @@ class Merger:
                 a, b = self.symbol.get(p[:cut]), self.symbol.get(p[cut:])
                 if a is not None and b is not None:
                     rows.append((a * self.many + b, i, rank))
-                    better.update(x for x in (a, b) if x < v.size and len(v.pieces[x]) > 1 and rank <= order[float(v.scores[x])])
         rows.sort()
         self.pair, self.made, self.rank = (np.array([r[k] for r in rows], np.int64) for k in range(3))
-        # one place a round where a piece made of this one may come before it, or two pieces share a rank
-        self.single = np.zeros(v.size, bool)
-        self.single[list(better)] = True
-        shared = {}
-        for i in v.plain:
-            shared.setdefault(order[float(v.scores[i])], []).append(i)
-        for same in shared.values():
-            if len(same) > 1:
-                self.single[same] = True
         self.adjacent = np.array(sorted(ord(a) << 21 | ord(b) for a, b in adjacent), np.int64)
         points = sorted(c for c in self.symbol if len(c) == 1)
         self.points = np.array([ord(c) for c in points], np.int64)
@@ -62,6 +52,25 @@ class Merger:
         at = np.minimum(np.searchsorted(table, x), len(table) - 1)
         return at, table[at] == x
 
+    def _ranks(self, a: np.ndarray, b: np.ndarray, joined: np.ndarray) -> np.ndarray:
+        key = np.where(joined & (a >= 0) & (b >= 0), a * self.many + b, -1)
+        at, hit = self._find(self.pair, key)
+        return np.where(hit, self.rank[at], NONE)
+
+    def _in_turn(self, sym, seg, here, made, own, first, best) -> tuple[np.ndarray, np.ndarray]:
+        """Of the places of best rank, those that merging one after the other would take in a row: up to the
+        first one in each word whose new piece makes a pair that is as good with a neighbour and so comes next."""
+        before, after = np.maximum(here - 1, 0), np.minimum(here + 2, len(sym) - 1)
+        left = sym[before]
+        touch = np.flatnonzero(~first[1:] & (here[1:] == here[:-1] + 2)) + 1  # the piece merged just before is the neighbour
+        left[touch] = made[touch - 1]
+        near = np.minimum(self._ranks(left, made, (here > 0) & (seg[before] == own)), self._ranks(made, sym[after], (here + 2 < len(sym)) & (seg[after] == own)))
+        stop = np.cumsum(near <= best)
+        start = np.flatnonzero(first)
+        passed = np.append(0, stop[:-1])  # stops before each place, of all words
+        take = passed == np.repeat(passed[start], np.diff(np.append(start, len(here))))
+        return here[take], made[take]
+
     def encode(self, words: list[str]) -> list[list[int]]:
         """Ids of each word, spaces standing for the word mark."""
         sizes = np.array([len(w) for w in words], np.int64)
@@ -91,8 +100,8 @@ class Merger:
                 # runs of overlapping places merge at every other one, from the left
                 run = np.flatnonzero(np.append(True, (here[1:] != here[:-1] + 1) | first[1:]))
                 odd = (np.arange(len(here)) - np.repeat(run, np.diff(np.append(run, len(here))))) % 2 == 1
-                take = first | (~self.single[made] & ~odd)
-                here, made = here[take], made[take]
+                here, made, own, first = here[~odd], made[~odd], own[~odd], first[~odd]
+                here, made = self._in_turn(sym, seg, here, made, own, first, best[here])
                 sym[here] = made
                 keep = ~over
                 keep[here + 1] = False

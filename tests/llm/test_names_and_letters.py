@@ -1,13 +1,16 @@
 """Input columns of any name, letters above U+FFFF, and time in proportion to long texts."""
 
+import random
 import time
 
 import numpy as np
+import public_tokenizers
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from passageworks.llm import decontaminate, langid, sharding, simhash, suffix_dedup, toxicity
+from passageworks.llm import decontaminate, langid, piece_bpe, sharding, simhash, suffix_dedup, toxicity
 
 CLASH = "doc_id long, text string, lang string, _row long, _h string, _block long, _n long, _ce array<double>, _kept string, _f long, row long, word string"
 OWN = [7, "h", 8, 9, [1.5], "k", 10, 11, "w"]
@@ -90,3 +93,22 @@ def test_every_stage_of_an_empty_table(table, tmp_path, spark):
     spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, table([], "doc_id long, text string, lang string, source string, n_chars long"), sf).count() == 0, name
+
+
+def test_pieces_of_long_unbroken_texts():
+    """Ids equal the library's, and time doubles with the text."""
+    rng = random.Random(3)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, codec = sentencepiece.SentencePieceProcessor(model_file=path), piece_bpe.Codec(path)
+    texts = [unit * (20_000 // len(unit)) for unit in ("the", "ing", "aab", "=", "a", "tion", "中文", "1")]
+    texts += ["".join(rng.choice("etaoinshrdlu") for _ in range(20_000))]
+    texts += ["".join(rng.choice(a) for _ in range(rng.randrange(1, 60))) for a in ("the", "ab", "aab ", "abc12", "éàè", "=-", "aA") for _ in range(60)]
+    for t, ids in zip(texts, codec.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == [library.bos_id(), *library.encode(t), library.eos_id()]
+
+    def took(n):
+        t = time.perf_counter()
+        codec.m.encode(["the" * n])
+        return time.perf_counter() - t
+
+    assert took(66_000) < 6 * took(16_500) + 0.5
