@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from passageworks.functions.text import let, split_lines, strip
+from passageworks.functions.text import SPACES, let, split_lines, strip
 from passageworks.operators.fragments import blocks, is_table_line
 from passageworks.operators.knowledge import first_reason
 
@@ -45,12 +45,26 @@ def apply_boundaries(docs: DataFrame, blks: DataFrame, plan: DataFrame, max_byte
         F.array_sort(F.collect_list(F.struct("block_id", "start_line", "end_line", "section"))).alias("bs"))
     j = bs.join(docs.select("doc_id", split_lines(F.col("text")).alias("ls")), "doc_id")
     body = lambda a, z: strip(F.array_join(F.slice("ls", a.cast("int"), (z - a + 1).cast("int")), "\n"))
-    init = F.struct(F.lit(0).alias("s"), F.lit(0).alias("i"), F.array(F.lit(0)).alias("cuts"))
+    raw = lambda a, z: F.array_join(F.slice("ls", a.cast("int"), (z - a + 1).cast("int")), "\n")
+    size, left, right = F.octet_length, lambda t: F.ltrim(t, F.lit(SPACES)), lambda t: F.rtrim(t, F.lit(SPACES))
+    # i: blocks seen; end: the last one's end; bytes: of the part so far, without white space in front; kept: without that behind, too
+    init = F.struct(F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("end"), F.lit(0).alias("bytes"), F.lit(0).alias("kept"), F.array(F.lit(0)).alias("cuts"))
 
     def step(acc: Column, x: Column) -> Column:
-        over = (acc["i"] > acc["s"]) & (F.octet_length(body(F.get("bs", acc["s"])["start_line"], x["end_line"])) > max_bytes)
-        return F.struct(F.when(over, acc["i"]).otherwise(acc["s"]).alias("s"), (acc["i"] + 1).alias("i"),
-                        F.when(over, F.concat(acc["cuts"], F.array(acc["i"]))).otherwise(acc["cuts"]).alias("cuts"))
+        alone = lambda t: F.struct(size(left(t)).alias("bytes"), size(strip(t)).alias("kept"))
+        # each line is joined once more only with its own block
+        longer = lambda t: let(acc["bytes"] + 1 + size(t), lambda n: F.struct(
+            n.alias("bytes"), F.when(right(t) == "", acc["kept"]).otherwise(n - size(t) + size(right(t))).alias("kept")))
+        begin = let(raw(x["start_line"], x["end_line"]), alone)
+        go_on = let(raw(acc["end"] + 1, x["end_line"]), longer)
+
+        def put(n: Column) -> Column:
+            over = (acc["i"] > 0) & (n["kept"] > max_bytes)
+            now = F.when((acc["i"] == 0) | over, begin).otherwise(n)
+            return let(now, lambda m: F.struct((acc["i"] + 1).alias("i"), x["end_line"].cast("bigint").alias("end"), m["bytes"].alias("bytes"), m["kept"].alias("kept"),
+                                               F.when(over, F.concat(acc["cuts"], F.array(acc["i"]))).otherwise(acc["cuts"]).alias("cuts")))
+
+        return let(go_on, put)
 
     j = j.withColumn("cuts", F.aggregate("bs", init, step, lambda a: a["cuts"]))
     part = j.select("doc_id", "chunk_no", "ls", F.posexplode(F.transform(

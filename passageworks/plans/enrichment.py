@@ -195,3 +195,12 @@ LITERALS = ["AKIA", "password", "@", "Copyright", "License", "BEGIN"]
 @query("t33_scan_literals", "WITH h AS (SELECT source, " + " + ".join(f"contains(text, '{x}')::BIGINT" for x in LITERALS) + " AS n FROM documents) SELECT source, count(*) AS texts, sum(n)::BIGINT AS hits FROM h WHERE n > 0 GROUP BY 1")
 def t33(spark, sf):
     return E.scan_literals(table(spark, sf, "documents"), "text", "source", LITERALS)
+
+
+_ATTRS = {"session.id": "user_id", "llm.provider": "event_type", "input.value": "props", "llm.token_count.total": "event_id", "llm.prompts": "event_type"}
+
+
+@query("t32_public_attributes", """SELECT event_id, 'llm.provider=' || event_type || ';llm.token_count.total=' || event_id || ';session.id=' || user_id AS attributes FROM events""")
+def t32b(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.create_map(*[x for k, c in _ATTRS.items() for x in (F.lit(k), F.col(c).cast("string"))]).alias("attributes"))
+    return E.public_attributes(e, "attributes").select("event_id", F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";").alias("attributes"))

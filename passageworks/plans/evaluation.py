@@ -360,6 +360,26 @@ def m21(spark, sf):
     return M.registry(ex, runs, cases, n.where("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("experiment")))
 
 
+# Many publications name the same dataset; those of some nations were published twice under ids of their own
+def references(spark, sf):
+    c = table(spark, sf, "customer")
+    return c.select(F.concat(F.lit("d"), F.col("c_nationkey").cast("string")).alias("key"),
+                    F.when(F.col("c_nationkey") % 5 == 3, F.col("c_custkey") % 2 + F.col("c_nationkey") * 10).otherwise(F.col("c_nationkey") * 10).cast("string").alias("id"))
+
+
+_REFS = "r AS (SELECT 'd' || c_nationkey AS key, (c_nationkey * 10 + CASE WHEN c_nationkey % 5 = 3 THEN c_custkey % 2 ELSE 0 END)::VARCHAR AS id FROM customer), g AS (SELECT key, min(id) AS id, count(DISTINCT id) AS n FROM r GROUP BY 1)"
+
+
+@query("m21_merged_references", f"WITH {_REFS} SELECT key, id FROM g WHERE n = 1")
+def m21b(spark, sf):
+    return M.merge_references(references(spark, sf))[0]
+
+
+@query("m21_conflicting_references", f"WITH {_REFS} SELECT key, n FROM g WHERE n > 1")
+def m21c(spark, sf):
+    return M.merge_references(references(spark, sf))[1]
+
+
 @query("m22_run_checks", """SELECT o_orderkey AS response_id, CASE WHEN o_orderkey % 8 = 0 THEN 'not_applicable' WHEN o_custkey % 5 > 0 THEN 'pass' ELSE 'fail' END AS live_data_mode,
  CASE o_orderkey % 8 WHEN 0 THEN 'not_applicable' WHEN 1 THEN 'fail' WHEN 2 THEN 'fail' ELSE 'pass' END AS processing_success,
  CASE WHEN o_orderkey % 8 NOT IN (3, 4) THEN 'not_applicable' WHEN o_custkey % 3 > 0 THEN 'pass' ELSE 'fail' END AS citation_presence FROM orders""")

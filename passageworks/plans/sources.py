@@ -192,6 +192,18 @@ def s12(spark, sf):
     return v.groupBy("evidence_id", "field").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("double")), 2).alias("total"))
 
 
+_LINE = """CASE event_id % 7 WHEN 0 THEN 'no json ' || event_id WHEN 1 THEN '[' || event_id || ']' WHEN 2 THEN '{"evidence_id": "e' || event_id || '", "values": "none"' WHEN 3 THEN ''
+ ELSE '{"evidence_id": "e' || event_id || '", "device_id": "' || user_id || '", "values": [{"field": "' || event_type || '", "value": "' || value || '", "unit": "ms"}]}' END"""
+
+
+@query("s12_malformed_observations", f"""SELECT event_id, CASE WHEN event_id % 7 < 4 THEN {_LINE} END AS malformed, CASE WHEN event_id % 7 > 3 THEN 'e' || event_id END AS evidence_id, CASE WHEN event_id % 7 > 3 THEN user_id::VARCHAR END AS device_id,
+ CASE WHEN event_id % 7 > 3 THEN event_type END AS field FROM events""")
+def s12b(spark, sf):
+    """Lines of which some are no observation: other text, other JSON, cut off, empty."""
+    e = table(spark, sf, "events").select("event_id", F.expr(_LINE).alias("value"))
+    return FI.parse_observations(e).select("event_id", "malformed", "evidence_id", "device_id", F.get("values", F.lit(0))["field"].alias("field"))
+
+
 @query("s14_generation_gaps", f"""WITH {S.MARKED},{S.frags()}, c AS (SELECT doc_id, count(*) AS f FROM frag GROUP BY 1)
 SELECT doc_id AS document_id, f AS fragments, CASE WHEN doc_id % 20 = 0 THEN f + 1 ELSE f END AS want_f, 2 * f AS representations, CASE WHEN doc_id % 20 = 10 THEN 1 ELSE 2 * f END AS want_r FROM c
 WHERE doc_id % 20 = 0 OR (doc_id % 20 = 10 AND 2 * f <> 1)""")

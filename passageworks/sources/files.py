@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passageworks.functions.text import strip
+from passageworks.operators.fragments import image_kind
 
 SEEDS = "document string, kind string, question string, required_facts string, anchors string"
 USAGE = "struct<calls:bigint,prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint>"
@@ -59,9 +60,35 @@ def read_attempts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
 
 
+MAX_RECORD = 1 << 20  # fixed value: bytes of an observation that is read
+
+
+def parse_observations(lines: DataFrame, raw: str = "value") -> DataFrame:
+    """S12. One JSON object a line to the observation's columns and ``malformed``: the line itself where it is no such object
+    or longer than ``MAX_RECORD`` bytes, else null. No line is lost; other columns stay in front."""
+    schema = T.StructType([*T.StructType.fromDDL(OBSERVATION).fields, T.StructField("malformed", T.StringType())])
+    fits = F.octet_length(raw) <= MAX_RECORD
+    got = F.from_json(F.when(fits, F.col(raw)), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed"})
+    others = [c for c in lines.columns if c != raw]
+    o = lines.select(*others, raw, got.alias("o"))
+    # text that is JSON but no object parses to nothing at all
+    lost = ~fits | F.col("o").isNull() | F.col("o.malformed").isNotNull() | ~F.startswith(strip(F.col(raw)), F.lit("{"))
+    names = T.StructType.fromDDL(OBSERVATION).fieldNames()
+    return o.select(*others, *[F.when(~lost, F.col(f"o.{n}")).alias(n) for n in names], F.when(lost, F.col(raw)).alias("malformed"))
+
+
 def read_observations(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """S12. The monitor's observations as a table or as a stream of files."""
-    return (spark.readStream if stream else spark.read).schema(OBSERVATION).json(path)
+    """S12. The monitor's observations as a table or as a stream of files; blank lines are none."""
+    lines = (spark.readStream if stream else spark.read).text(path)
+    return parse_observations(lines.where(strip(F.col("value")) != ""))
+
+
+def read_images(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """T15. Cached image files as a table or a stream: ``path, url_sha`` (the file's name without its ending), ``bytes`` and ``kind``, which is
+    null for what is no supported image. Only leading bytes leave the scan; Spark reads no empty files."""
+    reader = (spark.readStream.schema("path string, modificationTime timestamp, length bigint, content binary") if stream else spark.read).format("binaryFile")
+    f = reader.option("recursiveFileLookup", "true").load(path)
+    return f.select("path", F.regexp_extract("path", r"([^/.]+)[^/]*$", 1).alias("url_sha"), F.col("length").alias("bytes"), image_kind(F.col("content")).alias("kind"))
 
 
 def split_observations(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
