@@ -137,6 +137,7 @@ def attach_representations(frags: DataFrame, questions: DataFrame, assets: DataF
     f = f.withColumn("tl", tl)
     names = F.filter(cells(F.col("tl")[0]["x"]), lambda c: c != "")
     sep = F.forall(cells(F.col("tl")[0]["x"]), lambda c: F.regexp_like(c, F.lit("^:?-{3,}:?$")))
+    # The sentences that describe a table without a description.
     marker = F.struct(F.col("tl")[0]["at"].alias("start_line"), F.element_at("tl", -1)["at"].alias("end_line"), F.lit("TABLE_SUMMARY").alias("kind"), F.when(
         sep, F.concat(F.lit("“"), "section", F.lit("”中的表格结构标记。"))).otherwise(F.concat(F.lit("“"), "section", F.lit("”中的表格包含列："), F.array_join(names, "、"), F.lit("。"))).alias("text"))
     bare = (F.size("tl") > 0) & ~F.exists("xs", lambda x: F.startswith(x["kind"], F.lit("TABLE")))
@@ -230,6 +231,7 @@ def discriminators(df: DataFrame, keep: int = 30, ignored: tuple[str, ...] = IGN
     return df.withColumn("discriminators", F.slice(ok, 1, keep))
 
 
+# Fixed value: what stands for the left-out middle of a preview.
 CUT = "\n[中间省略，仅作选择预览]\n"
 
 

@@ -234,6 +234,7 @@ def t17(spark, sf):
 
 
 def _clean_sql(x: str) -> str:
+    # The patterns of functions/text.py in SQL's dialect.
     for p, to in ((r"!\[([^\]]*)\]\([^)\n]*\)", r" 图片 \1 "), (r"\[([^\]]+)\]\([^)\n]*\)", r" \1 "), (r"https?://[^\s)>]+", " "),
                   (r"(?m)^\s*#{1,6}\s*", ""), (r"(?m)^\s*(?:[-+]\s+|[0-9]+[.)]\s+)", ""), (r"[|`*_~<>]", " "),
                   ("[" + TX.SPACE_CLASS + "]+", " ")):
