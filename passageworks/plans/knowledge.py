@@ -122,8 +122,7 @@ def k02(spark, sf):
 @query("k03_match_candidates", f"""WITH {REV_SQL},{DEV_SQL}, pr AS (SELECT revision_id, device_id FROM rv JOIN dv USING (model) WHERE scope = 'DEVICE'),{_CK}
 SELECT revision_id, device_id FROM a WHERE NOT contains(checks, 'MISMATCH') AND NOT contains(checks, 'UNKNOWN')""")
 def k03(spark, sf):
-    r, d = revs(spark, sf), devices(spark, sf)
-    return K.assess(K.candidate_pairs(r, d), r, d, policies(spark, sf)).where("status = 'MATCH'").select("revision_id", "device_id")
+    return K.matching_pairs(revs(spark, sf), devices(spark, sf), policies(spark, sf))
 
 
 @query("k04_policy_violations", """WITH p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 0 THEN ' m' WHEN c_custkey % 13 = 0 THEN '' ELSE c_mktsegment END AS model, CASE WHEN c_custkey % 17 = 0 THEN ' ' ELSE 's' END AS source,

@@ -109,3 +109,20 @@ def test_recall_with_totals(spark):
     full = sorted(map(tuple, M.retrieval_metrics(hits, rel).collect()))
     totals = rel.groupBy("query_id").agg(F.count("*").alias("n"))
     assert full == sorted(map(tuple, M.retrieval_metrics(hits, rel.where("id = 11"), totals=totals).collect()))
+
+
+def test_equal_profiles_are_assessed_once(spark):
+    """Blocks of a few ids, columns without a value, two revisions for each device column; against every pair assessed by itself."""
+    cols = "scope string, model string, firmware string, driver string, hardware_revision string, fw_min string, fw_max string, drv_min string, drv_max string, policy_id string"
+    kinds = [("DEVICE", "m", None, None, None, None, None, None, None, None), ("DEVICE", "m", "v1", None, "", None, None, None, None, "p"), ("DEVICE", "m", None, "d2", None, "v0", "v2", None, None, "p"),
+             ("DEVICE", "n", None, None, "h", None, None, "d1", "d2", "q"), ("DEVICE", "n", None, None, None, "v2", "v0", None, None, "q"), ("GENERAL", "m", None, None, None, None, None, None, None, None),
+             ("DEVICE", None, None, None, None, None, None, None, None, None)]
+    revs = spark.createDataFrame([(i, *kinds[i % len(kinds)]) for i in range(90)], "revision_id long, " + cols)
+    devs = [("m", "v1", None, "h"), ("m", "v2", "d2", None), ("m", None, "d1", "h"), ("n", "v1", "d1", "h"), ("n", "v9", "d2", "g"), (None, "v1", None, None)]
+    devices = spark.createDataFrame([(i, *devs[i % len(devs)]) for i in range(80)], "device_id long, model string, firmware string, driver string, hardware_revision string")
+    policies = spark.createDataFrame([("p", "m", ["v0", "v1", "v2"], []), ("q", "n", ["v0", "v1"], ["d1", "d2"])], "policy_id string, model string, firmware_order array<string>, driver_order array<string>")
+    every = K.assess(K.candidate_pairs(revs, devices), revs, devices, policies).where("status = 'MATCH'").select("revision_id", "device_id")
+    got = K.matching_pairs(revs, devices, policies, ids=4)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, every.collect())) and got.count() > 500
+    profiles, blocks = K._blocks(devices, "device_id", K.DEVICE_PROFILE, 4)
+    assert profiles.count() == len(devs) and blocks.count() > 2 * len(devs) and blocks.agg(F.max(F.size("ids"))).first()[0] < 14
