@@ -33,7 +33,7 @@ def x01(spark, sf):
     path = f"{shared_folder(spark)}/responses-{uuid4().hex}"
     ev.repartition(3, "event_id").drop("event_id").write.parquet(path)
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return drain(X.response_events_stream(stream, late="60 days")).select("response_id", "seq", "type", "active_version", "closed", "refused")
+    return drain(X.response_events_stream(stream, late="60 days", buckets=X.buckets_for(table(spark, sf, "events").count()))).select("response_id", "seq", "type", "active_version", "closed", "refused")
 
 
 @query("x02_newest_snapshots", f"WITH {PK._ARR} SELECT device_id, arrival, observed_at, seen IS NULL OR observed_at > seen AS accepted FROM s")

@@ -40,100 +40,153 @@ class _Keyed(StatefulProcessor):
         self.state = handle.getValueState("state", self.columns, self.ttl_ms)
 
 
-def _run(df: DataFrame, keys: list[str], processor: _Keyed, schema: str) -> DataFrame:
+def _run(df: DataFrame, keys: list[str], processor: _Keyed | _Intake, schema: str) -> DataFrame:
     return df.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=T.StructType.fromDDL(schema), outputMode="Update",
         timeMode="ProcessingTime" if processor.ttl_ms else "None")
 
 
-class _Lifecycle(StatefulProcessor):
-    """Last sequence and active draft of an open response, events that wait for the ones before them, and the
-    sequences given up; of one that has ended only its last sequence, until a timer removes that too."""
+BUCKETS = 4096  # keys of a bucket are read and written together
 
-    def __init__(self, keep_ms: int) -> None:
-        self.keep_ms = keep_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("state", "last long, active long, bytes long, gone long")  # gone: when an ended response is forgotten
-        self.waiting = handle.getMapState("waiting", "seq long", "type string, version long, size long, at long")
-        self.skipped = handle.getMapState("skipped", "first long", "to long")
+def buckets_for(rows: int, each: int = 1024) -> int:
+    """Buckets of about so many rows of the whole input, if their number is known."""
+    return max(64, -(-rows // each))
+
+
+def _bucket(buckets: int, *keys: str):
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("bucket")
+
+
+class _Response:
+    """Last sequence, active draft and its size, events that wait (by sequence) for the ones before them, the sequences given
+    up (first to last); of a response that has ended only its last sequence and when it is forgotten."""
+
+    __slots__ = ("last", "active", "size", "gone", "waiting", "skipped")
 
-    def _now(self) -> tuple:
-        return self.state.get() if self.state.exists() else (0, 0, 0, None)
+    def __init__(self, last: int = 0, active: int = 0, size: int = 0, gone: int | None = None) -> None:
+        self.last, self.active, self.size, self.gone = last, active, size, gone
+        self.waiting: dict[int, tuple] = {}
+        self.skipped: dict[int, int] = {}
 
-    def _pass(self, key, until: int) -> Iterator[pd.DataFrame]:
+    def due(self) -> int | None:
+        return self.gone if self.gone is not None else min((v[3] for v in self.waiting.values()), default=None)
+
+    def take(self, name, seq: int, kind, version: int, size: int, at: int, out: list) -> None:
+        if seq > self.last:
+            if self.gone is not None:
+                out.append((name, seq, kind, 0, 0, True, True))
+            else:
+                self.waiting.setdefault(seq, (kind, version, size, at))
+            return
+        gap = next(((a, z) for a, z in self.skipped.items() if a <= seq <= z), None)
+        if gap:  # it was given up; a repeated delivery of any other event is dropped
+            out.append((name, seq, kind, self.active, self.size, False, True))
+            del self.skipped[gap[0]]
+            for a, z in ((gap[0], seq - 1), (seq + 1, gap[1])):
+                if a <= z:
+                    self.skipped[a] = z
+
+    def go(self, name, until: int, keep_ms: int, out: list) -> None:
         """Let waiting events go in order: those without a gap before them, and, gap or not, those that
         are followed by or are an event of a time up to ``until`` (milliseconds). What waits behind the end is refused."""
-        waiting = sorted((k[0], v) for k, v in self.waiting.iterator())
-        last, active, size, gone = self._now()
-        due = max([seq for seq, v in waiting if v[3] <= until], default=0)
-        out = []
-        for seq, (kind, version, n, at) in waiting:
-            if gone is not None:
-                out.append((key[0], int(seq), kind, 0, 0, True, True))
+        due = max([seq for seq, v in self.waiting.items() if v[3] <= until], default=0)
+        for seq in sorted(self.waiting):
+            kind, version, n, at = self.waiting[seq]
+            if self.gone is not None:
+                out.append((name, seq, kind, 0, 0, True, True))
                 continue
-            if seq > last + 1:
+            if seq > self.last + 1:
                 if seq > due:
                     break
-                self.skipped.updateValue((last + 1,), (seq - 1,))
-            last = int(seq)
+                self.skipped[self.last + 1] = seq - 1
+            self.last = seq
             if kind == "draft_started":
-                active, size = int(version), 0
-            elif kind == "draft_retracted" and version == active:
-                active, size = 0, 0
-            elif kind == "answer_delta" and version == active:
-                size += int(n)
+                self.active, self.size = version, 0
+            elif kind == "draft_retracted" and version == self.active:
+                self.active, self.size = 0, 0
+            elif kind == "answer_delta" and version == self.active:
+                self.size += n
             elif kind in TERMINAL_EVENTS:
-                active, size, gone = 0, 0, int(at) + self.keep_ms
-            self.waiting.removeKey((seq,))
-            out.append((key[0], last, kind, active, size, gone is not None, False))
-        if gone is not None:
-            self.waiting.clear()
-            self.skipped.clear()
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(gone)
-        self.state.update((last, active, size, gone))
-        yield pd.DataFrame(out, columns=LIFECYCLE)
+                self.active, self.size, self.gone = 0, 0, at + keep_ms
+            del self.waiting[seq]
+            out.append((name, seq, kind, self.active, self.size, self.gone is not None, False))
+        if self.gone is not None:
+            self.waiting, self.skipped = {}, {}
+
+
+class _Lifecycle(StatefulProcessor):
+    """The responses of a bucket, and one timer at the first time at which one of them has something to do."""
+
+    columns = ("last long, active long, bytes long, gone long, seqs array<long>, types array<string>, versions array<long>, sizes array<long>, ats array<long>, "
+               "firsts array<long>, tos array<long>")
+
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.timer = handle.getValueState("timer", "due long")
+        self.responses = handle.getMapState("responses", "id string", self.columns)
+
+    def _load(self) -> dict:
+        held = {}
+        if self.timer.exists():
+            for (name,), (last, active, size, gone, seqs, types, versions, sizes, ats, firsts, tos) in self.responses.iterator():
+                r = held[name] = _Response(int(last), int(active), int(size), None if gone is None or gone != gone else int(gone))
+                r.waiting = {int(seq): (kind, int(v), int(n), int(at)) for seq, kind, v, n, at in zip(seqs, types, versions, sizes, ats)}
+                r.skipped = {int(a): int(z) for a, z in zip(firsts, tos)}
+        return held
+
+    def _save(self, held: dict, touched, expired: bool = False) -> None:
+        for name in touched:
+            r = held[name]
+            events = zip(*[(seq, *v) for seq, v in r.waiting.items()]) if r.waiting else [()] * 5
+            self.responses.updateValue((name,), (r.last, r.active, r.size, r.gone, *[list(x) for x in events], list(r.skipped), list(r.skipped.values())))
+        before = self.timer.get()[0] if self.timer.exists() and not expired else None
+        due = min((t for t in (r.due() for r in held.values()) if t is not None), default=None)
+        if due != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if held:
+            self.timer.update((due,))
+        else:
+            self.timer.clear()
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        last, active, size, gone = self._now()
-        refused = []
-        for r in _ordered(rows, ["seq"]).itertuples(index=False):
-            seq = int(r.seq)
-            if seq > last:
-                if gone is not None:
-                    refused.append((key[0], seq, r.type, 0, 0, True, True))
-                elif not self.waiting.containsKey((seq,)):
-                    at = int(r.at.timestamp() * 1000)
-                    self.waiting.updateValue((seq,), (r.type, int(r.draft_version or 0), len((r.delta or "").encode()), at))
-                    if seq > last + 1:
-                        self.handle.registerTimer(at)
-                continue
-            gap = None if gone is not None else next(((k[0], v[0]) for k, v in self.skipped.iterator() if k[0] <= seq <= v[0]), None)
-            if gap:  # it was given up; a repeated delivery of any other event is dropped
-                refused.append((key[0], seq, r.type, active, size, False, True))
-                self.skipped.removeKey((gap[0],))
-                for a, z in ((gap[0], seq - 1), (seq + 1, gap[1])):
-                    if a <= z:
-                        self.skipped.updateValue((a,), (z,))
-        yield pd.DataFrame(refused, columns=LIFECYCLE)
-        if gone is None:
-            yield from self._pass(key, -1)
+        held, out, touched = self._load(), [], {}
+        d = _ordered(rows, ["seq"])
+        for name, seq, kind, version, n, at in zip(*[d[c].tolist() for c in ("response_id", "seq", "type", "version", "size", "ms")]):
+            r = touched[name] = held.setdefault(name, _Response())
+            r.take(name, seq, kind, version, n, at, out)
+        for name, r in touched.items():
+            if r.gone is None:
+                r.go(name, -1, self.keep_ms, out)
+        self._save(held, touched)
+        yield pd.DataFrame(out, columns=LIFECYCLE)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, gone = expiredTimerInfo.getExpiryTimeInMs(), self._now()[3]
-        if gone is None:
-            yield from self._pass(key, now)
-        elif gone <= now:
-            self.state.clear()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        held, out, touched = self._load(), [], []
+        for name, r in list(held.items()):
+            if r.due() is None or r.due() > now:
+                continue
+            if r.gone is None:
+                r.go(name, now, self.keep_ms, out)
+                touched.append(name)
+            else:
+                self.responses.removeKey((name,))
+                del held[name]
+        self._save(held, touched, expired=True)
+        yield pd.DataFrame(out, columns=LIFECYCLE)
 
 
 LIFECYCLE = ["response_id", "seq", "type", "active_version", "bytes", "closed", "refused"]
 
 
-def response_events_stream(events: DataFrame, late: str = "10 minutes", keep_ms: int = 600_000) -> DataFrame:
+def response_events_stream(events: DataFrame, late: str = "10 minutes", keep_ms: int = 600_000, buckets: int = BUCKETS) -> DataFrame:
     """X1. Every event once, in order of its sequence from 1, with the active draft and its size after it.
 
     ``events(response_id, seq, type, draft_version, delta, at)``. An event whose predecessors are missing
@@ -143,9 +196,14 @@ def response_events_stream(events: DataFrame, late: str = "10 minutes", keep_ms:
 
     A terminal event ends its response: events behind it are returned as ``refused``, whatever waited or was given up leaves
     the state at once, and the rest of the state when the watermark has passed the terminal event's time by ``keep_ms``. Later
-    than that a response id is a new response."""
-    e = events.select("response_id", "seq", "type", "draft_version", "delta", F.col("at").cast("timestamp").alias("at")).withWatermark("at", late)
-    return e.groupBy("response_id").transformWithStateInPandas(
+    than that a response id is a new response.
+
+    Responses have their states in so many ``buckets``: a call and state rows for each would cost far more than what they do."""
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    e = events.withColumn("at", F.col("at").cast("timestamp")).select(
+        _bucket(buckets, "response_id"), "response_id", "seq", "type", zero(F.col("draft_version")).alias("version"), zero(F.octet_length("delta")).alias("size"),
+        F.unix_millis("at").alias("ms"), "at").withWatermark("at", late)
+    return e.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=_Lifecycle(keep_ms), outputMode="Update", timeMode="EventTime",
         outputStructType=T.StructType.fromDDL("response_id string, seq long, type string, active_version long, bytes long, closed boolean, refused boolean"))
 
@@ -392,28 +450,42 @@ def first_latency(pairs: DataFrame) -> DataFrame:
         "response_id", us("accepted_at").alias("accepted_us"), "first_delta_us")
 
 
-class _Intake(_Keyed):
-    columns = "id long, hash string"
+class _Intake(StatefulProcessor):
+    """The first request of each key of a bucket and, with a time to live, until when it counts."""
+
+    def __init__(self, ttl_ms: int | None = None) -> None:
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState(
+            "state", "conversations array<string>, keys array<string>, ids array<long>, hashes array<string>, until array<long>", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+        now = timer_values.getCurrentProcessingTimeInMs() if self.ttl_ms else 0
+        until = now + (self.ttl_ms or 0)
+        first = {}
+        if self.state.exists():
+            first = {(c, k): (i, h, u) for c, k, i, h, u in zip(*self.state.get()) if not self.ttl_ms or u > now}
+        held, out = len(first), []
         d = _ordered(rows, ["ordinal"])
-        out = []
-        first = self.state.get() if self.state.exists() else None
-        for r in d.itertuples(index=False):
-            if first is None:
-                first = (int(r.request_id), r.hash)
-                self.state.update(first)
-                out.append((r.request_id, "accepted", first[0]))
+        for c, k, i, h in zip(*[d[x].tolist() for x in ("conversation_id", "key", "request_id", "hash")]):
+            seen = first.get((c, k))
+            if seen is None:
+                first[c, k] = (i, h, until)
+                out.append((i, "accepted", i))
             else:
-                out.append((r.request_id, "replayed" if r.hash == first[1] else "conflict", first[0]))
+                out.append((i, "replayed" if h == seen[1] else "conflict", seen[0]))
+        if len(first) > held:
+            self.state.update(([c for c, _ in first], [k for _, k in first], *[list(x) for x in zip(*first.values())]))
         yield pd.DataFrame(out, columns=["request_id", "outcome", "first_id"])
 
 
-def idempotent_stream(requests: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+def idempotent_stream(requests: DataFrame, ttl_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """X7. Keyed requests as accepted, replayed or conflict. Requests without a key need no state and
-    are accepted as they come."""
-    keyed = requests.where(F.coalesce("key", F.lit("")) != "").select("conversation_id", "key", "request_id", "hash", "ordinal")
-    out = _run(keyed, ["conversation_id", "key"], _Intake(ttl_ms), "request_id long, outcome string, first_id long")
+    are accepted as they come. Keys have their states in so many ``buckets``."""
+    keyed = requests.where(F.coalesce("key", F.lit("")) != "").select(
+        _bucket(buckets, "conversation_id", "key"), F.col("conversation_id").cast("string").alias("conversation_id"), "key", "request_id", "hash", "ordinal")
+    out = _run(keyed, ["bucket"], _Intake(ttl_ms), "request_id long, outcome string, first_id long")
     free = requests.where(F.coalesce("key", F.lit("")) == "").select("request_id", F.lit("accepted").alias("outcome"), F.col("request_id").alias("first_id"))
     return out.unionByName(free)
 

@@ -60,6 +60,35 @@ def test_the_state_of_ended_responses_leaves_the_store(spark, tmp_path):
     assert seen[-1]["numRowsTotal"] <= 3
 
 
+def test_responses_share_the_state_of_a_bucket(spark, tmp_path):
+    """All in one bucket as each by itself, gaps given up by the timer that is first among them; the bucket is a row, and leaves the store."""
+    e = lambda r, n, kind, m, v=1: (r, n, kind, v, "ab", at(m))
+    batches = [
+        [x for i in range(200) for x in (e(f"r{i}", 1, "draft_started", 0), e(f"r{i}", 3, "answer_delta", 1 + i % 3), e(f"r{i}", 4, "answer" if i % 2 else "progress", 4))] + [e(None, 1, "progress", 0, None)],
+        [e(f"r{i}", 2, "answer_delta", 3) for i in range(0, 200, 4)] + [e(None, 2, "answer", 4)],
+        [e("late", 1, "answer", 60)], [e("late", 1, "progress", 61)], [e(f"r{i}", 2, "answer_delta", 62) for i in range(200)], [e("end", 1, "answer", 600)], [e("end2", 1, "answer", 1200)]]
+    got = {}
+    for buckets in (1, 4096):
+        rows, seen = replay(spark, tmp_path / str(buckets), batches, EVENTS, lambda s, n=buckets: X.response_events_stream(s, "1 minute", keep_ms=120_000, buckets=n))
+        got[buckets] = sorted(map(str, rows))
+        if buckets == 1:
+            assert max(p["numRowsTotal"] for p in seen) < 210  # a row for each response, none for each event
+    assert got[1] == got[4096] and len([x for x in got[1] if "seq=2" in x and "refused=True" in x]) == 50
+
+
+def test_keys_share_the_state_of_a_bucket(spark, tmp_path):
+    """A thousand keys have one row of state, and a null conversation or hash is one like any other."""
+    batches = [[(n, n % 500 if n % 500 else None, str(n % 2), "h" if n % 3 else None, n) for n in range(b, 6000, 3)] for b in (2, 0, 1)]
+    rows, seen = replay(spark, tmp_path, batches, "request_id long, conversation_id long, key string, hash string, ordinal long", lambda s: X.idempotent_stream(s, buckets=1))
+    first, want = {}, {}
+    for b in batches:
+        for n, c, k, h, _ in b:
+            i, h0 = first.setdefault((c, k), (n, h))
+            want[n] = ("accepted" if i == n else "replayed" if h == h0 else "conflict", i)
+    assert {x["request_id"]: (x["outcome"], x["first_id"]) for x in rows} == want and len(rows) == 6000
+    assert seen[-1]["numRowsTotal"] == 1
+
+
 def test_windows_leave_the_store_when_they_end(spark, tmp_path):
     us = lambda m: 1_700_000_000_000_000 + int(m * 60_000_000)
     batches = [[("k", 1, us(0)), ("k", 2, us(5)), ("l", 3, us(1))], [("k", 4, us(14)), ("k", 5, us(16))], [("l", 6, us(100))], [("m", 7, us(300))], [("m", 8, us(600))]]
