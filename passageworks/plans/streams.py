@@ -105,4 +105,4 @@ def x07b(spark, sf):
 def x07(spark, sf):
     r = event_stream(spark, sf, "events").selectExpr(
         "event_id AS request_id", "user_id AS conversation_id", "CASE WHEN event_type = 'view' THEN '' ELSE get_json_object(props, '$.k') END AS key", "event_type AS hash", "event_id AS ordinal")
-    return drain(X.idempotent_stream(r))
+    return drain(X.idempotent_stream(r, buckets=X.buckets_for(table(spark, sf, "events").count())))
