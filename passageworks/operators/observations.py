@@ -148,22 +148,24 @@ def bad_condition() -> Column:
 
 def validate_rules(rules: DataFrame, conditions: DataFrame, frags: DataFrame) -> DataFrame:
     """V8. Rules with the first reason against them. A rule must lie inside one fragment: both its end
-    lines are looked up by equality, and must have the same owner."""
+    lines are looked up by equality, and some fragment must have them both. Parts of a long line share it."""
     per = rules.groupBy("revision_id").agg(F.count("*").alias("in_revision"))
     twice = rules.groupBy("revision_id", "rule_id").agg(F.count("*").alias("copies"))
     cond = conditions.groupBy("revision_id", "rule_id").agg(F.count("*").alias("n"), F.bool_or(bad_condition()).alias("bad"))
     own = frags.select("revision_id", "fragment_id", F.explode(F.sequence("start_line", "end_line")).alias("l"))
-    a = own.select("revision_id", F.col("l").alias("start_line"), F.col("fragment_id").alias("fa"))
-    b = own.select("revision_id", F.col("l").alias("end_line"), F.col("fragment_id").alias("fb"))
+    span = ["revision_id", "start_line", "end_line"]
+    a, b = (own.select("revision_id", "fragment_id", F.col("l").alias(c)) for c in ("start_line", "end_line"))
+    inside = (rules.select(*span).distinct().join(a, ["revision_id", "start_line"]).join(b, ["revision_id", "end_line", "fragment_id"], "left_semi")
+              .select(*span, F.lit(True).alias("inside")).distinct())
     j = (rules.join(per, "revision_id").join(twice, ["revision_id", "rule_id"]).join(cond, ["revision_id", "rule_id"], "left")
-         .join(a, ["revision_id", "start_line"], "left").join(b, ["revision_id", "end_line"], "left"))
+         .join(inside, span, "left"))
     reason = first_reason(
         (F.col("in_revision") > 32, "TOO_MANY"), ((F.col("rule_id") == "") | (F.octet_length("rule_id") > 100) | (F.col("copies") > 1), "ID"),
         (~F.col("kind").isin("ROOT_CAUSE", "RECOVERY"), "KIND"),
         ((strip(F.col("error_code")) == "") | (F.octet_length("error_code") > 200) | (strip(F.col("conclusion")) == "") | (F.octet_length("conclusion") > 2000), "TEXT"),
         ((F.col("start_line") < 1) | (F.col("end_line") < F.col("start_line")), "LINES"),
         ((F.coalesce("n", F.lit(0)) == 0) | (F.coalesce("n", F.lit(0)) > 16), "CONDITIONS"),
-        (~(F.col("fa") == F.col("fb")), "FRAGMENT"), (F.col("bad"), "CONDITION"))
+        (F.col("inside").isNull(), "FRAGMENT"), (F.col("bad"), "CONDITION"))
     return j.select("revision_id", "rule_id", reason.alias("reason")).where(F.col("reason").isNotNull()).distinct()
 
 

@@ -277,3 +277,15 @@ def test_response_events_wait_for_the_missing(spark, tmp_path):
         got.setdefault(x["response_id"], set()).add((x["seq"], x["active_version"], x["bytes"], x["closed"], x["refused"]))
     assert got["r"] == {(1, 1, 0, False, False), (2, 1, 2, False, False), (3, 1, 4, False, False)}
     assert got["s"] == {(1, 1, 0, False, False), (4, 1, 2, False, False), (3, 1, 2, False, True), (5, 0, 0, True, False)}
+
+
+def test_a_rule_lies_in_any_one_fragment_that_has_its_lines(spark):
+    """Two parts of one long line share it; a rule over it lies in both, one over two fragments' lines in neither."""
+    from passageworks.operators import observations as V
+
+    frags = spark.createDataFrame([(1, "a", 1, 3), (1, "b", 3, 3), (1, "c", 3, 6), (1, "d", 8, 9)], "revision_id long, fragment_id string, start_line int, end_line int")
+    spans = {"whole": (3, 3), "first": (2, 3), "last": (3, 5), "over": (2, 4), "out": (7, 7), "partly": (8, 10)}
+    rules = spark.createDataFrame([(1, k, "RECOVERY", "E1", "c", *v) for k, v in spans.items()], "revision_id long, rule_id string, kind string, error_code string, conclusion string, start_line int, end_line int")
+    cond = rules.selectExpr("revision_id", "rule_id", "'metrics' AS capability", "'EQ' AS operator", "'f' AS field", "'' AS component", "'abc' AS value", "'ms' AS unit", "60 AS max_age_seconds", "map('k', 'v') AS parameters")
+    got = sorted((r["rule_id"], r["reason"]) for r in V.validate_rules(rules, cond, frags).collect())
+    assert got == [("out", "FRAGMENT"), ("over", "FRAGMENT"), ("partly", "FRAGMENT")]
