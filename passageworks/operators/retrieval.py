@@ -135,6 +135,10 @@ def lexical_topk(queries: DataFrame, frags: DataFrame, k: int = 5, by: str = "fr
 
     out = _Best(queries.sparkSession, T.StructType([T.StructField("query_id", qt), T.StructField(by, ft), T.StructField("score", T.LongType())]))
     pool = frags.select(by, terms(F.col("text")).alias("t"))
+    if queries.limit(block_rows + 1).count() > block_rows:  # several blocks read the terms
+        path = f"{shared_folder(queries.sparkSession)}/terms-{uuid4().hex}"
+        pool.write.parquet(path)
+        pool = queries.sparkSession.read.schema(pool.schema).parquet(path)
     for ids, vocab, m in _query_indexes(queries, terms(F.col("text")), block_rows):
         out.add(pool, (ids, vocab, np.minimum(m, 1.0)), scorer)
     return out.ranked(by, k)
