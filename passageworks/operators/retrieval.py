@@ -171,22 +171,45 @@ def analyze(col: Column) -> Column:
 FIELDS = {"retrieval_content": 2.0, "content": 1.0, "section": 1.0, "title": 1.0}
 
 
-def _vocabulary_counts(frags: DataFrame, vocab: list[str]) -> DataFrame:
-    """Document frequency per (field, query term) and total length per field (term -1), counted
-    inside each task so that a task sends at most one row per field and query term."""
+def _matched(frags: DataFrame, vocab: list[str], ids: list[str]) -> DataFrame:
+    """The fragments analysed once: ``ids`` and, per field, the numbers (``t``) and counts (``c``) of the vocabulary's words in it,
+    and its length (``n``). Stored, for statistics and scores both read it and the texts are the dear part."""
     shared = frags.sparkSession.sparkContext.broadcast(vocab)
     fields = list(FIELDS)
+    schema = T.StructType([frags.schema[c] for c in ids] + [T.StructField(f"{x}{i}", t) for i in range(len(fields)) for x, t in (
+        ("t", T.ArrayType(T.IntegerType())), ("c", T.ArrayType(T.IntegerType())), ("n", T.IntegerType()))])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array(shared.value, pa.string())
-        df = np.zeros((len(fields), len(names)), dtype=np.int64)
-        rows, size = 0, np.zeros(len(fields), dtype=np.int64)
+        for b in batches:
+            cols = [b.column(i) for i in range(len(ids))]
+            for i in range(len(fields)):
+                toks = b.column(len(ids) + i)
+                row, term = _hits(toks, names)
+                pair, tf = np.unique(row * max(1, len(names)) + term, return_counts=True)
+                row, term = pair // max(1, len(names)), pair % max(1, len(names))
+                at = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)), pa.int32())
+                cols += [pa.ListArray.from_arrays(at, pa.array(x, pa.int32())) for x in (term, tf)]
+                cols.append(pa.array(np.diff(toks.offsets.to_numpy()), pa.int32()))
+            yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames())
+
+    path = f"{shared_folder(frags.sparkSession)}/matched-{uuid4().hex}"
+    frags.select(*ids, *[analyze(F.col(f)).alias(f"_{f}") for f in FIELDS]).mapInArrow(match, schema).write.parquet(path)
+    return frags.sparkSession.read.schema(schema).parquet(path)
+
+
+def _field_weights(matched: DataFrame, words: int) -> tuple[dict[str, np.ndarray], dict[str, float]]:
+    """Per field, the idf of each word of a block's vocabulary and the mean length. Counted inside each
+    task, so that a task sends at most one row per field and word."""
+    fields = list(FIELDS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, rows, size = np.zeros((len(fields), words), dtype=np.int64), 0, np.zeros(len(fields), dtype=np.int64)
         for b in batches:
             rows += b.num_rows
             for i in range(len(fields)):
-                row, term = _hits(b.column(i), names)
-                size[i] += int(b.column(i).offsets[-1].as_py() - b.column(i).offsets[0].as_py())
-                df[i] += np.bincount(np.unique(row * len(names) + term) % max(1, len(names)), minlength=len(names))
+                df[i] += np.bincount(b.column(2 * i).flatten().to_numpy(zero_copy_only=False), minlength=words).astype(np.int64)
+                size[i] += int(b.column(2 * i + 1).to_numpy(zero_copy_only=False).sum())
         if not rows:
             return
         at_field, at_term = np.nonzero(df)
@@ -196,16 +219,10 @@ def _vocabulary_counts(frags: DataFrame, vocab: list[str]) -> DataFrame:
              pa.array(df[at_field, at_term].tolist() + [rows] * len(fields), pa.int64()),
              pa.array([0] * len(at_field) + size.tolist(), pa.int64())], names=["field", "term", "n", "size"])
 
-    part = frags.select(*[analyze(F.col(f)).alias(f) for f in FIELDS]).mapInArrow(
-        count, "field string, term bigint, n bigint, size bigint")
-    return part.groupBy("field", "term").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
-
-
-def _field_weights(frags: DataFrame, vocab: list[str]) -> tuple[dict[str, np.ndarray], dict[str, float]]:
-    """Per field, the idf of each word of a block's vocabulary and the mean length."""
-    counted = _vocabulary_counts(frags, vocab).collect()  # four rows a word; those of word -1 have the lengths
+    part = matched.select(*[f"{x}{i}" for i in range(len(fields)) for x in "tn"]).mapInArrow(count, "field string, term bigint, n bigint, size bigint")
+    counted = part.groupBy("field", "term").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).collect()  # four rows a word; those of word -1 have the lengths
     total = {r["field"]: r for r in counted if r["term"] < 0}
-    idf = {f: np.zeros(len(vocab)) for f in FIELDS}
+    idf = {f: np.zeros(words) for f in FIELDS}
     for r in counted:
         if r["term"] >= 0:
             idf[r["field"]][r["term"]] = np.log(1 + (total[r["field"]]["n"] - r["n"] + 0.5) / (r["n"] + 0.5))
@@ -218,26 +235,24 @@ def bm25_topk(
 ) -> DataFrame:
     """R2. BM25 over the four fields, best boosted field per (query, fragment); eligible
     revisions only, filtered before scoring. Statistics are those of the whole index."""
-    pool = frags if eligible is None else frags.join(eligible, "revision_id", "left_semi")
+    ids = [by] if eligible is None else list(dict.fromkeys([by, "revision_id"]))
     qt, ft = queries.schema["query_id"].dataType, frags.schema[by].dataType
     types = (_arrow(qt), _arrow(ft), pa.float64())
     fields = list(FIELDS)
 
     def scorer(shared):
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q_ids, names, matrix, weight, mean = shared.value
-            vocab_array = pa.array(names, pa.string())
+            q_ids, matrix, weight, mean = shared.value
             best = LocalBest(len(q_ids), k)
             for batch in _slices(batches, len(q_ids)):
                 total = np.zeros((batch.num_rows, len(q_ids)))
                 for i, field in enumerate(fields):
-                    toks = batch.column(i + 1)
-                    row, term = _hits(toks, vocab_array)
+                    terms_, counts, lengths = batch.column(3 * i + 1), batch.column(3 * i + 2), batch.column(3 * i + 3)
+                    row = np.repeat(np.arange(batch.num_rows), np.diff(terms_.offsets.to_numpy()))
                     if not len(row):
                         continue
-                    pair, tf = np.unique(row * len(names) + term, return_counts=True)
-                    row, term = pair // len(names), pair % len(names)
-                    size = np.diff(toks.offsets.to_numpy())[row]
+                    term, tf = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (terms_, counts))
+                    size = lengths.to_numpy(zero_copy_only=False)[row]
                     w = weight[field][term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean[field]))
                     np.maximum(total, FIELDS[field] * _accumulate(batch.num_rows, row, w, term, matrix), out=total)
                 best.add(batch.column(0).to_numpy(zero_copy_only=False), np.round(total, SCORE_DIGITS))
@@ -246,9 +261,11 @@ def bm25_topk(
         return score
 
     out = _Best(queries.sparkSession, T.StructType([T.StructField("query_id", qt), T.StructField(by, ft), T.StructField("score", T.DoubleType())]))
-    scored = pool.select(by, *[analyze(F.col(f)).alias(f) for f in FIELDS])
-    for ids, vocab, m in _query_indexes(queries, analyze(F.col("text")), block_rows):
-        out.add(scored, (ids, vocab, m, *_field_weights(frags, vocab)), scorer)
+    for q_ids, vocab, m in _query_indexes(queries, analyze(F.col("text")), block_rows):
+        matched = _matched(frags, vocab, ids)
+        pool = matched if eligible is None else matched.join(eligible, "revision_id", "left_semi")
+        scored = pool.select(by, *[f"{x}{i}" for i in range(len(fields)) for x in "tcn"])
+        out.add(scored, (q_ids, m, *_field_weights(matched, len(vocab))), scorer)
     return out.ranked(by, k)
 
 
