@@ -21,9 +21,10 @@ from pyspark.sql import Window as W
 
 from passageworks.functions.scale import shared_folder
 from passageworks.functions.text import let, terms
-from passageworks.operators.topk import LocalBest, rank_topk
+from passageworks.operators.topk import TILE_ROWS, LocalBest, NearestVectors, rank_topk
 
 BLOCK_ROWS = 4096          # queries of a block, about
+VECTOR_ROWS = 32768        # query vectors of a block, about
 BLOCK_BYTES = 32 << 20     # bytes of query text of a block, about
 BLOCK_CELLS = 16 << 20     # cells of a block's (vocabulary x queries) matrix, unless it is one query
 GATHER_CELLS = 4 << 20     # cells of one numpy gather
@@ -280,7 +281,7 @@ def _unit(col: pa.ListArray, dims: int) -> np.ndarray:
 
 def dense_topk(
     query_vecs: DataFrame, vecs: DataFrame, k: int = 20, eligible: DataFrame | None = None,
-    by: str = "vec_id", dims: int = 64, owner: str | None = None, block_rows: int = BLOCK_ROWS,
+    by: str = "vec_id", dims: int = 64, owner: str | None = None, block_rows: int = VECTOR_ROWS,
 ) -> DataFrame:
     """R3. Exact cosine: query blocks of a fixed size as a matrix, the corpus streamed past them.
 
@@ -294,25 +295,20 @@ def dense_topk(
     def scorer(shared):
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q_ids, matrix = shared.value
-            best = LocalBest(len(q_ids), k, merge=owner is not None)
-            for b in _slices(batches, len(q_ids)):
-                s = np.round(_unit(b.column(1), dims) @ matrix.T, SCORE_DIGITS)
-                ids = b.column(0).to_numpy(zero_copy_only=False)
-                if owner is not None:
-                    order = np.argsort(ids, kind="stable")
-                    first = np.flatnonzero(np.r_[True, ids[order][1:] != ids[order][:-1]])
-                    ids, s = ids[order][first], np.maximum.reduceat(s[order], first, axis=0)
-                best.add(ids, s, positive_only=False)
+            best = NearestVectors(matrix, k, SCORE_DIGITS, merge=owner is not None)
+            for b in batches:
+                for a in range(0, b.num_rows, TILE_ROWS):
+                    part = b.slice(a, TILE_ROWS)
+                    best.add(part.column(0).to_numpy(zero_copy_only=False), _unit(part.column(1), dims))
             yield from best.batch(q_ids, ("query_id", key, "score"), types)
 
         return score
 
     out = _Best(query_vecs.sparkSession, T.StructType([T.StructField("query_id", qt), T.StructField(key, ft), T.StructField("score", T.DoubleType())]))
     for block in _blocks(query_vecs.select("query_id", "embedding"), F.lit(0), block_rows, 1):
-        rows = block.collect()  # one block of a fixed size
-        m = np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(len(rows), dims)
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        out.add(pool.select(key, "embedding"), ([r["query_id"] for r in rows], m / np.where(norm == 0, 1, norm)), scorer)
+        rows = block.toArrow().combine_chunks()  # one block of a fixed size
+        found = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in rows.columns]
+        out.add(pool.select(key, "embedding"), (found[0].to_pylist(), _unit(found[1], dims)), scorer)
     return out.ranked(key, k, merge=owner is not None)
 
 

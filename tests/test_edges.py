@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,38 @@ def test_vector_blocks_give_the_same_results(spark):
             assert {(r["query_id"], r[owner], r["rank"]) for r in got.collect()} == want
 
 
+def test_nearest_vectors_are_those_of_all_pairs(monkeypatch):
+    from passageworks.operators import topk
+
+    monkeypatch.setattr(topk, "TILE_QUERIES", 16)
+    monkeypatch.setattr(topk, "TILE_HITS", 40)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 8))
+    x[100:180] = x[7]  # many copies of one vector
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[50] = np.nan
+    s = np.round(x @ x.T, 6)
+    order = rng.permutation(300)
+    for ids, merge in ((np.arange(300), False), (np.array([f"f{i:03d}" for i in range(300)], object), False), (np.arange(300) // 3, True), (np.arange(300) % 3, True)):
+        best = topk.NearestVectors(x, 5, 6, merge)
+        put, made = best._put, []
+        best._put = lambda a, who, *rest: (made.append(len(who)), put(a, who, *rest))
+        for a in range(0, 300, 64):
+            best.add(ids[order[a:a + 64]], x[order[a:a + 64]])
+        got = {}
+        kinds = (pa.int64(), pa.string() if ids.dtype == object else pa.int64(), pa.float64())
+        for b in best.batch(list(range(300)), ("q", "id", "score"), kinds):
+            for r in b.to_pylist():
+                got.setdefault(r["q"], []).append((r["score"], r["id"]))
+        for q in set(range(300)) - {50}:
+            each = {}
+            for i in set(range(300)) - {50}:
+                each[ids[i]] = max(each.get(ids[i], -9), s[q, i])
+            want = sorted(((v, i) for i, v in each.items()), key=lambda e: (-e[0], e[1]))[:5]
+            assert [i for _, i in got[q]] == [i for _, i in want] and np.allclose([v for v, _ in got[q]], [v for v, _ in want], atol=2e-6)
+        assert 50 not in got and sum(made) < 300 * 130
+
+
 def test_embedding_leaves_out_refused_texts(spark):
     t = spark.createDataFrame([(1, "ab"), (2, ""), (3, None), (4, "x" * 9), (5, "汉字\U0001D4B3")], "id long, text string")
     encode = lambda texts: [[len(x), 0.0] for x in texts]
