@@ -5,7 +5,8 @@ counts and field lengths, with the greatest count and the least length. From the
 add to a query, so a search reads scores where they can matter: the blocks of greatest bound first, which gives each
 query a k-th score; then only blocks whose bound reaches it. Queries stay a table throughout: their terms meet the lists
 by an equality join on the term, and what passes the driver is one row of totals. Lists are stored in folders by hash of the
-term, so that a search reads the folders of its own terms only."""
+term, so that a search reads the folders of its own terms only. Places and counts are packed, a byte each where they fit, and a
+block's field lengths are stored once: lists are most of what is written, shuffled and sorted."""
 
 from __future__ import annotations
 
@@ -36,14 +37,30 @@ def _folder(term: Column) -> Column:
 
 @dataclass
 class TextIndex:
-    """``postings(block, field, term, places, counts, sizes, n, most, least, folder)`` and ``members(block, place, <by>,
-    revision_id, sizes)``, both stored; ``by`` names the fragment's id."""
+    """``postings(block, field, term, places, counts, n, most, least, folder)``, ``members(block, place, <by>, revision_id, sizes)``
+    and ``lengths(block, counts)``, the packed sizes of all its members, stored; ``by`` names the fragment's id."""
 
     postings: DataFrame
     members: DataFrame
+    lengths: DataFrame
     by: str
 
 
+def _packed(x: np.ndarray, start: np.ndarray, wide: np.ndarray) -> pa.Array:
+    """Lists of numbers as bytes, those of ``wide`` as 32-bit integers."""
+    end = np.append(start[1:], len(x))
+    if wide.any():
+        return pa.array([x[a:z].astype("<i4" if w else "u1").tobytes() for a, z, w in zip(start, end, wide)], pa.binary())
+    offsets = np.append(start, len(x)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(x.astype("u1").tobytes())])
+
+
+def _unpacked(lists: list[bytes], n: np.ndarray) -> np.ndarray:
+    if sum(map(len, lists)) == n.sum():
+        return np.frombuffer(b"".join(lists), "u1").astype(np.int64)
+    return np.concatenate([np.frombuffer(x, "u1" if len(x) == m else "<i4").astype(np.int64) for x, m in zip(lists, n)])
+
+
 def _block_lists(tokens: pa.ListArray, block: int, field: int) -> list[pa.Array]:
     flat = tokens.flatten().dictionary_encode()
     code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -52,15 +69,14 @@ def _block_lists(tokens: pa.ListArray, block: int, field: int) -> list[pa.Array]
     pair, count = np.unique(code * len(tokens) + row, return_counts=True)
     code, row = pair // max(len(tokens), 1), (pair % max(len(tokens), 1)).astype(np.int32)
     start = np.flatnonzero(np.append(True, code[1:] != code[:-1])[:len(code)])
-    offsets = pa.array(np.append(start, len(code)), pa.int32())
     n = len(start)
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (row, count, size[row])]
     most, least = (f.reduceat(x, start) if n else np.empty(0) for f, x in ((np.maximum, count), (np.minimum, size[row])))
+    lists = [_packed(row, start, np.full(n, len(tokens) > 256)), _packed(count, start, most > 255)]
     return [pa.array(np.full(n, block), pa.int64()), pa.array(np.full(n, field), pa.int32()), flat.dictionary.take(pa.array(code[start])), *lists,
             pa.array(np.diff(np.append(start, len(code))), pa.int32()), pa.array(most, pa.int32()), pa.array(least, pa.int32())]
 
 
-POSTING = "block long, field int, term string, places array<int>, counts array<int>, sizes array<int>, n int, most int, least int"
+POSTING = "block long, field int, term string, places binary, counts binary, sizes array<int>, n int, most int, least int"
 
 
 def build(frags: DataFrame, by: str = "fragment_id", block: int = BLOCK) -> TextIndex:
@@ -70,9 +86,14 @@ def build(frags: DataFrame, by: str = "fragment_id", block: int = BLOCK) -> Text
     spark = frags.sparkSession
     base = f"{shared_folder(spark)}/text-index-{uuid4().hex}"
     fields = list(FIELDS)
-    analysed = frags.select(F.monotonically_increasing_id().alias("row"), by, "revision_id", *[F.coalesce(analyze(F.col(f)), F.array().cast("array<string>")).alias(f) for f in fields])
+    none = F.array().cast("array<string>")
+    tokens = {f: F.coalesce(analyze(F.col(f)), none) for f in fields}
+    # analysis is the dear part: what is cleaned text of the same letters has the content's words
+    same = F.lower(fields[0]).eqNullSafe(F.lower(fields[1]))
+    tokens[fields[0]] = F.when(~same, tokens[fields[0]])
+    analysed = frags.select(F.monotonically_increasing_id().alias("row"), by, "revision_id", *[t.alias(f) for f, t in tokens.items()])
     kinds = [analysed.schema[c] for c in (by, "revision_id")]
-    # a row with a null field describes a fragment of the block, at its place
+    # a row with a null field describes a fragment of the block, at its place; one of field -1 has the lengths of all
     schema = T.StructType([*T._parse_datatype_string(POSTING).fields, *[T.StructField(k.name, k.dataType) for k in kinds]])
     names = schema.fieldNames()
 
@@ -83,20 +104,28 @@ def build(frags: DataFrame, by: str = "fragment_id", block: int = BLOCK) -> Text
             for a in range(0, b.num_rows, block):
                 s = b.slice(a, block)
                 at, n = s.column(0)[0].as_py(), s.num_rows
-                own = [np.diff(s.column(i + 3).offsets.to_numpy()) for i in range(len(fields))]
-                none, place = pa.nulls(n, pa.list_(pa.int32())), pa.array(np.arange(n), pa.int32())
+                columns = [s.column(i + 3) for i in range(len(fields))]
+                alike = columns[0].is_null().to_numpy(zero_copy_only=False)
+                if alike.any():
+                    columns[0] = pa.concat_arrays([columns[1], columns[0]]).take(pa.array(np.arange(n) + n * ~alike))
+                own = [np.diff(c.offsets.to_numpy()) for c in columns]
+                place = pa.array(np.arange(n), pa.int32())
                 lengths = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(fields), pa.int32()), pa.array(np.stack(own, axis=1).reshape(-1), pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array([at] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), none, none, lengths, place,
+                yield pa.RecordBatch.from_arrays([pa.array([at] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), lengths, place,
                                                   pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), s.column(1), s.column(2)], names)
-                for i in range(len(fields)):
-                    got = _block_lists(s.column(i + 3), at, i)
+                packed = pa.array([np.stack(own, axis=1).astype("<i4").tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([-1], pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), packed,
+                                                  pa.nulls(1, pa.list_(pa.int32())), pa.array([n], pa.int32()), *[pa.nulls(1, k) for k in (pa.int32(), pa.int32(), *kind)]], names)
+                for i, c in enumerate(columns):
+                    got = _block_lists(c, at, i)
+                    got.insert(5, pa.nulls(len(got[0]), pa.list_(pa.int32())))
                     yield pa.RecordBatch.from_arrays([*got, *[pa.nulls(len(got[0]), k) for k in kind]], names)
 
-    rows = analysed.mapInArrow(lists, schema).withColumn("folder", F.when(F.col("field").isNull(), -1).otherwise(_folder(F.col("term"))))
+    rows = analysed.mapInArrow(lists, schema).withColumn("folder", F.when(F.col("field").isNull(), -1).when(F.col("field") < 0, -2).otherwise(_folder(F.col("term"))))
     rows.write.partitionBy("folder").parquet(base)
     stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("folder", T.IntegerType())])).parquet(base)
     members = stored.where("folder = -1").select("block", F.col("n").alias("place"), by, "revision_id", "sizes")
-    return TextIndex(stored.where("folder >= 0").drop(*[k.name for k in kinds]), members, by)
+    return TextIndex(stored.where("folder >= 0").drop("sizes", *[k.name for k in kinds]), members, stored.where("folder = -2").select("block", "counts"), by)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -116,11 +145,12 @@ def _scored(index: TextIndex, pairs: DataFrame, packs: DataFrame, weights: DataF
     asked = pairs.join(packs, "query_id").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
     blocks = pairs.select("block").distinct()
     lists = index.postings.join(weights.select("field", "term", "tid").distinct(), ["field", "term"]).join(blocks, "block", "left_semi")
-    lists = lists.select("block", "tid", "field", "places", "counts", "sizes")
+    lists = lists.select("block", "tid", "field", "places", "counts", "n", F.lit(None).cast("array<int>").alias("alive"))
+    other = lambda df, tid, counts, alive: df.join(blocks, "block", "left_semi").select(
+        "block", F.lit(tid).cast("long").alias("tid"), F.lit(-1).alias("field"), F.lit(None).cast("binary").alias("places"), counts.alias("counts"), F.lit(0).alias("n"), alive.alias("alive"))
+    lists = lists.unionByName(other(index.lengths, -2, F.col("counts"), F.lit(None).cast("array<int>")))
     if live is not None:
-        own = live.join(blocks, "block", "left_semi")
-        lists = lists.unionByName(own.select("block", F.lit(-1).cast("long").alias("tid"), F.lit(-1).alias("field"), "places",
-                                             F.array().cast("array<int>").alias("counts"), F.array().cast("array<int>").alias("sizes")))
+        lists = lists.unionByName(other(live, -1, F.lit(None).cast("binary"), F.col("places")))
     lists = lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>"))) if groups > 1 else lists.withColumn("part", F.lit(0).cast("long"))
     q_type = pairs.schema["query_id"].dataType
     out = T.StructType([T.StructField("query_id", q_type), T.StructField("block", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("score", T.DoubleType())])
@@ -130,11 +160,10 @@ def _scored(index: TextIndex, pairs: DataFrame, packs: DataFrame, weights: DataF
         own = p[p["tid"] >= 0]
         if not len(q) or not len(own):
             return pd.DataFrame({"query_id": q["query_id"].iloc[:0], "block": [], "place": [], "score": []})
-        flat = lambda c, kind: np.concatenate(own[c].tolist()).astype(kind)
-        each = own["places"].map(len).to_numpy()
-        place, count, size = flat("places", np.int64), flat("counts", np.float64), flat("sizes", np.float64)
-        tid, field = own["tid"].to_numpy(), own["field"].to_numpy()
+        tid, field, each = own["tid"].to_numpy(), own["field"].to_numpy(), own["n"].to_numpy()
         of = np.repeat(np.arange(len(own)), each)
+        place, count = (_unpacked(own[c].tolist(), each) for c in ("places", "counts"))
+        size = np.frombuffer(p.loc[p["tid"] == -2, "counts"].iloc[0], "<i4").reshape(-1, len(boosts))[place, field[of]]
         weight = count * (k1 + 1) / (count + k1 * (1 - b + b * size / np.array(means)[field[of]]))
         ids = np.concatenate(q["tids"].tolist())
         w, who = np.concatenate(q["ws"].tolist()), np.repeat(np.arange(len(q)), q["tids"].map(len))
@@ -153,7 +182,7 @@ def _scored(index: TextIndex, pairs: DataFrame, packs: DataFrame, weights: DataF
                 np.maximum(total, boost * (part @ matrix[mine]), out=total)
         total = np.round(total, SCORE_DIGITS)
         if filtered:
-            alive = p.loc[p["tid"] < 0, "places"].tolist()
+            alive = p.loc[p["tid"] == -1, "alive"].tolist()
             on = np.zeros(len(total), bool)
             alive = np.concatenate(alive).astype(np.int64) if alive else np.empty(0, np.int64)
             on[alive[alive < len(total)]] = True
