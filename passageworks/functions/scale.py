@@ -33,6 +33,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def parts_for(spark: SparkSession, rows: int, each: int = 1 << 20) -> int:
+    """Parts of a shuffle of so many rows of a few numbers, so that what a task holds doesn't grow with the table."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
 def global_rank(df: DataFrame, by: list[str], digest: str, name: str = "rank", total: str = "n") -> DataFrame:
     """Rank in the order of a hex digest, per ``by`` group or over everything, plus group size.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from passageworks.functions.scale import neighbours
+from passageworks.functions.scale import neighbours, parts_for
 from passageworks.functions.text import SPACE_CLASS, sha, split_lines
 from passageworks.operators import evaluation as M
 from passageworks.operators import retrieval as R
@@ -149,7 +149,8 @@ def m09(spark, sf):
     st = F.element_at(F.array(*[F.lit(x) for x in ("ANSWERED", "UNRESOLVED", "FAILED", "PARTIAL")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
     resp = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"), (F.col("o_orderstatus") != "P").alias("answerable"), st.alias("status"))
     return M.answer_metrics(resp, li.select(F.col("l_orderkey").alias("case_id"), (F.col("l_partkey") % 20).alias("id")),
-                            li.where("l_linenumber < 6").select(F.col("l_orderkey").alias("case_id"), (F.col("l_suppkey") % 20).alias("id")))
+                            li.where("l_linenumber < 6").select(F.col("l_orderkey").alias("case_id"), (F.col("l_suppkey") % 20).alias("id")),
+                            parts_for(spark, 2 * li.count()))
 
 
 @query("m10_citation_integrity", """SELECT l_orderkey AS response_id, avg(CASE WHEN p_partkey IS NOT NULL AND l_linenumber <> 3 AND p_size % 10 <> 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS citation_integrity,
