@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -80,15 +82,29 @@ def check_citations(claims: DataFrame, allowed: DataFrame, frags: DataFrame) ->
     return good.select("answer_id", "fragment_id", order.cast("bigint").alias("ordinal")), failed
 
 
-def keep_supported(claims: DataFrame, verdicts: DataFrame, citations: DataFrame, conflict_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+def keep_supported(claims: DataFrame, verdicts: DataFrame, citations: DataFrame, conflict_ids: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """A5. Supported claims, and the citations that one of them or a conflict still uses; an answer with
-    only supported claims keeps its citations."""
+    only supported claims keeps its citations.
+
+    All that belongs to an answer meets in one shuffle (of so many ``parts``); what follows stays in its task."""
     key = ["answer_id", "claim_index"]
     good = claims.join(verdicts.where("verdict = 'SUPPORTED'").select(*key).distinct(), key, "left_semi")
-    dropped = verdicts.where("verdict <> 'SUPPORTED'").select("answer_id").distinct()
-    used = good.select("answer_id", F.explode("ids").alias("fragment_id")).unionByName(conflict_ids.select("answer_id", F.col("id").alias("fragment_id"))).distinct()
-    touched = citations.join(dropped, "answer_id", "left_semi").join(used, ["answer_id", "fragment_id"], "left_semi")
-    return good, touched.unionByName(citations.join(dropped, "answer_id", "left_anti"))
+    kind = claims.schema["ids"].dataType
+    more = [c for c in citations.columns if c not in ("answer_id", "fragment_id")]
+    cite = F.struct(*more) if more else F.lit(True)
+    rows = [claims.select(*key, "ids"), verdicts.select(*key, (F.col("verdict") == "SUPPORTED").alias("ok")),
+            conflict_ids.select("answer_id", F.array("id").cast(kind).alias("ids"), F.lit(True).alias("conflict")),
+            citations.select("answer_id", F.array("fragment_id").cast(kind).alias("ids"), cite.alias("cite"))]
+    x = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows).where("answer_id IS NOT NULL OR cite IS NOT NULL")
+    x = x.repartition(parts, "answer_id") if parts else x.repartition("answer_id")
+    own, of = W.partitionBy("answer_id"), W.partitionBy(*key)
+    x = x.withColumn("dropped", F.col("answer_id").isNotNull() & F.coalesce(F.max(~F.col("ok")).over(own), F.lit(False)))
+    # an answer without a dropped claim keeps its citations, whatever is used
+    x = x.withColumn("good", F.coalesce(F.col("conflict"), F.max("ok").over(of) & F.col("claim_index").isNotNull(), F.lit(False)) & F.col("cite").isNull())
+    x = x.where("cite IS NOT NULL OR good AND dropped").select("answer_id", "dropped", "cite", "good", F.explode("ids").alias("id"))
+    x = x.withColumn("used", F.max("good").over(W.partitionBy("answer_id", "id")) & F.col("id").isNotNull())
+    kept = x.where("cite IS NOT NULL AND (used OR NOT dropped)").withColumnRenamed("id", "fragment_id")
+    return good, kept.select(*[F.col(f"cite.{c}") if c in more else c for c in citations.columns])
 
 
 def final_status(answers: DataFrame, claims: DataFrame, observations: DataFrame, gaps: DataFrame) -> DataFrame:

@@ -5,15 +5,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from passageworks.functions.scale import parts_for
 from passageworks.operators import answers as A
+from passageworks.operators.text_index import keep
 from passageworks.plans import text_sql as S
 from passageworks.plans.registry import query
 from passageworks.plans.text import docs_of, marked_frags
 from passageworks.sources.tables import table
 
 
-def claims(spark, sf):
-    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("answer_id"), F.col("l_linenumber").alias("claim_index")).agg(
+def claims(spark, sf, parts=None):
+    lines = table(spark, sf, "lineitem")
+    lines = lines.repartition(parts, "l_orderkey") if parts else lines
+    return lines.groupBy(F.col("l_orderkey").alias("answer_id"), F.col("l_linenumber").alias("claim_index")).agg(
         F.min("l_partkey").alias("a"), F.max("l_partkey").alias("b"), F.min("l_suppkey").alias("s"), F.min("l_tax").alias("tax")).selectExpr(
         "*", "array_distinct(array(a, b, s)) AS ids")
 
@@ -100,11 +104,12 @@ def a04b(spark, sf):
 
 
 def supported(spark, sf):
-    c = claims(spark, sf)
+    parts = parts_for(spark, 8 * table(spark, sf, "lineitem").count())
+    c = keep(claims(spark, sf, parts), "claims")  # read by all parts below
     v = c.selectExpr("answer_id", "claim_index", "CASE WHEN s % 5 = 0 THEN 'CONTRADICTED' ELSE 'SUPPORTED' END AS verdict")
-    cites = c.select("answer_id", F.explode("ids").alias("fragment_id")).distinct()
+    cites = c.repartition(parts, "answer_id").select("answer_id", F.explode("ids").alias("fragment_id")).distinct()
     conf = c.where("a % 9 = 0").selectExpr("answer_id", "a AS id")
-    return A.keep_supported(c, v, cites, conf)
+    return A.keep_supported(c, v, cites, conf, parts)
 
 
 @query("a05_supported_claims", f"WITH {CL} SELECT answer_id, claim_index::BIGINT AS claim_index FROM cl WHERE s % 5 > 0")

@@ -139,3 +139,27 @@ def test_a_frequent_name_is_joined_once_a_query(spark):
     single = K.resolve_names(spark.range(50).selectExpr("id AS query_id", "'same' AS text"), reg)
     plan = single._jdf.queryExecution().optimizedPlan().toString()
     assert "candidates" in plan[plan.index("LeftOuter"):]  # names are counted below the join
+
+
+def test_kept_citations_and_metrics_meet_in_one_shuffle(spark):
+    from passageworks.operators import answers as A
+    from passageworks.operators import evaluation as M
+
+    claims = spark.createDataFrame([(1, 1, [10, 11]), (1, 2, [12]), (2, 1, [10]), (3, 1, [13]), (None, 1, [10])], "answer_id long, claim_index long, ids array<long>")
+    verdicts = spark.createDataFrame([(1, 1, "SUPPORTED"), (1, 2, "UNSUPPORTED"), (2, 1, None), (3, 1, "CONTRADICTED"), (None, 1, "CONTRADICTED")], "answer_id long, claim_index long, verdict string")
+    cites = spark.createDataFrame([(1, 10, "a"), (1, 10, "b"), (1, 12, "c"), (1, 14, "d"), (1, None, "e"), (2, 10, "f"), (2, None, "g"), (3, 13, "h"), (None, 10, "i"), (4, 9, "j")], "answer_id long, fragment_id long, note string")
+    conflicts = spark.createDataFrame([(1, 14), (3, 99), (1, None)], "answer_id long, id long")
+    for given in (cites, cites.drop("note")):
+        kept = A.keep_supported(claims, verdicts, given, conflicts, 3)[1]
+        assert kept.columns == given.columns and kept.select("answer_id", "fragment_id").count() == 7
+    assert {r["note"] for r in A.keep_supported(claims, verdicts, cites, conflicts)[1].collect()} == set("abdfgij")
+    assert kept._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+    responses = spark.createDataFrame([(1, True, "ANSWERED"), (2, True, "PARTIAL"), (3, False, "UNRESOLVED")], "case_id long, answerable boolean, status string")
+    cited = spark.createDataFrame([(1, 5), (1, 5), (1, 6), (1, None)], "case_id long, id long")
+    relevant = spark.createDataFrame([(1, 5), (1, None), (2, 7)], "case_id long, id long")
+    m = M.answer_metrics(responses, cited, relevant, 3)
+    got = {r["case_id"]: (r["citation_recall"], r["citation_precision"], r["citation_hit"]) for r in m.collect()}
+    assert got == {1: (1 / 2, 1 / 3, 1.0), 2: (0.0, 0.0, 0.0), 3: (None, None, None)}
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" not in plan
