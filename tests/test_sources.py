@@ -125,3 +125,18 @@ def test_chunks_are_cut_before_the_block_that_passes_the_limit(spark):
         if limit % 6 == 0 or limit < 12:
             got = apply_boundaries(docs, b, plan, limit)[0].orderBy("part").collect()
             assert [r["content"] for r in got] == want, limit
+
+
+def test_pages_are_parsed_and_sent_in_bounded_batches(monkeypatch):
+    import pyarrow as pa
+
+    from passageworks.sources import pages
+
+    monkeypatch.setattr(pages, "PARSED_CHARS", 100)
+    html = ["<nav><ul><li><a href='x'>A</a></li></ul></nav><article><h1>t</h1><p>" + "ab " * n + "</p></article>" for n in (50, 1, 1, 60, 0)] + [None]
+    b = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["https://a.org/x"] * 6), pa.array(html)], ["page_id", "url", "html"])
+    out = list(pages._parse(iter([b, b.slice(0, 0)])))
+    assert [x.num_rows for x in out] == [1, 2, 1, 2]
+    got = pa.Table.from_batches(out).to_pylist()
+    assert [r["page_id"] for r in got] == list(range(6)) and got[3]["body"].split() == ["ab"] * 60 and got[5]["body"] is None and got[5]["nav"] == []
+    assert got[0]["nav"] == [{"title": "A", "breadcrumb": ["A"], "href": "x", "kind": "document"}]
