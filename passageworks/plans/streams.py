@@ -83,7 +83,7 @@ def x05(spark, sf):
     rules = table(spark, sf, "events").select("event_type").distinct().selectExpr(
         "'r-' || event_type AS rule_id", "inline(array(named_struct('cond_no', 1, 'field', event_type, 'operator', 'GT', 'value', '10'), named_struct('cond_no', 2, 'field', 'click', 'operator', 'LT', 'value', '80')))").withColumn("unit", F.lit("ms"))
     v = event_stream(spark, sf, "events").selectExpr("user_id AS device_id", "event_type AS field", "CAST(value AS STRING) AS value", "'ms' AS unit", "ts AS observed_at")
-    return drain(X.rule_alerts_stream(v, rules), latest_by=["device_id", "rule_id"]).drop("at")
+    return drain(X.rule_alerts_stream(v, rules, buckets=X.buckets_for(table(spark, sf, "events").count())), latest_by=["device_id", "rule_id"]).drop("at")
 
 
 @query("x06_first_latency", """WITH a AS (SELECT user_id AS r, ts FROM events WHERE event_type = 'signup'), d AS (SELECT user_id AS r, ts FROM events WHERE event_type IN ('view', 'purchase'))

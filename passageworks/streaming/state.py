@@ -9,6 +9,7 @@ the end of the input never ends, so it is off by default.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -354,49 +355,63 @@ def observation_windows(values: DataFrame, size: str = "1 hour", slide: str | No
 
 
 class _Alerts(StatefulProcessor):
-    """The samples of the newest time per field, and what was last reported of each rule."""
+    """Of each device of a bucket, in one state row: the samples of the newest time per field and what was last reported of each
+    rule, each with the time until which it is remembered (2**62: for good)."""
+
+    columns = ("fields array<string>, ats array<long>, texts array<array<string>>, numbers array<array<double>>, units array<array<string>>, kept array<long>, "
+               "rules array<string>, said array<boolean>, told array<long>")
 
     def __init__(self, rules: dict, fields: dict, ttl_ms: int | None = None) -> None:
         self.rules, self.fields, self.ttl_ms = rules, fields, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getMapState("newest", "field string", "at long, texts array<string>, numbers array<double>, units array<string>", self.ttl_ms)
-        self.said = handle.getMapState("said", "rule_id string", "holds boolean", self.ttl_ms)
+        self.devices = handle.getMapState("devices", "device_id long", self.columns, self.ttl_ms)
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        now: dict[str, tuple[int, set]] = {}
+        now: dict[int, dict[str, tuple[int, set]]] = {}
         for d in rows:
-            for field, at, text, number, unit in zip(*[d[c].tolist() for c in ("field", "at", "value", "number", "unit")]):
-                held = now.get(field)
-                if field in self.fields and (held is None or at >= held[0]):
+            for device, field, at, text, number, unit in zip(*[d[c].tolist() for c in ("device_id", "field", "at", "value", "number", "unit")]):
+                if field not in self.fields:
+                    continue
+                own = now.setdefault(None if device != device else device, {})
+                held = own.get(field)
+                if held is None or at >= held[0]:
                     sample = (text, None if number is None or number != number else number, unit)
-                    now[field] = (at, {sample} if held is None or at > held[0] else held[1] | {sample})
+                    own[field] = (at, {sample} if held is None or at > held[0] else held[1] | {sample})
+        out: list[tuple] = []
+        for device, own in now.items():
+            self._device(device, own, out)
+        yield pd.DataFrame(out, columns=["device_id", "rule_id", "holds", "at"])
+
+    def _device(self, device, own: dict, out: list) -> None:
+        clock = int(time.time() * 1000)
+        until = 1 << 62 if self.ttl_ms is None else clock + self.ttl_ms
+        newest, said = {}, {}
+        if self.devices.containsKey((device,)):
+            *samples, rules, holds, told = [list(x) for x in self.devices.getValue((device,))]
+            newest = {f: (at, set(zip(*map(list, lists))), z) for f, at, *lists, z in zip(*samples) if z > clock}
+            said = {r: (h, z) for r, h, z in zip(rules, holds, told) if z > clock}
         touched = set()
-        for field, (at, samples) in now.items():
-            if self.newest.containsKey((field,)):
-                old, *lists = self.newest.getValue((field,))
+        for field, (at, samples) in own.items():
+            if field in newest:
+                old, held, _ = newest[field]
                 if old > at:
                     continue
                 if old == at:
-                    samples = samples | set(zip(*[list(x) for x in lists]))
-            at_, texts, numbers, units = at, *[list(x) for x in zip(*sorted(samples, key=str))]
-            self.newest.updateValue((field,), (at_, texts, numbers, units))
+                    samples = samples | held
+            newest[field] = (at, samples, until)
             touched |= self.fields[field]
-        seen: dict[str, tuple | None] = {}
-
-        def sample(field: str):
-            if field not in seen:
-                seen[field] = self.newest.getValue((field,)) if self.newest.containsKey((field,)) else None
-            return seen[field]
-
-        out = []
         for rule in sorted(touched):
-            got = [(sample(c[0]), c) for c in self.rules[rule]]
-            holds = all(s is not None and all(_holds(x, c) for x in zip(s[1], s[2], s[3])) for s, c in got)
-            if not self.said.containsKey((rule,)) or self.said.getValue((rule,))[0] != holds:
-                self.said.updateValue((rule,), (holds,))
-                out.append((key[0], rule, holds, max(int(s[0]) for s, _ in got if s is not None)))
-        yield pd.DataFrame(out, columns=["device_id", "rule_id", "holds", "at"])
+            got = [(newest.get(c[0]), c) for c in self.rules[rule]]
+            holds = all(s is not None and all(_holds(x, c) for x in s[1]) for s, c in got)
+            if rule not in said or said[rule][0] != holds:
+                said[rule] = (holds, until)
+                out.append((device, rule, holds, max(int(s[0]) for s, _ in got if s is not None)))
+        if touched:
+            lists = [[list(x) for x in zip(*sorted(s, key=str))] for _, s, _ in newest.values()]
+            self.devices.updateValue((device,), (
+                list(newest), [n[0] for n in newest.values()], *[[x[i] for x in lists] for i in range(3)], [n[2] for n in newest.values()],
+                list(said), [h for h, _ in said.values()], [z for _, z in said.values()]))
 
 
 def _holds(sample: tuple, condition: tuple) -> bool:
@@ -414,12 +429,13 @@ def _holds(sample: tuple, condition: tuple) -> bool:
 MAX_CONDITIONS = 1_000_000  # conditions that tasks hold; more are an error, not cut
 
 
-def rule_alerts_stream(values: DataFrame, conditions: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+def rule_alerts_stream(values: DataFrame, conditions: DataFrame, ttl_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """X5. A row whenever a rule starts or stops holding on the newest samples of a device.
 
     ``conditions(rule_id, cond_no, field, operator, value, unit)`` is a static table of at most ``MAX_CONDITIONS`` rows, which goes
     to all tasks. Each reading meets the state of its device once, which keeps the newest samples of a field and judges there the
-    rules that mention it. All samples at the newest time must agree; a condition without a sample doesn't hold."""
+    rules that mention it. All samples at the newest time must agree; a condition without a sample doesn't hold. Devices have their
+    states in so many ``buckets``: a call and a state row a field and rule would each cost far more than what they do."""
     c = conditions.select("rule_id", "field", "operator", "value", number(F.col("value")).alias("number"), "unit").limit(MAX_CONDITIONS + 1).collect()
     if len(c) > MAX_CONDITIONS:
         raise ValueError(f"more than {MAX_CONDITIONS} conditions")
@@ -428,8 +444,8 @@ def rule_alerts_stream(values: DataFrame, conditions: DataFrame, ttl_ms: int | N
     for r in c:
         rules.setdefault(r["rule_id"], []).append((r["field"], r["operator"], r["value"], r["number"], r["unit"]))
         fields.setdefault(r["field"], set()).add(r["rule_id"])
-    v = values.select("device_id", "field", F.unix_micros(F.col("observed_at").cast("timestamp")).alias("at"), "value", number(F.col("value")).alias("number"), "unit")
-    return v.groupBy("device_id").transformWithStateInPandas(
+    v = values.select(_bucket(buckets, "device_id"), "device_id", "field", F.unix_micros(F.col("observed_at").cast("timestamp")).alias("at"), "value", number(F.col("value")).alias("number"), "unit")
+    return v.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=_Alerts(rules, fields, ttl_ms), outputMode="Update", timeMode="ProcessingTime" if ttl_ms else "None",
         outputStructType=T.StructType.fromDDL("device_id long, rule_id string, holds boolean, at long"))
 

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 from uuid import uuid4
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +160,24 @@ def test_each_reading_meets_the_state_once(spark, tmp_path):
     assert "Join" not in plan  # the operator's input rows are the readings
 
 
+def test_devices_of_a_bucket_keep_their_own_samples():
+    from unittest.mock import MagicMock
+
+    rules = {"r": [("a", "GT", "1", 1.0, "u"), ("b", "LT", "9", 9.0, "u")]}
+    p = X._Alerts(rules, {"a": {"r"}, "b": {"r"}})
+    held, state = {}, MagicMock()
+    state.containsKey = lambda k: k in held
+    state.getValue = lambda k: held[k]
+    state.updateValue = lambda k, v: held.__setitem__(k, v)
+    p.init(MagicMock(getMapState=lambda *_: state))
+    cols = ["device_id", "field", "at", "value", "number", "unit"]
+    say = lambda *rows: [tuple(r) for d in p.handleInputRows((0,), iter([pd.DataFrame(rows, columns=cols)]), None) for r in d.to_numpy().tolist()]
+    assert say((1, "a", 5, "2", 2.0, "u"), (2, "a", 5, "0", 0.0, "u"), (3, "c", 5, "0", 0.0, "u")) == [(1, "r", False, 5), (2, "r", False, 5)]
+    assert say((1, "b", 6, "3", 3.0, "u"), (2, "b", 6, "3", 3.0, "u")) == [(1, "r", True, 6)]
+    assert say((1, "a", 5, "1", 1.0, "u"), (2, "a", 4, "7", 7.0, "u")) == [(1, "r", False, 6)]  # two samples of one time; an older one
+    assert len(held) == 2
+
+
 NUMBERS = ["5", "+7.", ".5", "5.e3", "1_000", "1_2.3_4e1_0", "0x1p7", "-0X1.8p+1", "0x_1Fp0", "0x.8p1", "1e-400"]
 NOT = ["", " 81", "81 ", "81\n", "\n81", "81d", "81f", "0x1", "0x1p", "0x1p7d", "1__0", "_1", "1_", "1_.5", "1._5", "1e_5", "1e400", "NaN", "Infinity", "inf", "٣", "1,0", ".", "e5", "0xp1", None]
 
