@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +12,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
-from passageworks.llm import anchors, chat, decontaminate, langid, piece_bpe, sharding, simhash, suffix_dedup, token_count, topk_search, toxicity
+from passageworks.llm import anchors, base, chat, decontaminate, langid, piece_bpe, sharding, simhash, suffix_dedup, token_count, topk_search, toxicity
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 DOCS = "doc_id long, text string, lang string, score double, row long"
@@ -88,6 +89,40 @@ def test_drop_repeats_keeps_rows_and_columns(table):
     assert out.columns == d.columns and sorted(map(str, out.collect())) == sorted(map(str, d.collect()))
 
 
+def disk(path):
+    return sum(f.stat().st_size for f in Path(path.removeprefix("file:")).rglob("*") if f.is_file())
+
+
+def test_suffix_dedup_notes_are_small(table, tmp_path, monkeypatch):
+    """What chunks write of their repeated pieces, less the texts themselves, stays below the texts' size, though all repeats."""
+    texts = [words(2000) for _ in range(40)]
+    d = table([(k, t) for k, t in enumerate(texts * 3)], "doc_id long, text string")
+    for module in (suffix_dedup, base):
+        monkeypatch.setattr(module, "shared_folder", lambda spark: str(tmp_path))
+    got = suffix_dedup.dedup(d, keep_text=False, chunk_bytes=1 << 16).collect()
+    assert [r.n_bytes if r.doc_id >= 40 else 0 for r in got] == [r.n_removed for r in got]
+    chunks, all_of_it = sum(disk(str(f)) for f in tmp_path.glob("chunks*")), disk(str(tmp_path))
+    assert 0 < chunks and all_of_it - chunks < 0.8 * 3 * sum(map(len, texts))
+
+
+def test_parts_of_a_piece_in_very_many_places():
+    """Four parts at most, each window in one, and equal windows of two pieces in parts of equal core."""
+    data = np.frombuffer(words(3000).encode(), np.uint8)
+    _, _, lo, n = anchors.chunk_anchors(data, np.array([len(data)]))
+    p = anchors.prefixes(data)
+    anchor, _ = suffix_dedup._anchored(p, lo)
+    which, first, m, core = suffix_dedup.hot_parts(p, lo, n, anchor)
+    assert np.bincount(which).max() <= 4 and (np.bincount(which, weights=m) == n).all()
+    moved = np.frombuffer(b"?" * 70 + data.tobytes()[137:], np.uint8)
+    _, _, lo2, n2 = anchors.chunk_anchors(moved, np.array([len(moved)]))
+    q = anchors.prefixes(moved)
+    which2, first2, m2, core2 = suffix_dedup.hot_parts(q, lo2, n2, suffix_dedup._anchored(q, lo2)[0])
+    at = {lo[w] + f + k: c for w, f, x, c in zip(which, first, m, core) for k in range(x)}
+    at2 = {lo2[w] + f + k: c for w, f, x, c in zip(which2, first2, m2, core2) for k in range(x)}
+    assert len(at) == n.sum() and len(at2) == n2.sum()
+    assert all(at2[s] == at[s + 67] for s in range(70, len(moved) - 99))
+
+
 # SimHash
 
 
