@@ -33,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from passageworks.functions.scale import shared_folder
 from passageworks.llm.anchors import GRAM, LOW, SPAN, WINDOW, chunk_anchors, hashes, mixed, prefixes
-from passageworks.llm.base import own_names, parts, stored
+from passageworks.llm.base import parts, stored
 
 CHUNK_BYTES = 4 << 20
 HOT = 4096  # places of an anchor beyond which its pieces are dealt apart
@@ -493,13 +494,29 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text
         mark, "doc_id long, row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text)
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
+def drop_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, hot_places: int = HOT) -> DataFrame:
     """The input rows with the repeated passages cut out of ``text``, and ``n_chars`` (if there is one) counted anew.
     ``docs`` is a table read from files. A character of which only some bytes are cut goes as a
-    whole; a null text stays null; other columns are unchanged."""
-    row, text = own_names("row", "kept")
-    kept = dedup(docs).select(F.col("row").alias(row), F.col("kept").alias(text))
-    d = docs.withColumn(row, F.monotonically_increasing_id()).join(kept, row)
-    new = F.when(F.col("text").isNotNull(), F.col(text))
-    size = {"n_chars": F.length(new).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return d.withColumns({**size, "text": new}).select(*docs.columns)
+    whole; a null text stays null; other columns are unchanged. They lie in the chunks with their text, so that no text is moved."""
+    chunks = chunked(docs, chunk_bytes=chunk_bytes, rest=True)
+    notes, told = marks(chunks, chunk_bytes, hot_places)
+    place = {c: f"c{k}" for k, c in enumerate(docs.columns) if c != "text"}
+    kind = T.StructType([*[T.StructField(place[c], docs.schema[c].dataType) for c in place], T.StructField("kept", T.StringType())])
+    types = [to_arrow_type(f.dataType) for f in kind]
+
+    def mark(c: pa.Table, r: pa.Table) -> pa.Table:
+        if not c.num_rows:
+            return pa.table({})
+        data, sizes = np.frombuffer(c["data"][0].as_buffer(), np.uint8), c["sizes"][0].values.to_numpy(zero_copy_only=False)
+        removed = _removed(len(data), tuple(c[x][0].as_py() for x in ("lo", "new", "n")), list(zip(*[r[x].to_pylist() for x in ("kind", "start", "a", "b", "c", "d")])) if r.num_rows else [])
+        ends = np.cumsum(sizes)
+        rest = c["rest"][0].values
+        rest = dict(zip([f.name for f in rest.type], rest.flatten()))
+        kept = [None if none else data[a:b][~removed[a:b]].tobytes().decode("utf-8", "ignore")
+                for none, a, b in zip(rest["none"].to_pylist(), (ends - sizes).tolist(), ends.tolist())]
+        columns = [*[rest[f.name] for f in kind[:-1]], pa.array(kept, pa.string())]
+        return pa.Table.from_arrays([x.cast(t) for x, t in zip(columns, types)], names=kind.names)
+
+    d = with_notes(chunks, notes, "rest").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(mark, kind)
+    out = [F.col("kept").alias(c) if c == "text" else F.length("kept").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(place[c]).alias(c, metadata=docs.schema[c].metadata) for c in docs.columns]
+    return d.select(*out)

@@ -1,5 +1,6 @@
 """Operators against brute force, exact round trips and held-out rows; edge cases of each."""
 
+import datetime
 import hashlib
 import random
 import re
@@ -123,6 +124,29 @@ def test_parts_of_a_piece_in_very_many_places():
     assert all(at2[s] == at[s + 67] for s in range(70, len(moved) - 99))
 
 
+def test_drop_repeats_moves_no_text(spark, table):
+    """Rows stay with their text's chunk: what is shuffled goes by chunk or bucket, and no chunk moves; columns of any kind are unchanged."""
+    shared = words(60)
+    rows = [(k, None if k == 7 else words(30) + shared + words(9), k % 3, k, {"a": [k, None]}, datetime.datetime(2024, 1, 1 + k), None if k % 2 else bytes([k])) for k in range(20)]
+    d = table(rows, "doc_id long, text string, n_chars int, `a b` long, m map<string,array<int>>, ts timestamp, b binary")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.session.timeZone", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Shanghai")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = suffix_dedup.drop_repeats(d, chunk_bytes=1 << 10)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got, kept = {r.doc_id: r for r in out.collect()}, {r.doc_id: r.kept for r in suffix_dedup.dedup(d).collect()}
+        full = {r.doc_id: r for r in d.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert set(re.findall(r"Exchange (\w+\(\w+)#", plan)) == {"hashpartitioning(chunk", "hashpartitioning(bucket"} and "_row" not in plan
+    assert out.columns == d.columns and out.dtypes == d.dtypes and got.keys() == full.keys()
+    for k, r in got.items():
+        assert r.text == (None if k == 7 else kept[k]) and r.n_chars == (None if k == 7 else len(kept[k])) and r[3:] == full[k][3:]
+    assert sum(shared in (r.text or "") for r in got.values()) == 1
+
+
 # SimHash
 
 
