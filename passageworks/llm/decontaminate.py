@@ -6,7 +6,9 @@ looked up by its two rarest terms in the corpus: the rarest term's postings, les
 in the item, are the alignments where the item could lie in a text; those that the second rarest
 term confirms are intersected with the postings of all other words of the item. Runs of matched
 words that hold a whole window are hits. What a benchmark adds (its vocabulary, its windows) and the
-alignments are broadcast behind a check of their row counts; beyond it the same joins shuffle."""
+alignments are broadcast behind a check of their row counts; beyond it the same joins shuffle, and are told to, for Spark would
+go by the size of files in which a row takes three bytes. Of the postings only those of texts with a confirmed alignment are then shuffled
+(by a hash of the row, so that what is broadcast stays bounded)."""
 
 from __future__ import annotations
 
@@ -17,7 +19,9 @@ from pyspark.sql import Window as W
 from passageworks.llm.base import own_names, stored
 
 WINDOW = 13
-BROADCAST_ROWS = 500_000  # rows of three to five numbers (or a word and a number)
+BROADCAST_ROWS = 500_000  # rows of three to five numbers (or a word and a number) that a benchmark adds
+CORPUS_ROWS = 100_000  # rows of up to six numbers that grow with the corpus
+SLOTS = 1 << 20  # hashes of rows
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -28,9 +32,16 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(low, F.lit(WORDS), F.lit(0)), F.array().cast("array<string>"))
 
 
-def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A stored table, to be broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A stored table, to be broadcast if it has few rows (``BROADCAST_ROWS`` unless told otherwise), and never if it has more."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df.hint("merge")
+
+
+def _of_rows(postings: DataFrame, found: DataFrame) -> DataFrame:
+    """The postings of the texts in ``found``, and of a few others."""
+    slot, = own_names("slot")
+    at = F.pmod(F.xxhash64("row"), F.lit(SLOTS).cast("bigint")).alias(slot)
+    return postings.select("*", at).join(F.broadcast(found.select(at).distinct()), slot, "left_semi").drop(slot)
 
 
 def benchmark_terms(benchmark: DataFrame) -> DataFrame:
@@ -79,12 +90,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
         "row", "item", (F.col("pos") - F.col("ipos")).alias("delta"), F.col("term2").alias("term"), (F.col("pos") - F.col("ipos") + F.col("ipos2")).alias("pos"))
     first = stored(first.distinct(), "alignments")
     second = looked.select(F.col("term2").alias("term")).where("term IS NOT NULL").distinct()
-    two = postings.join(_small(second), "term", "left_semi").join(_small(first.where("term IS NOT NULL")), ["row", "pos", "term"]).select("row", "item", "delta")
+    two = postings.join(_small(second), "term", "left_semi").join(_small(first.where("term IS NOT NULL"), CORPUS_ROWS), ["row", "pos", "term"]).select("row", "item", "delta")
     found = stored(two.unionByName(first.where("term IS NULL").select("row", "item", "delta")).distinct(), "confirmed")
     # every word of the item, where it would lie
     every = found.join(_small(items), "item").select("row", "item", "delta", "size", (F.col("delta") + F.col("ipos")).alias("pos"), "term")
     every = stored(every.where("pos >= 0"), "expected")
-    met = postings.join(_small(every), ["row", "pos", "term"])
+    few = every.count() <= CORPUS_ROWS
+    met = (postings if few else _of_rows(postings, found)).join(_small(every, CORPUS_ROWS), ["row", "pos", "term"])
     # islands of consecutive positions, at most an item long
     w = W.partitionBy("row", "item", "delta").orderBy("pos")
     runs = met.withColumn("island", F.col("pos") - F.row_number().over(w))
@@ -95,7 +107,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     listed = hits.select("row", "item").distinct().join(_small(names), "item").groupBy("row").agg(F.array_sort(F.collect_set("name")).alias("items"))
     result = stored(by_row.join(listed, "row"), "hits")
     head = index.where("pos IS NULL OR pos = 0").select("doc_id", "row", F.col("n_words").cast("bigint").alias("n_words"))
-    out = head.join(_small(result), "row", "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("bigint")))
+    out = head.join(_small(result, CORPUS_ROWS), "row", "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("bigint")))
     return out.select("doc_id", "row", "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"),
                       ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 

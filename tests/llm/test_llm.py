@@ -442,6 +442,26 @@ def test_contamination(table):
     assert decontaminate.contamination(d, b.where("item_id < 0")).where("n_hit > 0").count() == 0
 
 
+def test_large_tables_are_not_broadcast_by_file_size(spark, tmp_path):
+    spark.range(100_000).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    plan = lambda rows: spark.range(1000).join(decontaminate._small(t, rows), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(100_000) and "SortMergeJoin" in plan(99_999) and "Broadcast" not in plan(99_999)
+
+
+def test_contamination_by_shuffled_joins(table, monkeypatch):
+    texts = [words(40) for _ in range(30)]
+    d = table([(k, t + (" " + texts[k % 5] if k >= 20 else "")) for k, t in enumerate(texts)], "doc_id long, text string")
+    b = table([(k, texts[k] if k < 4 else " ".join(texts[k].split()[:7])) for k in range(8)], "item_id long, text string")
+    want = sorted(map(str, decontaminate.contamination(d, b).collect()))
+    for name in ("BROADCAST_ROWS", "CORPUS_ROWS"):
+        monkeypatch.setattr(decontaminate, name, 0)
+    for slots in (1 << 20, 3):
+        monkeypatch.setattr(decontaminate, "SLOTS", slots)
+        got = decontaminate.contamination(d, b).collect()
+        assert sorted(map(str, got)) == want and sum(r.n_hit > 0 for r in got) > 10
+
+
 def test_empty_tables(table):
     d = table([], DOCS)
     assert suffix_dedup.dedup(d).count() == simhash.near_groups(d).count() == 0
